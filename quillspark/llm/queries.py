@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import license_scan, url_filter
 from .common import table
 from .near_dup import near_duplicates
 
 
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, score of every page."""
+    return url_filter.judge(table(spark, folder, "pages"), url_filter.fit(url_filter.labelled(spark)))
+
+
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, license, containment, first_word of every license notice found."""
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
 def op8_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, class_id: near-duplicate class of every document."""
     return near_duplicates(table(spark, folder, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_near_dup,)}
+    return {f.__name__: f for f in (op1_url_filter, op2_license_scan, op8_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": license_scan.oracle()}
