@@ -27,6 +27,7 @@ manifest without shards and reads as no rows.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from py4j.java_gateway import JavaObject
@@ -45,7 +46,7 @@ MANIFEST = "shard string, folder string, tier int, n_rows long, bytes long, vers
 
 def tier_of(size: Column, fan_in: int = FAN_IN, smallest: int = SMALLEST) -> Column:
     """0 up to the smallest size, and one more for each factor of fan_in."""
-    return F.greatest(F.lit(0), F.floor(F.log(F.lit(float(fan_in)), size / F.lit(float(smallest)))).cast("int"))
+    return F.greatest(F.lit(0), F.floor(F.ln(size / F.lit(float(smallest))) / math.log(fan_in)).cast("int"))
 
 
 class Shards:
