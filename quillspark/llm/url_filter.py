@@ -56,11 +56,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
 
 def _grams(part: str, text: Column) -> Column:
     marked = F.concat(F.lit("<"), text, F.lit(">"))
-    return F.concat(*[
-        F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i, n=n: F.concat(F.lit(f"{part}:"), F.substring(marked, i, F.lit(n)))))
-        .otherwise(F.array().cast("array<string>"))
-        for n in SIZES
-    ])
+
+    def of(n: int) -> Column:
+        own = F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i: F.concat(F.lit(f"{part}:"), F.substring(marked, i, F.lit(n))))
+        return F.when(F.length(marked) >= n, own).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[of(n) for n in SIZES])
 
 
 def features(urls: DataFrame) -> DataFrame:
