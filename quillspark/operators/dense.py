@@ -14,7 +14,7 @@ DIM = 64
 def unit(v: Column, dim: int = DIM) -> Column:
     """The first ``dim`` components at length 1 (lengths below 1e-12 count as that); null if there are fewer."""
     cut = F.transform(F.slice(v, 1, dim), lambda x: x.cast("double"))
-    long = F.transform(F.array(cut), lambda c: F.transform(c, lambda x, c=c: x / F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y)), F.lit(1e-12))))[0]
+    long = F.transform(F.array(cut), lambda c: F.transform(c, lambda x: x / F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y)), F.lit(1e-12))))[0]
     return F.when(F.size(v) >= dim, long)
 
 

@@ -79,4 +79,4 @@ def method_summary(log: DataFrame, by: str = "path") -> DataFrame:
     r = log.withColumns({"r": F.row_number().over(own.orderBy("duration_ms")), "n": F.count("*").over(own)})
     at = lambda q: F.min(F.when(F.col("r") >= F.ceil(F.lit(q) * F.col("n")), F.col("duration_ms")))
     span = F.greatest(F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts")), F.lit(1))
-    return r.groupBy(by).agg(F.count("*").alias("n"), F.count_if("status >= 500").alias("failures"), F.round(F.count("*") / span, 6).alias("rps"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    return r.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("status") >= 500).alias("failures"), F.round(F.count("*") / span, 6).alias("rps"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))

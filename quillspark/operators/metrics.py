@@ -32,7 +32,7 @@ def _ideal(qrels: DataFrame, cuts: Sequence[int]) -> DataFrame:
     best = qrels.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")))
     part = _gain(F.col("grade")) / F.log2(F.col("r") + 1.0)
     return best.groupBy("query_id").agg(
-        F.count_if("grade > 0").alias("n_rel"), F.sum(part).alias("idcg"), *[F.sum(F.when(F.col("r") <= k, part)).alias(f"idcg_{k}") for k in cuts]
+        F.count_if(F.col("grade") > 0).alias("n_rel"), F.sum(part).alias("idcg"), *[F.sum(F.when(F.col("r") <= k, part)).alias(f"idcg_{k}") for k in cuts]
     )
 
 

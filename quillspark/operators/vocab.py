@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, trigrams
@@ -41,6 +41,11 @@ def term_suggestions(words: DataFrame, terms: DataFrame, k: int = MOST) -> DataF
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("word", "term", "lang", "starts", "sim", "rank")
 
 
+def _parts(c: Column, n: int) -> Column:
+    """All parts of n characters; a shorter text whole."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+
+
 def title_suggestions(words: DataFrame, titles: DataFrame, k: int = MOST) -> DataFrame:
     """(word, title, lang, starts, sim, rank): titles that hold a word or are near it.
 
@@ -51,7 +56,7 @@ def title_suggestions(words: DataFrame, titles: DataFrame, k: int = MOST) -> Dat
     t = titles.select("lang", "title").filter("title is not null").distinct()
     sizes = [n for (n,) in w.select(F.length("word")).distinct().collect()]  # a few word lengths
     low = F.lower("title")
-    parts = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(low, i, F.lit(n))) for n in sizes]))
+    parts = F.flatten(F.array(*[_parts(low, n) for n in sizes]))
     held = t.select("title", F.explode(F.array_distinct(parts)).alias("part")).join(w.select("word", F.lower("word").alias("part")), "part").select("word", "title").distinct()
     sims = near(w, t.select(F.col("title").alias("term")), 0.0).withColumnRenamed("term", "title")
     pairs = held.withColumn("holds", F.lit(True)).join(sims, ["word", "title"], "full").withColumn("sim", F.coalesce("sim", F.lit(0.0))).filter(F.col("holds") | (F.col("sim") >= SUGGEST)).join(t, "title")

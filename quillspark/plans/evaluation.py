@@ -69,18 +69,18 @@ def _pooled(s, d):
     return e.filter("doc_id < 40").select("query_id", "doc_id").distinct(), e.filter("annotator_id < 4").select("annotator_id", "query_id").distinct()
 
 
-_POS = "pos AS (SELECT annotator_id, query_id, arg_max(at, event_time) AS at FROM (SELECT annotator_id, query_id, CAST(event_id % 60 AS INT) AS at, event_time FROM ev WHERE query_id <> 'view') GROUP BY ALL)"
+_POS = "pos AS (SELECT annotator_id, query_id, arg_max(i, event_time) AS i FROM (SELECT annotator_id, query_id, CAST(event_id % 60 AS INT) AS i, event_time FROM ev WHERE query_id <> 'view') GROUP BY ALL)"
 
 
 @query("a07_progress", f"""WITH {LABELS}, {_POOLED}, {_POS}, t AS (SELECT query_id, count(*) AS total FROM pooled GROUP BY query_id), g AS (SELECT annotator_id, query_id, count(DISTINCT doc_id) AS graded FROM lab SEMI JOIN pooled USING (query_id, doc_id) GROUP BY ALL)
-SELECT annotator_id, query_id, coalesce(total, 0) AS total, coalesce(graded, 0) AS graded, greatest(0, least(coalesce(at, 0), coalesce(total, 0) - 1)) AS position FROM assigned LEFT JOIN t USING (query_id) LEFT JOIN g USING (annotator_id, query_id) LEFT JOIN pos USING (annotator_id, query_id)""")
+SELECT annotator_id, query_id, coalesce(total, 0) AS total, coalesce(graded, 0) AS graded, greatest(0, least(coalesce(i, 0), coalesce(total, 0) - 1)) AS position FROM assigned LEFT JOIN t USING (query_id) LEFT JOIN g USING (annotator_id, query_id) LEFT JOIN pos USING (annotator_id, query_id)""")
 def _(s, d):
     pooled, assigned = _pooled(s, d)
     at = label_events(s, d).filter("query_id <> 'view'").select("annotator_id", "query_id", (F.col("event_id") % 60).cast("int").alias("current_index"), "event_time")
     return ju.progress(assigned, pooled, labels(s, d), at)
 
 
-@query("a08_sheet", f"WITH {LABELS}, {_POOLED} SELECT annotator_id, query_id, p.doc_id, coalesce(text, '') AS text, label FROM assigned JOIN pooled p USING (query_id) LEFT JOIN documents d ON d.doc_id = p.doc_id LEFT JOIN lab USING (annotator_id, query_id, doc_id)")
+@query("a08_sheet", f"WITH {LABELS}, {_POOLED} SELECT a.annotator_id, a.query_id, p.doc_id, coalesce(text, '') AS text, label FROM assigned a JOIN pooled p ON p.query_id = a.query_id LEFT JOIN documents d ON d.doc_id = p.doc_id LEFT JOIN lab ON lab.annotator_id = a.annotator_id AND lab.query_id = a.query_id AND lab.doc_id = p.doc_id")
 def _(s, d):
     pooled, assigned = _pooled(s, d)
     return ju.sheet(assigned, pooled, table(s, d, "documents"), labels(s, d))
