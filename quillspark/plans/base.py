@@ -164,7 +164,7 @@ PAIRS = "pairs AS (SELECT doc_id AS id, doc_id, 'topic ' || (doc_id % 7) AS topi
 def request_log(spark: SparkSession, folder: str) -> DataFrame:
     """Events as requests: type as path, value as milliseconds times 20, errors as status 500 or 503."""
     return table(spark, folder, "events").selectExpr(
-        "ts", "'INFO' AS level", "'request' AS msg", "cast(event_id AS string) AS request_id", "'GET' AS method", "concat('/', event_type) AS path",
+        "cast(ts AS timestamp) AS ts", "'INFO' AS level", "'request' AS msg", "cast(event_id AS string) AS request_id", "'GET' AS method", "concat('/', event_type) AS path",
         "cast(CASE WHEN event_type <> 'error' THEN 200 WHEN event_id % 2 = 0 THEN 500 ELSE 503 END AS int) AS status", "value * 20 AS duration_ms", "cast(user_id AS string) AS client",
     )
 
