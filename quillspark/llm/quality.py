@@ -173,12 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Fitted:
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "own": [indicators(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "own": [indicators(t).tobytes() for t in pdf["text"]]})
 
     # about ``most`` ids of 16 bytes are broadcast, so that the texts aren't shuffled
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInPandas(sets, "doc_id long, y int, own array<int>").toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInPandas(sets, "doc_id long, y int, own binary").toPandas()
     rows = rows.assign(n=rows["own"].map(len)).sort_values(["doc_id", "n"], kind="stable").drop_duplicates("doc_id")
-    return fit_rows([np.asarray(r, np.int32) for r in rows["own"]], rows["y"].to_numpy(int))
+    return fit_rows([np.frombuffer(r, np.int32) for r in rows["own"]], rows["y"].to_numpy(int))
 
 
 def score(docs: DataFrame, model: Fitted, text_col: str = "text") -> DataFrame:
