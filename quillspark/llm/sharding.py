@@ -82,11 +82,14 @@ class Shards:
             raise RuntimeError(f"version {version} was committed by another writer; read the manifest again and retry")
         return version
 
+    def _rows(self, folders: list[str]) -> DataFrame:
+        """The rows of some folders with ``__shard``, the file's path below the root."""
+        rows = self.spark.read.option("recursiveFileLookup", True).parquet(*[f"{self.root}/{f}" for f in folders])
+        return rows.withColumns({"__shard": F.regexp_extract("_metadata.file_path", r"(data-\d{8}-[0-9a-f]{8}/.*)$", 1), "__bytes": F.col("_metadata.file_size")})
+
     def _written(self, folder: str, version: int) -> DataFrame:
         """A row for each file of a folder, from the files' own metadata."""
-        shards = self.spark.read.parquet(f"{self.root}/{folder}").groupBy(
-            F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("bytes")
-        ).agg(F.count("*").alias("n_rows"))
+        shards = self._rows([folder]).groupBy(F.col("__shard").alias("shard"), F.col("__bytes").alias("bytes")).agg(F.count("*").alias("n_rows"))
         tier = tier_of(F.col("bytes"), self.fan_in)
         return shards.select("shard", F.lit(folder).alias("folder"), tier.alias("tier"), "n_rows", "bytes", F.lit(version).alias("version"))
 
@@ -99,7 +102,7 @@ class Shards:
 
     def plan(self) -> DataFrame:
         """The manifest with ``file``: the new file of each shard to be merged, else null."""
-        tier = Window.partitionBy("tier").orderBy("folder", "shard")
+        tier = Window.partitionBy("tier").orderBy("shard")
         before = F.sum("bytes").over(tier.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bytes")
         small = F.col("bytes") < self.target
         shards = self.manifest().withColumn("tier", F.when(small, F.col("tier")).otherwise(F.lit(1_000)))
@@ -119,8 +122,7 @@ class Shards:
         folder = f"data-{version:08d}-{uuid.uuid4().hex[:8]}"
         folders = [f for (f,) in merging.select("folder").distinct().collect()]  # one for each commit that still has shards
         to = merging.select(F.col("shard").alias("__shard"), F.col("file").alias("__file"))
-        rows = self.spark.read.parquet(*[f"{self.root}/{f}" for f in folders]).withColumn("__shard", F.col("_metadata.file_name"))
-        rows = rows.join(F.broadcast(to) if n <= MAP_IN_ALL else to, "__shard").drop("__shard")
+        rows = self._rows(folders).join(F.broadcast(to) if n <= MAP_IN_ALL else to, "__shard").drop("__shard", "__bytes")
         rows.repartition(max(1, min(files, 10_000)), "__file").write.partitionBy("__file").option("compression", "zstd").parquet(f"{self.root}/{folder}")
         kept = planned.filter("file is null").drop("file").join(self.manifest().select("shard", F.col("tier").alias("own")), "shard").withColumn("tier", F.col("own")).drop("own")
         return self._commit(kept.unionByName(self._written(folder, version)), version)
@@ -130,11 +132,9 @@ class Shards:
         version = self.version() if version is None else version
         shards = self.manifest(version)
         folders = [f for (f,) in shards.select("folder").distinct().collect()]
-        rows = self.spark.read.parquet(*[f"{self.root}/{f}" for f in folders])
         names = shards.select(F.col("shard").alias("__shard"))
-        rows = rows.withColumn("__shard", F.col("_metadata.file_name"))
-        rows = rows.join(F.broadcast(names) if shards.count() <= MAP_IN_ALL else names, "__shard", "left_semi")
-        return rows.withColumns({"shard": F.col("__shard"), "version": F.lit(version)}).drop("__shard", "__file")
+        rows = self._rows(folders).join(F.broadcast(names) if shards.count() <= MAP_IN_ALL else names, "__shard", "left_semi")
+        return rows.withColumns({"shard": F.col("__shard"), "version": F.lit(version)}).drop("__shard", "__bytes")
 
     def vacuum(self) -> int:
         """Delete the folders that the latest manifest doesn't list; their number."""
