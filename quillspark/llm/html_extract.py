@@ -38,6 +38,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 NOT_MAIN = frozenset("head nav footer aside form button select option dialog menu figcaption".split()) - {"figcaption"}
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_LEAVES = INLINE | HEADING | frozenset("p pre blockquote li dt dd td th tr figcaption caption".split())
 #: Tags that end an open tag of the second kind, up to the third.
 _CLOSES = {t: ({"p"}, {"button", "td", "th", "table", "html"}) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split()}
 _CLOSES |= {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
@@ -153,7 +154,7 @@ def main_text(page: str | None) -> str:
     for e, _ in shown:
         up: _Element | None = e
         while up:
-            if up.tag not in INLINE and up.weight >= SHARE * whole and (content is None or len(up.path) > len(content.path)):
+            if up.tag not in _LEAVES and up.weight >= SHARE * whole and (content is None or len(up.path) > len(content.path)):
                 content = up
             up = up.parent
     if content is not None and content.main:  # an article's further parts belong to it
