@@ -537,9 +537,13 @@ def _(s, d):
 
 
 def _as_files(s, df, parts: int = 4) -> str:
-    """Rows in the order of time, dealt over files: what a stream reads in the tests and queries."""
+    """Rows written in the order of time, one append after another: a stream reads files by their age."""
     root = store.workspace(s)
-    df.repartitionByRange(parts, "ts" if "ts" in df.columns else "event_time").write.parquet(root)
+    at = F.unix_timestamp(F.col("ts" if "ts" in df.columns else "event_time").cast("timestamp"))
+    edges = df.select(at.alias("at")).approxQuantile("at", [i / parts for i in range(1, parts)], 0.01)
+    for low, high in zip([None, *edges], [*edges, None]):
+        part = df.filter(at > low) if low is not None else df
+        (part.filter(at <= high) if high is not None else part).write.mode("append").parquet(root)
     return root
 
 
