@@ -3,18 +3,19 @@
 Texts become word 5-grams labelled by their occurrence number. Each of
 ``tuples`` permutations picks the two smallest labelled 5-grams and keeps them
 in text order, so that a key is shared with a probability that follows the
-edit similarity. Texts that share a key meet in a bucket, and a bucket compares
-its members with its smallest member only. Members that the alignment rejects
-meet again without that pivot, ``rounds`` times in all; so comparisons grow
-with the members of a bucket, not with its pairs.
+edit similarity. Texts that share a key meet in a bucket. For ``rounds`` rounds
+a bucket compares its members with its smallest member only, and members that
+the alignment rejects meet again without that pivot; this joins most of a group
+of copies with few comparisons. Then all pairs of the members that are left in a
+bucket are compared, so no bucket is capped. These pairs first pass a bound
+that loses none: the overlap of the texts' word counts, held in ``BINS`` bytes.
+Buckets are dealt into blocks of ``BLOCK`` members, a task compares two blocks,
+and only pairs within the bound are aligned. The bound's work grows with the
+square of a bucket, as texts that share one passage may all be different.
 
 What this finds: texts that share a share J of their labelled 5-grams share a
 key with probability about J**2, so 10 of 16 keys for J = 0.8 and none with
-probability 8e-8. Texts that share a long passage with many others meet those
-in the keys whose two 5-grams both lie in the passage, and only there; if it
-covers a share f of them, each shared key is free of it with probability
-1 - f**2, and a bucket free of it holds near duplicates only, whose pivot is
-one of them. With f = 0.7 all shared keys lie in it with probability 0.1 %.
+probability 8e-8. Every link between texts that share a key is found.
 
 Two texts are linked if ``1 - word edits / words of the longer`` reaches
 ``similarity`` (0.8). Classes are the connected components of the links.
@@ -42,6 +43,8 @@ SHINGLE = 5
 TUPLES = 16
 SIMILARITY = 0.8
 ROUNDS = 3
+BINS = 256
+BLOCK = 2000
 _SEED = 20_240_501
 
 
@@ -90,6 +93,14 @@ def _first(order: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarra
     return hit[np.searchsorted(hit, start)]
 
 
+def word_bins(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many words of each text fall into each of ``BINS`` bins, 255 at most."""
+    n = len(at) - 1
+    doc = np.repeat(np.arange(n), np.diff(at))
+    own = doc * BINS + ((ids >> np.uint64(24)) % np.uint64(BINS)).astype(np.int64)
+    return np.minimum(np.bincount(own, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
+
+
 def _run(a: bytes, b: bytes, i: int, j: int) -> int:
     """How many 8-byte words from word i of a and word j of b on are equal."""
     most, n, step = min(len(a) // 8 - i, len(b) // 8 - j), 0, 8
@@ -188,6 +199,52 @@ def _verify(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFr
         yield pd.DataFrame({"rep": pdf["rep"], "pivot": pdf["pivot"], "linked": [similar(a, b, least) for a, b in pairs]})
 
 
+def _within_bound(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The pairs of each cell whose words may overlap enough; rows of a cell stand together."""
+    cell, rep, kind, own = pdf[["key", "i", "j"]].to_numpy(), pdf["rep"].to_numpy(), pdf["class"].to_numpy(), pdf["own"].to_numpy()
+    number = np.cumsum(np.r_[True, (cell[1:] != cell[:-1]).any(1)])
+    inner = cell[:, 1] == cell[:, 2]
+    words = pdf["words"].to_numpy().astype(np.int64)
+    bins = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(-1, BINS).astype(np.int16)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, int(np.bincount(number).max())):
+        longer = np.maximum(words[:-d], words[d:])
+        most = np.floor(longer * (1 - least) + 1e-9).astype(np.int64)
+        may = (number[:-d] == number[d:]) & (kind[:-d] != kind[d:]) & (inner[d:] | (own[:-d] != own[d:])) & (np.abs(words[:-d] - words[d:]) <= most)
+        at = np.flatnonzero(may)
+        for at in np.array_split(at, len(at) // 4096 + 1):
+            apart = np.abs(bins[at] - bins[at + d]).sum(1, dtype=np.int64)
+            at = at[words[at] + words[at + d] - apart >= 2 * (longer[at] - most[at])]
+            left.append(np.minimum(rep[at], rep[at + d]))
+            right.append(np.maximum(rep[at], rep[at + d]))
+    return pd.DataFrame({"rep": np.concatenate(right), "pivot": np.concatenate(left)}).drop_duplicates()
+
+
+def _candidates(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        cell = pdf[["key", "i", "j"]].to_numpy()
+        other = np.flatnonzero((cell != cell[-1:]).any(1))
+        done = other[-1] + 1 if len(other) else 0  # the last cell may go on
+        if done:
+            yield _within_bound(pdf[:done], least)
+        rest = pdf[done:]
+    if rest is not None and len(rest):
+        yield _within_bound(rest, least)
+
+
+def all_pairs(members: DataFrame, least: float) -> DataFrame:
+    """(rep, pivot): pairs of (key, rep, class, words, bins) with one key, two classes and enough overlap of words."""
+    open_ = members.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    dealt = members.join(open_.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "class", "words", "bins")
+    sorted_ = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return sorted_.mapInPandas(lambda it: _candidates(it, least), "rep long, pivot long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, class): the smallest node that each node of (a, b) links reaches.
 
@@ -212,51 +269,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark)
 
-    def keys(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            out: list = []
+            keys: list = []
+            words: list = []
+            bins: list = []
             for ids, at in word_hashes(s):
                 rows = iter(order_minhash(ids, at, tuples))
-                out += [next(rows) if n else [] for n in np.diff(at)]
-            yield pd.Series(out, index=s.index, dtype=object)
+                keys += [next(rows) if n else [] for n in np.diff(at)]
+                words += np.diff(at).tolist()
+                bins += [b.tobytes() for b in word_bins(ids, at)]
+            yield pd.DataFrame({"keys": pd.Series(keys, dtype=object), "words": words, "bins": bins})
 
-    kind = T.ArrayType(T.LongType())
+    kind = T.StructType().add("keys", T.ArrayType(T.LongType())).add("words", T.IntegerType()).add("bins", T.BinaryType())
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = stored(
-        docs.select("id", F.unhex(F.md5("text")).alias("copy"), F.pandas_udf(keys, kind)("text").alias("keys")), "sketches"
+        docs.select("id", F.unhex(F.md5("text")).alias("copy"), F.pandas_udf(sketch, kind)("text").alias("s")).select("id", "copy", "s.*"), "sketches"
     )
     # one representative per exact text; the hot groups of copies shrink before the shuffle
     reps = stored(
-        sketched.filter("copy is not null and id is not null").groupBy("copy").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "texts"
+        sketched.filter("copy is not null and id is not null").groupBy("copy").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("keys", "words", "bins")]), "texts"
     )
     open_ = reps.select("rep", F.explode("keys").alias("key"))
     texts, results, again = None, None, 0
-    while True:
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        if results is not None:
+            pairs = pairs.join(results, ["rep", "pivot"], "left_anti")
+        both = pairs.join(texts.withColumnsRenamed({"id": "rep"}), "rep").join(texts.withColumnsRenamed({"id": "pivot", "text": "pivot_text"}), "pivot")
+        return stored(both.mapInPandas(lambda it: _verify(it, similarity), "rep long, pivot long, linked boolean"), "links")
+
+    def linked(df: DataFrame) -> DataFrame:
+        return df.filter("linked").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+
+    while again < rounds:
         # the smallest member; partial minima come before the shuffle
         pivots = open_.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
         met = stored(open_.join(pivots, "key").filter("rep <> pivot"), "met")
         if met.limit(1).count() == 0:
             break
-        pairs = met.select("rep", "pivot").distinct()
-        if results is not None:
-            pairs = pairs.join(results, ["rep", "pivot"], "left_anti")
         if texts is None:
             need = met.select(F.col("rep").alias("id")).union(met.select("pivot")).distinct()
             texts = stored(docs.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "candidates")
-        both = pairs.join(texts.withColumnsRenamed({"id": "rep"}), "rep").join(texts.withColumnsRenamed({"id": "pivot", "text": "pivot_text"}), "pivot")
-        new = stored(both.mapInPandas(lambda it: _verify(it, similarity), "rep long, pivot long, linked boolean"), "links")
+        new = verified(met.select("rep", "pivot").distinct())
         results = new if results is None else results.union(new)
         # open stays who was no pivot and was linked to no pivot of the bucket
         judged = met.join(results, ["rep", "pivot"]).groupBy("key", "rep").agg(F.bool_or("linked").alias("linked"))
-        left = judged.filter("not linked").select("key", "rep").join(met.select("key", F.col("pivot").alias("rep")).distinct(), ["key", "rep"], "left_anti")
+        open_ = judged.filter("not linked").select("key", "rep").join(met.select("key", F.col("pivot").alias("rep")).distinct(), ["key", "rep"], "left_anti")
         again += 1
-        open_ = left
-        if again == rounds:
-            break
     if results is None:
         classes = reps.select("copy", F.col("rep").alias("class_id"))
     else:
-        found = components(results.filter("linked").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        found = components(linked(results)).withColumnRenamed("node", "rep")
+        known = reps.join(found, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+        rest = verified(all_pairs(open_.join(known.select("rep", "class", "words", "bins"), "rep"), similarity))
+        found = components(linked(results.union(rest)))
         classes = reps.select("copy", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("copy", F.coalesce("class", "rep").alias("class_id"))
     return (
         sketched.select("id", "copy").join(classes, "copy", "left")

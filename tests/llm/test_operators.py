@@ -209,6 +209,29 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def linked_classes(texts, tuples=near_dup.TUPLES):
+    """The smallest index of each text's class, by brute force over the pairs that share a key."""
+    words = list(text_words(texts))
+    keys = [set(near_dup.order_minhash(w, np.array([0, len(w)]), tuples)[0].tolist()) for w in words]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if up[i] != up[j] and keys[i] & keys[j] and near_dup.similar(words[i], words[j]):
+                low, high = sorted((up[i], up[j]))
+                up = [low if x == high else x for x in up]
+    return dict(enumerate(up))
+
+
+def test_near_duplicates_that_share_a_passage_with_many(spark):
+    passage = prose(150, 78)
+    texts = [passage + " " + prose(50, 6000 + i) for i in range(30)]
+    texts += [t + " end" for t in texts]
+    want = linked_classes(texts, 1)  # with one key most meet in the passage's bucket only
+    assert len(set(want.values())) < 45
+    out = near_dup.near_duplicates(docs(spark, texts), tuples=1).collect()
+    assert {x["doc_id"]: x["class_id"] for x in out} == want
+
+
 # 9
 def test_top_k(spark):
     g = np.random.default_rng(4)
