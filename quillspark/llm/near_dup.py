@@ -6,9 +6,9 @@ in text order, so that a key is shared with a probability that follows the
 edit similarity. Texts that share a key meet in a bucket. For ``rounds`` rounds
 a bucket compares its members with its smallest member only, and members that
 the alignment rejects meet again without that pivot; this joins most of a group
-of copies with few comparisons. Then all pairs of the members that are left in a
-bucket are compared, so no bucket is capped. These pairs first pass a bound
-that loses none: the overlap of the texts' word counts, held in ``BINS`` bytes.
+of copies with few comparisons. Then all pairs of a bucket's members, linked or
+not, that are not in one class yet are compared, so no bucket is capped and no
+link through a third text is lost. These pairs first pass a bound that loses none: the overlap of the texts' word counts, held in ``BINS`` bytes.
 Buckets are dealt into blocks of ``BLOCK`` members, a task compares two blocks,
 and only pairs within the bound are aligned. The bound's work grows with the
 square of a bucket, as texts that share one passage may all be different.
@@ -234,11 +234,11 @@ def _candidates(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.Da
         yield _within_bound(rest, least)
 
 
-def all_pairs(members: DataFrame, least: float) -> DataFrame:
-    """(rep, pivot): pairs of (key, rep, class, words, bins) with one key, two classes and enough overlap of words."""
+def all_pairs(members: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+    """(rep, pivot): pairs of (key, rep, class) with one key, two classes and enough overlap of words; sizes: (rep, words, bins)."""
     open_ = members.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    dealt = members.join(open_.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+    dealt = members.join(open_.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).join(sizes, "rep")
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "class", "words", "bins")
     sorted_ = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -309,6 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if met.limit(1).count() == 0:
             break
         if texts is None:
+            first = met
             need = met.select(F.col("rep").alias("id")).union(met.select("pivot")).distinct()
             texts = stored(docs.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "candidates")
         new = verified(met.select("rep", "pivot").distinct())
@@ -322,7 +323,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         found = components(linked(results)).withColumnRenamed("node", "rep")
         known = reps.join(found, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-        rest = verified(all_pairs(open_.join(known.select("rep", "class", "words", "bins"), "rep"), similarity))
+        # linked members too: they may be the only link of others to the class
+        members = first.select("key", "rep").union(first.select("key", F.col("pivot").alias("rep")).distinct())
+        rest = verified(all_pairs(members.join(known.select("rep", "class"), "rep"), reps.select("rep", "words", "bins"), similarity))
         found = components(linked(results.union(rest)))
         classes = reps.select("copy", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("copy", F.coalesce("class", "rep").alias("class_id"))
     return (

@@ -232,6 +232,28 @@ def test_near_duplicates_that_share_a_passage_with_many(spark):
     assert {x["doc_id"]: x["class_id"] for x in out} == want
 
 
+def test_near_duplicates_through_a_hub_and_along_versions(spark):
+    r = random.Random(8)
+    hub = prose(200, 7000).split()
+    texts = []
+    for i in range(60):  # variants of the hub, unlike each other
+        own = list(hub)
+        for k, j in enumerate(r.sample(range(200), 30)):
+            own[j] = f"v{i}w{k}"
+        texts.append(" ".join(own))
+    texts.append(" ".join(hub))
+    version = prose(200, 7001).split()
+    for i in range(20):
+        version[i * 10 : i * 10 + 10] = prose(10, 7100 + i).split()
+        texts.append(" ".join(version))
+    r.shuffle(texts)
+    texts.sort(key=lambda t: t == " ".join(hub))  # the hub's id is the largest
+    want = linked_classes(texts)
+    out = near_dup.near_duplicates(docs(spark, texts)).collect()
+    assert {x["doc_id"]: x["class_id"] for x in out} == want
+    assert sum(want[i] == want[len(texts) - 1] for i in want) >= 40
+
+
 # 9
 def test_top_k(spark):
     g = np.random.default_rng(4)
