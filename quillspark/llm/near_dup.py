@@ -1,7 +1,7 @@
 """MinHash near-duplicates by Order MinHash, verified by banded alignment.
 
-Texts become word 5-grams labelled by their occurrence number. Each of
-``tuples`` permutations picks the two smallest labelled 5-grams and keeps them
+Texts become word 3-grams labelled by their occurrence number. Each of
+``tuples`` permutations picks the two smallest labelled 3-grams and keeps them
 in text order, so that a key is shared with a probability that follows the
 edit similarity. Texts that share a key meet in a bucket. For ``rounds`` rounds
 a bucket compares its members with its smallest member only, and members that
@@ -13,9 +13,13 @@ Buckets are dealt into blocks of ``BLOCK`` members, a task compares two blocks,
 and only pairs within the bound are aligned. The bound's work grows with the
 square of a bucket, as texts that share one passage may all be different.
 
-What this finds: texts that share a share J of their labelled 5-grams share a
-key with probability about J**2, so 10 of 16 keys for J = 0.8 and none with
-probability 8e-8. Every link between texts that share a key is found.
+What this finds: texts that share a share J of their labelled 3-grams share a
+key with probability about J**2, and every link between texts that share a key
+is found. An edit spoils at most three 3-grams, so J is at least 0.25 at edit
+similarity 0.8 (every fifth word changed) and about 0.34 if the changes fall at
+random: one of 80 keys is shared with probability 0.994 and over 0.9999. Texts
+of up to ``SHORT`` words get keys of 2-grams besides, as changes in them may
+leave no 3-gram.
 
 Two texts are linked if ``1 - word edits / words of the longer`` reaches
 ``similarity`` (0.8). Classes are the connected components of the links.
@@ -39,8 +43,9 @@ from pyspark.sql import types as T
 
 from .common import cut, mix, small_batches, stored, text_words, word_hashes
 
-SHINGLE = 5
-TUPLES = 16
+SHINGLE = 3
+TUPLES = 80
+SHORT = 40
 SIMILARITY = 0.8
 ROUNDS = 3
 BINS = 256
@@ -87,6 +92,15 @@ def order_minhash(ids: np.ndarray, at: np.ndarray, tuples: int = TUPLES, k: int
     return keys.view(np.int64)
 
 
+def text_keys(ids: np.ndarray, at: np.ndarray, tuples: int = TUPLES) -> list[np.ndarray]:
+    """The keys of each text: of 3-grams, and of 2-grams too for short texts; none without words."""
+    size = np.diff(at)
+    rows, few = iter(order_minhash(ids, at, tuples)), size <= SHORT
+    out = [next(rows) if n else np.zeros(0, np.int64) for n in size]
+    short = iter(order_minhash(ids[np.repeat(few, size)], np.r_[0, np.cumsum(size[few])], tuples, SHINGLE - 1))
+    return [np.r_[k, next(short)] if f and n else k for k, f, n in zip(out, few, size)]
+
+
 def _first(order: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Where the smallest value of each stretch stands first."""
     hit = np.flatnonzero(order == np.repeat(np.minimum.reduceat(order, start), count))
@@ -275,8 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             words: list = []
             bins: list = []
             for ids, at in word_hashes(s):
-                rows = iter(order_minhash(ids, at, tuples))
-                keys += [next(rows) if n else [] for n in np.diff(at)]
+                keys += text_keys(ids, at, tuples)
                 words += np.diff(at).tolist()
                 bins += [b.tobytes() for b in word_bins(ids, at)]
             yield pd.DataFrame({"keys": pd.Series(keys, dtype=object), "words": words, "bins": bins})

@@ -212,7 +212,7 @@ def test_near_duplicates(spark):
 def linked_classes(texts, tuples=near_dup.TUPLES):
     """The smallest index of each text's class, by brute force over the pairs that share a key."""
     words = list(text_words(texts))
-    keys = [set(near_dup.order_minhash(w, np.array([0, len(w)]), tuples)[0].tolist()) for w in words]
+    keys = [set(near_dup.text_keys(w, np.array([0, len(w)]), tuples)[0].tolist()) for w in words]
     up = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
@@ -254,6 +254,22 @@ def test_near_duplicates_through_a_hub_and_along_versions(spark):
     assert sum(want[i] == want[len(texts) - 1] for i in want) >= 40
 
 
+def test_keys_meet_at_the_stated_similarity():
+    r = random.Random(12)
+    for size, least in ((5, 0.9), (10, 0.97), (60, 0.97), (300, 0.97)):
+        for even in (False, True):
+            met = 0
+            for i in range(200):
+                a = prose(size, 8000 + i).split()
+                b = list(a)
+                for j in range(2, size, 5) if even else r.sample(range(size), size // 5):
+                    b[j] = f"new{j}"
+                x, y = text_words([" ".join(a), " ".join(b)])
+                assert near_dup.similar(x, y)
+                met += bool(np.isin(*(near_dup.text_keys(w, np.array([0, len(w)]))[0] for w in (x, y))).any())
+            assert met >= least * 200, (size, even, met)
+
+
 # 9
 def test_top_k(spark):
     g = np.random.default_rng(4)
