@@ -22,20 +22,28 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_scores(queries: DataFrame, vectors: DataFrame, allowed: DataFrame | None = None, most: int = 20_000) -> DataFrame:
+def cosine_scores(queries: DataFrame, vectors: DataFrame, allowed: DataFrame | None = None, block: int = 20_000) -> DataFrame:
     """(query_id, doc_id, score) of every query and vector; both need ``vector`` of length 1.
 
-    The query table is broadcast after its size is checked (512 bytes a query);
-    a larger one is ranked in several calls. Null vectors take no part. Only
-    the k best of each task travel once ``ranking.top`` is applied.
+    Up to ``block`` queries are broadcast (512 bytes a query). More are dealt
+    into blocks of about that number, and the vectors too; each pair of blocks
+    is joined by its own key. Null vectors take no part. Only the k best of each task travel once
+    ``ranking.top`` is applied.
     """
-    n = queries.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"over {most} queries; split the table")
     if allowed is not None:
         vectors = vectors.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-    q = F.broadcast(queries.select("query_id", F.col("vector").alias("q")).filter("q is not null"))
-    return vectors.filter("vector is not null").join(q).select("query_id", "doc_id", dot(F.col("vector"), F.col("q")).alias("score"))
+    q = queries.select("query_id", F.col("vector").alias("q")).filter("q is not null")
+    vectors = vectors.filter("vector is not null")
+    blocks = -(-q.count() // block)
+    if blocks <= 1:
+        both = vectors.join(F.broadcast(q))
+    else:
+        down = max(1, -(-vectors.count() // block))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+        dealt = q.withColumn("a", F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("bigint"))).withColumn("b", every(down))
+        rows = vectors.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(down).cast("bigint"))).withColumn("a", every(blocks))
+        both = rows.join(dealt.hint("merge"), ["a", "b"])
+    return both.select("query_id", "doc_id", dot(F.col("vector"), F.col("q")).alias("score"))
 
 
 def rescored(candidates: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:

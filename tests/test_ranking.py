@@ -87,3 +87,10 @@ def test_empty_documents_are_refused(spark):
     tokens = spark.createDataFrame([(7, "en", [])], "doc_id long, lang string, tokens array<string>")
     with pytest.raises(ValueError, match="7"):
         ix.refuse_empty(tokens)
+
+
+def test_cosine_scores_of_many_blocks_of_queries(spark):
+    q = spark.range(7).selectExpr("id AS query_id", "array(cast(id AS double), 1d) AS vector")
+    v = spark.range(9).selectExpr("id AS doc_id", "array(1d, cast(id AS double)) AS vector")
+    rows = de.cosine_scores(q, v, None, 3).collect()
+    assert sorted((r["query_id"], r["doc_id"], r["score"]) for r in rows) == [(a, b, float(a + b)) for a in range(7) for b in range(9)]
