@@ -399,7 +399,7 @@ def _(s, d):
 
 @query("x05_bootstrap")
 def _(s, d):
-    return st.bootstrap(long(s, d).filter(F.col("metric").isin("ap", "ndcg_10")), 2_000)
+    return st.bootstrap(long(s, d).filter(F.col("metric").isin("ap", "ndcg_10")))
 
 
 @query("x06_direction", f"WITH {_CMP} SELECT a, b, metric, CAST(sign(avg(x - y)) AS INT) AS direction FROM pr GROUP BY ALL")

@@ -86,3 +86,13 @@ def test_two_titles_fail(spark):
 def test_bands(spark):
     row = spark.range(1).select(ju.bands(F.lit(0.61)).alias("a"), ju.bands(F.lit(None).cast("double")).alias("b")).first()
     assert tuple(row) == ("Substantial agreement", "N/A")
+
+
+def test_registered_bootstrap_takes_all_resamples(spark, monkeypatch):
+    from quillspark.operators import stats
+    from quillspark.plans import QUERIES, evaluation
+
+    values = spark.range(12).selectExpr("'s' AS system", "'ap' AS metric", "id AS query_id", "id * id / 7D AS value")
+    monkeypatch.setattr(evaluation, "long", lambda s, d: values)
+    assert QUERIES["x05_bootstrap"](spark, "").collect() == stats.bootstrap(values, 10_000).collect()
+    assert stats.bootstrap(values, 2_000).collect() != stats.bootstrap(values, 10_000).collect()
