@@ -1,10 +1,11 @@
 """Exact top-k search over an impact-ordered, score-at-a-time index.
 
 Vectors become integers, floor(256 x). Queries and rows are dealt into blocks
-of bounded size, and each pair of a query block and a row block is one group:
-its rows are indexed by posting segments of (dimension, quantised impact), where
-the impact level of a component is its magnitude's band. A group adds whole
-levels in descending order to its accumulators. What the lower levels can still
+of bounded size, and each pair of a query block and a row block is one group.
+The impact level of a component is its magnitude's band. No posting segments
+are built: a product of the blocks with all other levels masked stands for a
+level's postings. A group adds whole levels in descending order to its
+accumulators. What the lower levels can still
 add or take is bounded by the next level's edge; the walk stops once every row
 that is left out is proved to be below the k-th lower bound, and the possible
 members are then scored exactly. The best k of each block meet in one window.
