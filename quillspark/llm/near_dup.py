@@ -1,25 +1,30 @@
 """MinHash near-duplicates by Order MinHash, verified by banded alignment.
 
-Texts become word 3-grams labelled by their occurrence number. Each of
-``tuples`` permutations picks the two smallest labelled 3-grams and keeps them
-in text order, so that a key is shared with a probability that follows the
-edit similarity. Texts that share a key meet in a bucket. For ``rounds`` rounds
-a bucket compares its members with its smallest member only, and members that
-the alignment rejects meet again without that pivot; this joins most of a group
-of copies with few comparisons. Then all pairs of a bucket's members, linked or
-not, that are not in one class yet are compared, so no bucket is capped and no
-link through a third text is lost. These pairs first pass a bound that loses none: the overlap of the texts' word counts, held in ``BINS`` bytes.
-Buckets are dealt into blocks of ``BLOCK`` members, a task compares two blocks,
-and only pairs within the bound are aligned. The bound's work grows with the
-square of a bucket, as texts that share one passage may all be different.
-
-What this finds: texts that share a share J of their labelled 3-grams share a
+Texts become word k-mers labelled by their occurrence number. Each permutation
+picks the two smallest labelled k-mers and keeps them in text order, so that a
+key is shared with a probability that follows the edit similarity. There are 16
+keys of five-word k-mers and 64 of three-word ones. Texts that share a key meet
+in a bucket; of buckets with equal members one is kept.
+
+For ``rounds`` rounds a bucket compares its members with its smallest member
+only, and members that the alignment rejects meet again without that pivot;
+this joins most of a group of copies with few comparisons. Then the members,
+linked or not, of each bucket that still holds two classes are dealt into
+blocks of bounded size, and a task compares two blocks: pairs of two classes
+within a bound that loses none (the overlap of the texts' word counts, held in
+``BINS`` bytes) are aligned, and a link makes one class of two at once. So no
+bucket is capped, no link through a third text is lost, and a task returns no
+pairs but the links that join classes. This work grows with the square of a
+bucket where texts that share one passage are all different.
+
+What this finds: texts that share a share J of their labelled k-mers share a
 key with probability about J**2, and every link between texts that share a key
-is found. An edit spoils at most three 3-grams, so J is at least 0.25 at edit
-similarity 0.8 (every fifth word changed) and about 0.34 if the changes fall at
-random: one of 80 keys is shared with probability 0.994 and over 0.9999. Texts
-of up to ``SHORT`` words get keys of 2-grams besides, as changes in them may
-leave no 3-gram.
+is found. Texts with 0.8 of their five-word k-mers in common share one of the
+16 keys with probability 1 - 8e-8. An edit spoils at most three 3-mers, so J
+is at least 0.25 at edit similarity 0.8 (every fifth word changed) and about
+0.34 if the changes fall at random: one of 64 keys is shared with probability
+0.98 and 0.9996. Texts of up to ``SHORT`` words get keys of 2-mers besides, as
+changes in them may leave no 3-mer.
 
 Two texts are linked if ``1 - word edits / words of the longer`` reaches
 ``similarity`` (0.8). Classes are the connected components of the links.
@@ -33,27 +38,32 @@ gives an empty result; further columns don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, mix, small_batches, stored, text_words, word_hashes
 
-SHINGLE = 3
-TUPLES = 80
-SHORT = 40
+#: Words of a k-mer, and keys made of such k-mers.
+SHINGLES = ((5, 16), (3, 64))
+SHORT, SHORT_SHINGLES = 40, ((2, 80),)
 SIMILARITY = 0.8
-ROUNDS = 3
+ROUNDS = 2
 BINS = 256
-BLOCK = 2000
+#: Members and words of a block, about.
+BLOCK, BLOCK_WORDS = 4000, 2_000_000
+#: Open pairs of a cell's part, about.
+PART = 2000
+_CELL = ["key", "i", "j", "x", "y"]
 _SEED = 20_240_501
 
 
-def order_minhash(ids: np.ndarray, at: np.ndarray, tuples: int = TUPLES, k: int = SHINGLE) -> np.ndarray:
+def order_minhash(ids: np.ndarray, at: np.ndarray, k: int, tuples: int) -> np.ndarray:
     """The keys of many texts, a row for each text that has words.
 
     ids: the word hashes of all texts; at: where each text's words start. A
@@ -88,17 +98,18 @@ def order_minhash(ids: np.ndarray, at: np.ndarray, tuples: int = TUPLES, k: int
         order[one] = most
         two = np.where(count > 1, _first(order, start, count), one)
         a, b = labelled[np.minimum(one, two)], labelled[np.maximum(one, two)]
-        keys[:, i] = mix(a * np.uint64(3) + mix(b + np.uint64(i)))
+        keys[:, i] = mix(a * np.uint64(3) + mix(b + np.uint64(i + 1000 * k)))
     return keys.view(np.int64)
 
 
-def text_keys(ids: np.ndarray, at: np.ndarray, tuples: int = TUPLES) -> list[np.ndarray]:
-    """The keys of each text: of 3-grams, and of 2-grams too for short texts; none without words."""
+def text_keys(ids: np.ndarray, at: np.ndarray, shingles: tuple = SHINGLES, short: tuple = SHORT_SHINGLES) -> list[np.ndarray]:
+    """The keys of each text, with those of short texts' smaller k-mers; none without words."""
     size = np.diff(at)
-    rows, few = iter(order_minhash(ids, at, tuples)), size <= SHORT
-    out = [next(rows) if n else np.zeros(0, np.int64) for n in size]
-    short = iter(order_minhash(ids[np.repeat(few, size)], np.r_[0, np.cumsum(size[few])], tuples, SHINGLE - 1))
-    return [np.r_[k, next(short)] if f and n else k for k, f, n in zip(out, few, size)]
+    few = size <= SHORT
+    rows = zip(*[order_minhash(ids, at, k, n) for k, n in shingles])
+    more = zip(*[order_minhash(ids[np.repeat(few, size)], np.r_[0, np.cumsum(size[few])], k, n) for k, n in short])
+    out = [np.concatenate(next(rows)) if n else np.zeros(0, np.int64) for n in size]
+    return [np.concatenate([own, *next(more)]) if short and f and n else own for own, f, n in zip(out, few, size)]
 
 
 def _first(order: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -192,17 +203,26 @@ def banded_edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return now if now <= most else None
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether the edit similarity of two texts' word hashes is ``least`` or more."""
+def _pairs_of_words(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of neighbouring words of a text and how often each stands there."""
+    return np.unique(mix(a[:-1] * np.uint64(3) + a[1:]), return_counts=True)
+
+
+def _few_in_common(a: tuple, b: tuple, longer: int, most: int) -> bool:
+    """Whether two texts share fewer pairs of words than ``most`` edits leave, each of which spoils two."""
+    _, i, j = np.intersect1d(a[0], b[0], True, True)
+    return np.minimum(a[1][i], b[1][j]).sum() < longer - 1 - 2 * most
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, pairs: tuple | None = None) -> bool:
+    """Whether the edit similarity of two texts' word hashes is ``least`` or more; pairs: of their words, if known."""
     longer = max(len(a), len(b))
     if not longer:
         return False
     most = int(longer * (1 - least) + 1e-9)
-    if few_edits(a, b, min(most, 8)) is not None:
+    if pairs is None and few_edits(a, b, min(most, 8)) is not None:
         return True
-    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, True, True)
-    if np.minimum(n[i], m[j]).sum() < longer - most:  # so many words must be equal at least
+    if _few_in_common(*(pairs or (_pairs_of_words(a), _pairs_of_words(b))), longer, most):
         return False
     return banded_edits(a, b, most) is not None
 
@@ -213,50 +233,101 @@ def _verify(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFr
         yield pd.DataFrame({"rep": pdf["rep"], "pivot": pdf["pivot"], "linked": [similar(a, b, least) for a, b in pairs]})
 
 
-def _within_bound(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """The pairs of each cell whose words may overlap enough; rows of a cell stand together."""
-    cell, rep, kind, own = pdf[["key", "i", "j"]].to_numpy(), pdf["rep"].to_numpy(), pdf["class"].to_numpy(), pdf["own"].to_numpy()
-    number = np.cumsum(np.r_[True, (cell[1:] != cell[:-1]).any(1)])
-    inner = cell[:, 1] == cell[:, 2]
-    words = pdf["words"].to_numpy().astype(np.int64)
+def _earlier(keys: pd.Series, key: int) -> tuple[np.ndarray, list[int]]:
+    """For each member, the bits of those keys before this one that it shares with others of the cell: the 64 most frequent, and all."""
+    own = [ks[ks < key] for ks in map(np.asarray, keys)]
+    every, n = np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_counts=True)
+    shared = every[n > 1][np.argsort(-n[n > 1], kind="stable")]
+    bit = dict(zip(shared.tolist(), range(len(shared))))
+    whole = [sum(1 << bit[k] for k in ks.tolist() if k in bit) for ks in own]
+    return np.array([m & (2**64 - 1) for m in whole], np.uint64), whole
+
+
+def _open_pairs(pdf: pd.DataFrame, kind: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """The pairs of a cell's members within the bound that are of two kinds when their turn comes.
+
+    A pair is left to the first of the keys that it shares.
+    """
+    own, part, words = pdf["own"].to_numpy(), pdf["part"].to_numpy(), pdf["words"].to_numpy().astype(np.int64)
+    inner, whole = pdf["i"].iloc[0] == pdf["j"].iloc[0], pdf["x"].iloc[0] == pdf["y"].iloc[0]
+    first, earlier = _earlier(pdf["keys"], pdf["key"].iloc[0])
     bins = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(-1, BINS).astype(np.int16)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for d in range(1, int(np.bincount(number).max())):
+    for d in range(1, len(pdf)):
         longer = np.maximum(words[:-d], words[d:])
         most = np.floor(longer * (1 - least) + 1e-9).astype(np.int64)
-        may = (number[:-d] == number[d:]) & (kind[:-d] != kind[d:]) & (inner[d:] | (own[:-d] != own[d:])) & (np.abs(words[:-d] - words[d:]) <= most)
+        may = (kind[:-d] != kind[d:]) & (inner | (own[:-d] != own[d:])) & (whole | (part[:-d] != part[d:])) & (np.abs(words[:-d] - words[d:]) <= most) & (first[:-d] & first[d:] == 0)
         at = np.flatnonzero(may)
         for at in np.array_split(at, len(at) // 4096 + 1):
             apart = np.abs(bins[at] - bins[at + d]).sum(1, dtype=np.int64)
-            at = at[words[at] + words[at + d] - apart >= 2 * (longer[at] - most[at])]
-            left.append(np.minimum(rep[at], rep[at + d]))
-            right.append(np.maximum(rep[at], rep[at + d]))
-    return pd.DataFrame({"rep": np.concatenate(right), "pivot": np.concatenate(left)}).drop_duplicates()
+            for a in at[words[at] + words[at + d] - apart >= 2 * (longer[at] - most[at])].tolist():
+                if kind[a] != kind[a + d] and not earlier[a] & earlier[a + d]:
+                    yield a, a + d
+        if (kind == kind[0]).all():
+            break
 
 
-def _candidates(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+def _involved(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The members of a cell that stand in an open pair, dealt into parts of which a task compares two."""
+    hit, n = np.zeros(len(pdf), bool), 0
+    for a, b in _open_pairs(pdf, pdf["class"].to_numpy(), least):
+        hit[a] = hit[b] = True
+        n += 1
+    found = pdf.loc[hit, [*_CELL[:3], "own", "rep", "class"]]
+    parts = int(np.ceil(np.sqrt(max(n, 1) / PART)))
+    part = np.arange(len(found)) % parts
+    return pd.concat([found.assign(part=part, x=np.minimum(part, p), y=np.maximum(part, p)) for p in range(parts)])
+
+
+def _cell_links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links that join the classes of a cell's members, found by aligning the open pairs."""
+    kind, rep = np.unique(pdf["class"], return_inverse=True)[1], pdf["rep"].to_numpy()
+    texts = list(text_words(pdf["text"]))
+    pairs = [_pairs_of_words(t) for t in texts]
+    found = []
+    for a, b in _open_pairs(pdf, kind, least):
+        if similar(texts[a], texts[b], least, (pairs[a], pairs[b])):
+            kind[kind == kind[a]] = kind[b]
+            found.append((rep[a], rep[b]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+
+def _by_cell(batches: Iterator[pd.DataFrame], f: Callable[[pd.DataFrame, float], pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """f of each cell; a cell's rows stand together and may go on in the next batch."""
     rest = None
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        cell = pdf[["key", "i", "j"]].to_numpy()
-        other = np.flatnonzero((cell != cell[-1:]).any(1))
-        done = other[-1] + 1 if len(other) else 0  # the last cell may go on
-        if done:
-            yield _within_bound(pdf[:done], least)
-        rest = pdf[done:]
+        cell = pdf[_CELL].to_numpy()
+        cuts = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
+        for first, last in zip(np.r_[0, cuts[:-1]] if len(cuts) else (), cuts):
+            yield f(pdf[first:last].reset_index(drop=True), least)
+        rest = pdf[cuts[-1] :] if len(cuts) else pdf
     if rest is not None and len(rest):
-        yield _within_bound(rest, least)
+        yield f(rest.reset_index(drop=True), least)
+
+
+def cell_links(members: DataFrame, sizes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between the classes of the members (key, rep, class) of a key; sizes: rep, words, bins; texts: id, text.
+
+    The first pass over the cells, without texts, finds the members that stand
+    in an open pair, so that only their texts are sent to the second.
+    """
+    sized = members.join(sizes.select("rep", "words"), "rep")
+    open_ = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("words").alias("w"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_WORDS)).cast("long")
+    dealt = stored(members.join(open_.select("key", blocks.alias("blocks")), "key"), "open")
+    keys = dealt.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # as many as a text has at most
+    each = stored(keys.join(sizes, "rep"), "open")
+    cells = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "class")
 
+    def together(df: DataFrame) -> DataFrame:
+        return df.repartition(*_CELL).sortWithinPartitions(*_CELL, "rep")
 
-def all_pairs(members: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
-    """(rep, pivot): pairs of (key, rep, class) with one key, two classes and enough overlap of words; sizes: (rep, words, bins)."""
-    open_ = members.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    dealt = members.join(open_.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).join(sizes, "rep")
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "class", "words", "bins")
-    sorted_ = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sorted_.mapInPandas(lambda it: _candidates(it, least), "rep long, pivot long").distinct()
+    cells = cells.select("*", *[F.lit(0).cast("long").alias(c) for c in ("part", "x", "y")])
+    kind = ", ".join(f"{c} long" for c in (*_CELL[:3], "own", "rep", "class", "part", "x", "y"))
+    met = stored(together(cells.join(each, "rep")).mapInPandas(lambda it: _by_cell(it, _involved, least), kind), "met")
+    whole = met.join(each, "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
+    return together(whole).mapInPandas(lambda it: _by_cell(it, _cell_links, least), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -278,7 +349,9 @@ def components(links: DataFrame) -> DataFrame:
             return now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, tuples: int = TUPLES, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingles: tuple = SHINGLES, short: tuple = SHORT_SHINGLES, rounds: int = ROUNDS
+) -> DataFrame:
     """One row per document: its id and ``class_id``, the smallest id of its class."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -289,7 +362,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             words: list = []
             bins: list = []
             for ids, at in word_hashes(s):
-                keys += text_keys(ids, at, tuples)
+                keys += text_keys(ids, at, shingles, short)
                 words += np.diff(at).tolist()
                 bins += [b.tobytes() for b in word_bins(ids, at)]
             yield pd.DataFrame({"keys": pd.Series(keys, dtype=object), "words": words, "bins": bins})
@@ -300,51 +373,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         docs.select("id", F.unhex(F.md5("text")).alias("copy"), F.pandas_udf(sketch, kind)("text").alias("s")).select("id", "copy", "s.*"), "sketches"
     )
     # one representative per exact text; the hot groups of copies shrink before the shuffle
-    reps = stored(
-        sketched.filter("copy is not null and id is not null").groupBy("copy").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("keys", "words", "bins")]), "texts"
+    reps = stored(sketched.filter("copy is not null and id is not null").groupBy("copy").agg(F.min("id").alias("rep")), "texts")
+    own = sketched.join(reps.select(F.col("rep").alias("id"), "copy"), ["id", "copy"], "left_semi").withColumnRenamed("id", "rep")
+    keyed = own.select("rep", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    members = stored(keyed.join(shared, "key").distinct(), "members")
+    # of keys with the same members one is enough
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"))
+    kept = buckets.filter("n > 1").groupBy("pivot", "n", "s").agg(F.min("key").alias("key")).select("key")
+    members = stored(members.join(kept, "key"), "members")
+    known = reps.select("rep", F.col("rep").alias("class"))
+    if members.limit(1).count():
+        need = members.select("rep").distinct()
+        sizes = stored(own.join(need, "rep", "left_semi").groupBy("rep").agg(F.first("words").alias("words"), F.first("bins").alias("bins")), "sizes")
+        texts = stored(docs.join(need.withColumnRenamed("rep", "id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "candidates")
+        links = _pivot_links(members, texts, similarity, rounds)
+        known = stored(_near_classes(known, links), "classes")
+        # linked members too: they may be the only link of others to the class
+        rest = stored(cell_links(members.join(known, "rep"), sizes, texts, similarity), "links")
+        joined = components(links.union(rest)).select(F.col("node").alias("rep"), F.col("class").alias("low"))
+        known = reps.select("rep").join(joined, "rep", "left").select("rep", F.coalesce("low", "rep").alias("class"))
+    classes = reps.join(known, "rep").select("copy", F.col("class").alias("class_id"))
+    return (
+        sketched.select("id", "copy").join(classes, "copy", "left")
+        .select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
     )
-    open_ = reps.select("rep", F.explode("keys").alias("key"))
-    texts, results, again = None, None, 0
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        if results is not None:
-            pairs = pairs.join(results, ["rep", "pivot"], "left_anti")
-        both = pairs.join(texts.withColumnsRenamed({"id": "rep"}), "rep").join(texts.withColumnsRenamed({"id": "pivot", "text": "pivot_text"}), "pivot")
-        return stored(both.mapInPandas(lambda it: _verify(it, similarity), "rep long, pivot long, linked boolean"), "links")
 
-    def linked(df: DataFrame) -> DataFrame:
-        return df.filter("linked").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+def _near_classes(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, class) after two steps along links (a, b) to smaller nodes: never too wide, and whole for most stars of copies."""
+    down = links.groupBy("a").agg(F.min("b").alias("b"))
+    step = known.join(down.withColumnRenamed("a", "class"), "class", "left").select("rep", F.coalesce("b", "class").alias("class"))
+    return step.join(down.withColumnRenamed("a", "class"), "class", "left").select("rep", F.coalesce("b", "class").alias("class"))
+
 
-    while again < rounds:
-        # the smallest member; partial minima come before the shuffle
+def _pivot_links(members: DataFrame, texts: DataFrame, similarity: float, rounds: int) -> DataFrame:
+    """(a, b): links of members (key, rep) to the smallest open member of their key, for some rounds."""
+    open_, links = members, []
+    for again in range(rounds):
+        # partial minima come before the shuffle
         pivots = open_.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
         met = stored(open_.join(pivots, "key").filter("rep <> pivot"), "met")
-        if met.limit(1).count() == 0:
-            break
-        if texts is None:
-            first = met
-            need = met.select(F.col("rep").alias("id")).union(met.select("pivot")).distinct()
-            texts = stored(docs.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "candidates")
-        new = verified(met.select("rep", "pivot").distinct())
-        results = new if results is None else results.union(new)
-        # open stays who was no pivot and was linked to no pivot of the bucket
-        judged = met.join(results, ["rep", "pivot"]).groupBy("key", "rep").agg(F.bool_or("linked").alias("linked"))
-        open_ = judged.filter("not linked").select("key", "rep").join(met.select("key", F.col("pivot").alias("rep")).distinct(), ["key", "rep"], "left_anti")
-        again += 1
-    if results is None:
-        classes = reps.select("copy", F.col("rep").alias("class_id"))
-    else:
-        found = components(linked(results)).withColumnRenamed("node", "rep")
-        known = reps.join(found, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-        # linked members too: they may be the only link of others to the class
-        members = first.select("key", "rep").union(first.select("key", F.col("pivot").alias("rep")).distinct())
-        rest = verified(all_pairs(members.join(known.select("rep", "class"), "rep"), reps.select("rep", "words", "bins"), similarity))
-        found = components(linked(results.union(rest)))
-        classes = reps.select("copy", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("copy", F.coalesce("class", "rep").alias("class_id"))
-    return (
-        sketched.select("id", "copy").join(classes, "copy", "left")
-        .select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
-    )
+        pairs = met.select("rep", "pivot").distinct().join(texts.withColumnRenamed("id", "rep"), "rep").join(texts.withColumnsRenamed({"id": "pivot", "text": "pivot_text"}), "pivot")
+        judged = stored(pairs.mapInPandas(lambda it: _verify(it, similarity), "rep long, pivot long, linked boolean"), "links")
+        links.append(judged.filter("linked").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        if again + 1 < rounds:  # open stays who was no pivot and was not linked to it
+            open_ = met.join(judged.filter("not linked"), ["rep", "pivot"], "left_semi").select("key", "rep")
+    return reduce(DataFrame.union, links)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
