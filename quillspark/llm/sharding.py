@@ -10,19 +10,20 @@ so a row is rewritten about once for each tier. Old shards are left untouched
 until ``vacuum``, so readers of an older version are not disturbed.
 
 A manifest is a Parquet folder of one row for each shard. It is written aside
-and becomes version n + 1 by one rename that fails if that version exists: a
-reader sees all of a version or nothing, and of two writers one has to retry.
-(On stores without an atomic rename another commit step is needed.)
+and becomes version n + 1 by one rename without overwriting: a reader sees all
+of a version or nothing, and of two writers one has to retry. (On stores
+without an atomic rename another commit step is needed.)
 
-The rows of the shards to be merged are shuffled once, by target file; a file
-larger than the rest doesn't arise, as groups are cut by size. Group sizes
+The rows of the shards to be merged are shuffled once, and each target file is
+a task of its own, dealt by its number; a file larger than the rest doesn't
+arise, as groups are cut by size. Group sizes
 follow from file sizes alone, so a source with a third of all rows makes more
 files, not larger ones.
 
 Defined results: rows are kept as they are, with nulls, empty and very long
 texts, repeated rows and further columns (a column ``shard`` or ``version`` of
-the input is replaced in what ``read`` returns); an empty table gives a
-manifest without shards and reads as no rows.
+the input is replaced in what ``read`` returns, any other name stays); an empty
+table gives a manifest without shards and reads as no rows of its columns.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import math
 import uuid
 
 from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,20 +78,32 @@ class Shards:
     def _commit(self, shards: DataFrame, version: int) -> int:
         aside = f"aside-{uuid.uuid4().hex}"
         shards.write.parquet(f"{self.root}/{aside}")
-        store, final = self._store(), self._path(f"manifest/v={version:08d}")
-        store.mkdirs(self._path("manifest"))
-        if store.exists(final) or not store.rename(self._path(aside), final):
-            raise RuntimeError(f"version {version} was committed by another writer; read the manifest again and retry")
+        jvm, final = self.spark._jvm, self._path(f"manifest/v={version:08d}")
+        self._store().mkdirs(self._path("manifest"))
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+        once = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        once[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE  # unlike FileSystem.rename, this fails if the target exists
+        try:
+            files.rename(self._path(aside), final, once)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e):
+                raise
+            raise RuntimeError(f"version {version} was committed by another writer; read the manifest again and retry") from e
         return version
 
-    def _rows(self, folders: list[str]) -> DataFrame:
-        """The rows of some folders with ``__shard``, the file's path below the root."""
+    def _rows(self, folders: list[str]) -> tuple[DataFrame, str]:
+        """The rows of some folders with the file's path below the root, and that column's name, which is no other column's."""
         rows = self.spark.read.option("recursiveFileLookup", True).parquet(*[f"{self.root}/{f}" for f in folders])
-        return rows.withColumns({"__shard": F.regexp_extract("_metadata.file_path", r"(data-\d{8}-[0-9a-f]{8}/.*)$", 1), "__bytes": F.col("_metadata.file_size")})
+        name = "_shard"
+        while name in rows.columns:
+            name += "_"
+        return rows.withColumn(name, F.regexp_extract("_metadata.file_path", r"(data-\d{8}-[0-9a-f]{8}/.*)$", 1)), name
 
     def _written(self, folder: str, version: int) -> DataFrame:
         """A row for each file of a folder, from the files' own metadata."""
-        shards = self._rows([folder]).groupBy(F.col("__shard").alias("shard"), F.col("__bytes").alias("bytes")).agg(F.count("*").alias("n_rows"))
+        rows = self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.root}/{folder}")
+        path = F.regexp_extract("_metadata.file_path", r"(data-\d{8}-[0-9a-f]{8}/.*)$", 1)
+        shards = rows.groupBy(path.alias("shard"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("n_rows"))
         tier = tier_of(F.col("bytes"), self.fan_in)
         return shards.select("shard", F.lit(folder).alias("folder"), tier.alias("tier"), "n_rows", "bytes", F.lit(version).alias("version"))
 
@@ -97,6 +111,7 @@ class Shards:
         """Write arrivals as small shards and commit them; the new version."""
         version = self.version() + 1
         folder = f"data-{version:08d}-{uuid.uuid4().hex[:8]}"
+        docs.limit(0).write.mode("ignore").parquet(f"{self.root}/columns")  # for reads without a shard
         docs.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
         return self._commit(self.manifest(version - 1).unionByName(self._written(folder, version)), version)
 
@@ -121,9 +136,15 @@ class Shards:
             return version - 1
         folder = f"data-{version:08d}-{uuid.uuid4().hex[:8]}"
         folders = [f for (f,) in merging.select("folder").distinct().collect()]  # one for each commit that still has shards
-        to = merging.select(F.col("shard").alias("__shard"), F.col("file").alias("__file"))
-        rows = self._rows(folders).join(F.broadcast(to) if n <= MAP_IN_ALL else to, "__shard").drop("__shard", "__bytes")
-        rows.repartition(max(1, min(files, 10_000)), "__file").write.partitionBy("__file").option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        rows, name = self._rows(folders)
+        number = f"{name}n"
+        while number in rows.columns:
+            number += "_"
+        # one row for each file of the target size, numbered from 0
+        numbers = merging.select("file").distinct().select("file", (F.row_number().over(Window.orderBy("file")) - 1).alias(number))
+        to = merging.join(numbers, "file").select(F.col("shard").alias(name), number)
+        rows = rows.join(F.broadcast(to) if n <= MAP_IN_ALL else to, name)
+        rows.repartitionById(files, F.col(number)).drop(name, number).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
         kept = planned.filter("file is null").drop("file").join(self.manifest().select("shard", F.col("tier").alias("own")), "shard").withColumn("tier", F.col("own")).drop("own")
         return self._commit(kept.unionByName(self._written(folder, version)), version)
 
@@ -132,9 +153,13 @@ class Shards:
         version = self.version() if version is None else version
         shards = self.manifest(version)
         folders = [f for (f,) in shards.select("folder").distinct().collect()]
-        names = shards.select(F.col("shard").alias("__shard"))
-        rows = self._rows(folders).join(F.broadcast(names) if shards.count() <= MAP_IN_ALL else names, "__shard", "left_semi")
-        return rows.withColumns({"shard": F.col("__shard"), "version": F.lit(version)}).drop("__shard", "__bytes")
+        if not folders:
+            empty = self.spark.read.parquet(f"{self.root}/columns")
+            return empty.withColumns({"shard": F.lit(""), "version": F.lit(version)})
+        rows, name = self._rows(folders)
+        names = shards.select(F.col("shard").alias(name))
+        rows = rows.join(F.broadcast(names) if shards.count() <= MAP_IN_ALL else names, name, "left_semi")
+        return rows.withColumns({"shard": F.col(name), "version": F.lit(version)}).drop(name)
 
     def vacuum(self) -> int:
         """Delete the folders that the latest manifest doesn't list; their number."""
@@ -148,10 +173,15 @@ class Shards:
 
 
 def sharded(docs: DataFrame, root: str | None = None, target: int = TARGET, fan_in: int = FAN_IN, rounds: int = 2) -> DataFrame:
-    """Append all rows, compact ``rounds`` times, and read the committed version."""
+    """Append all rows, compact ``rounds`` times, and read the committed version.
+
+    Without a root the shards are the call's own, and no older version is kept.
+    """
     spark = docs.sparkSession
     shards = Shards(spark, root or f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}", target, fan_in)
     shards.append(docs)
     for _ in range(rounds):
         shards.compact()
+    if root is None:
+        shards.vacuum()
     return shards.read()
