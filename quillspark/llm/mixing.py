@@ -5,7 +5,10 @@ the cells' token weights until each of the three marginals has its target
 share; by default a target is the value's share of tokens to the power 0.5, so
 that a source with a third of all tokens is drawn down and rare values are
 drawn up. The weights become probabilities min(1, c w), where c is chosen so
-that the expected tokens are ``keep`` of all tokens. A document is kept if a
+that the expected tokens are ``keep`` of all tokens. Raking goes on until no
+marginal is further from its target than ``RESIDUAL`` of it; targets that no
+weights can meet (a source in one language only, say) leave a residual that
+stops falling, which ends it too. A document is kept if a
 number that follows from its id alone is below its cell's probability: the same
 documents are kept on every run and every layout.
 
@@ -30,10 +33,12 @@ from .common import cut, unit
 
 SIDES = ("source", "lang", "topic")
 POWER = 0.5
+#: Rounds between two looks at the residual, and the residual that ends them.
 ROUNDS = 10
+RESIDUAL = 1e-10
 KEEP = 0.8
-CAPS = 8
 CELLS_IN_ONE = 200_000
+PLACES = 6
 SALT = "mix"
 
 
@@ -57,25 +62,39 @@ def raked(cells: DataFrame, power: float = POWER, rounds: int = ROUNDS) -> DataF
     for side in SIDES:
         total = cells.groupBy(side).agg(F.first(f"t_{side}").alias("t")).agg(F.sum("t")).first()[0] or 1.0
         cells = cells.withColumn(f"t_{side}", whole * F.col(f"t_{side}") / F.lit(total))
-    cells = cells.withColumn("weight", F.lit(1.0))
-    for _ in range(rounds):
-        for side in SIDES:
-            now = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(side))
-            cells = cells.withColumn("weight", F.col("weight") * F.coalesce(F.try_divide(F.col(f"t_{side}"), now), F.lit(1.0)))
-    return cells.select(*SIDES, "docs", "tokens", "weight")
+    cells, left = cells.withColumn("weight", F.lit(1.0)), math.inf
+    while True:
+        for _ in range(rounds):
+            for side in SIDES:
+                now = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(side))
+                cells = cells.withColumn("weight", F.col("weight") * F.coalesce(F.try_divide(F.col(f"t_{side}"), now), F.lit(1.0)))
+        cells, before = cut(cells), left
+        left = residual(cells)
+        if left <= RESIDUAL or left > 0.9 * before:
+            return cells.select(*SIDES, "docs", "tokens", "weight")
+
+
+def residual(cells: DataFrame) -> float:
+    """How far a marginal of the raked cells is from its target at most, as a share of it."""
+    off = [F.max(F.abs(F.coalesce(F.try_divide(f"m_{s}", f"t_{s}"), F.lit(1.0)) - 1)) for s in SIDES]
+    for side in SIDES:
+        cells = cells.withColumn(f"m_{side}", F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(side)))
+    return cells.agg(F.greatest(*off)).first()[0] or 0.0
 
 
 def calibrated(cells: DataFrame, keep: float = KEEP) -> DataFrame:
-    """Adds ``p`` = min(1, c weight), with the c that keeps ``keep`` of the tokens."""
-    goal, c = None, 0.0
-    for _ in range(CAPS + 1):
+    """Adds ``p`` = min(1, c weight), with the c that keeps ``keep`` of the tokens.
+
+    c only grows while more cells reach 1, so it ends once none is new.
+    """
+    c, capped = 0.0, -1
+    while True:
         full = F.col("weight") * F.lit(c) >= 1
-        t, capped, rest = cells.agg(F.sum("tokens"), F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight") * F.col("tokens")))).first()
-        goal = keep * (t or 0)
-        if not rest:
+        t, n, taken, rest = cells.agg(F.sum("tokens"), F.count_if(full), F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight") * F.col("tokens")))).first()
+        if not rest or n == capped:
             break
-        c = (goal - capped) / rest
-    return cells.withColumn("p", F.round(F.least(F.lit(1.0), F.col("weight") * F.lit(c)), 9))
+        c, capped = (keep * t - taken) / rest, n
+    return cells.withColumn("p", F.round(F.least(F.lit(1.0), F.col("weight") * F.lit(c)), PLACES))
 
 
 def mix(docs: DataFrame, topics: DataFrame, power: float = POWER, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
@@ -83,7 +102,7 @@ def mix(docs: DataFrame, topics: DataFrame, power: float = POWER, rounds: int =
     each = described(docs, topics)
     cells = cut(each.groupBy(*SIDES).agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")))
     n = cells.count()
-    cells = cut(calibrated(cut(raked(cells.coalesce(max(1, math.ceil(n / CELLS_IN_ONE))), power, rounds)), keep))
+    cells = cut(calibrated(raked(cells.coalesce(max(1, math.ceil(n / CELLS_IN_ONE))), power, rounds), keep))
     cells = cells.select(*SIDES, "p")
     if n <= CELLS_IN_ONE:  # about 100 bytes each
         cells = F.broadcast(cells)
@@ -96,8 +115,8 @@ def sample(docs: DataFrame, topics: DataFrame, **settings) -> DataFrame:
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
-def oracle(docs: str = "documents", power: float = POWER, rounds: int = ROUNDS, keep: float = KEEP) -> str:
-    """DuckDB SQL for ``mix``: the rounds are written out."""
+def oracle(docs: str = "documents", power: float = POWER, rounds: int = 40, keep: float = KEEP, caps: int = 12) -> str:
+    """DuckDB SQL for ``mix``: enough rounds and caps to converge are written out."""
     sql = [f"""e AS (SELECT d.doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(v.topic, -1) AS topic,
   CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')), 0) AS BIGINT) AS tokens
   FROM {docs} d LEFT JOIN (SELECT vec_id AS doc_id, min(label) AS topic FROM embeddings GROUP BY vec_id) v USING (doc_id))""",
@@ -114,9 +133,9 @@ def oracle(docs: str = "documents", power: float = POWER, rounds: int = ROUNDS,
             sql.append(f"{new} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, c.w * coalesce(u.t / nullif(sum(c.w * c.tokens) OVER (PARTITION BY c.{s}), 0), 1.0) AS w FROM {last} c JOIN u_{s} u USING ({s}))")
             last = new
     sql.append(f"k0 AS (SELECT {keep} * (SELECT whole FROM g) / nullif(sum(w * tokens), 0) AS c FROM {last})")
-    for i in range(1, CAPS + 1):
+    for i in range(1, caps + 1):
         sql.append(f"k{i} AS MATERIALIZED (SELECT coalesce(({keep} * (SELECT whole FROM g) - sum(CASE WHEN w * p.c >= 1 THEN tokens ELSE 0 END)) / nullif(sum(CASE WHEN w * p.c >= 1 THEN 0 ELSE w * tokens END), 0), any_value(p.c)) AS c FROM {last}, k{i - 1} p)")
-    sql.append(f"p AS (SELECT source, lang, topic, round(least(1.0, w * (SELECT c FROM k{CAPS})), 9) AS p FROM {last})")
+    sql.append(f"p AS (SELECT source, lang, topic, round(least(1.0, w * (SELECT c FROM k{caps})), {PLACES}) AS p FROM {last})")
     return "WITH " + ",\n".join(sql) + f"""
 SELECT e.doc_id, e.source, e.lang, e.topic, e.tokens, p.p, CAST('0x' || substr(md5('{SALT}|' || coalesce(e.doc_id::VARCHAR, '')), 1, 8) AS BIGINT) / 4294967296.0 < p.p AND e.doc_id IS NOT NULL AS kept
 FROM e JOIN p USING (source, lang, topic)"""
