@@ -148,6 +148,29 @@ def test_decontamination(spark):
     assert decontam.find_leaks(docs(spark, texts[:1]).limit(0), bench).count() == 0
 
 
+def test_decontamination_recall_with_more_items_than_dimensions(spark):
+    r = random.Random(17)
+    common = prose(300, 4000).split()
+    text = lambda n: [r.choice(common) if r.random() < 0.5 else prose(1, r.random()) for _ in range(n)]
+    items = [text(r.choice((15, 20, 30, 45))) for _ in range(150)]
+    bodies = []
+    for i in range(150):
+        item = list(items[i])
+        for j in r.sample(range(len(item)), int(len(item) * r.choice((0, 0.1, 0.2, 0.35)))):
+            item[j] = r.choice(common)
+        body = text(120)
+        at = r.randint(0, 120)
+        bodies.append(body[:at] + item + body[at:])
+    words = list(text_words([" ".join(b) for b in bodies]))
+    own = list(text_words([" ".join(b) for b in items]))
+    brute = {(i, k) for i, w in enumerate(words) for k, it in enumerate(own) if decontam.common_words(it, w) >= 0.75 * len(it) and any(decontam.common_words(it, w[s : s + 32 + 2 * len(it)]) >= 0.75 * len(it) for s in range(0, len(w), 8))}
+    bench = spark.createDataFrame([(k, " ".join(b)) for k, b in enumerate(items)] + [(500, "exact phrase of"), (501, "Zqx"), (502, "...")], "item_id long, text string")
+    more = [" ".join(b) for b in bodies] + ["an exact, phrase of it", "exact phrases of it", "ends with zqx", "exact phrase", "of"]
+    out = {(x["doc_id"], x["item_id"]) for x in decontam.find_leaks(docs(spark, more), bench).collect()}
+    assert len(brute) > 80 and len(brute & out) >= 0.95 * len(brute), (len(brute), len(brute - out))
+    assert {(i, k) for i, k in out if i >= 150} == {(150, 500), (152, 501)}
+
+
 def test_common_words():
     r = random.Random(3)
     for _ in range(300):
@@ -209,10 +232,10 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
 
 
-def linked_classes(texts, tuples=near_dup.TUPLES):
+def linked_classes(texts, *settings):
     """The smallest index of each text's class, by brute force over the pairs that share a key."""
     words = list(text_words(texts))
-    keys = [set(near_dup.text_keys(w, np.array([0, len(w)]), tuples)[0].tolist()) for w in words]
+    keys = [set(near_dup.text_keys(w, np.array([0, len(w)]), *settings)[0].tolist()) for w in words]
     up = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
@@ -226,9 +249,9 @@ def test_near_duplicates_that_share_a_passage_with_many(spark):
     passage = prose(150, 78)
     texts = [passage + " " + prose(50, 6000 + i) for i in range(30)]
     texts += [t + " end" for t in texts]
-    want = linked_classes(texts, 1)  # with one key most meet in the passage's bucket only
+    want = linked_classes(texts, ((3, 1),), ())  # with one key most meet in the passage's bucket only
     assert len(set(want.values())) < 45
-    out = near_dup.near_duplicates(docs(spark, texts), tuples=1).collect()
+    out = near_dup.near_duplicates(docs(spark, texts), shingles=((3, 1),), short=()).collect()
     assert {x["doc_id"]: x["class_id"] for x in out} == want
 
 
@@ -308,3 +331,34 @@ def test_sharding(spark, tmp_path):
     s.vacuum()
     assert s.read().count() == 404
     assert sharding.sharded(whole).select("doc_id", "text", "shard").count() == 404
+
+
+def test_shards_of_nothing_and_of_clashing_names(spark):
+    none = sharding.sharded(docs(spark, ["x"]).limit(0))
+    assert none.count() == 0 and {"doc_id", "text", "shard", "version"} <= set(none.columns)
+    clash = docs(spark, ["x", "y"]).withColumns({"_shard": F.col("doc_id") * 2, "shard": F.lit("own"), "__file": F.lit(1), "_shard_n": F.lit(7)})
+    rows = sharding.sharded(clash.repartition(8)).orderBy("doc_id").collect()
+    assert [(r["_shard"], r["__file"], r["_shard_n"]) for r in rows] == [(0, 1, 7), (2, 1, 7)] and rows[0]["shard"] != "own"
+
+
+def test_two_writers_of_a_version(spark, tmp_path):
+    s = sharding.Shards(spark, str(tmp_path / "s"))
+    s.append(docs(spark, ["a", "b"]))
+    seen = s.manifest()
+    one, two = (seen.withColumn("version", F.lit(i)) for i in (5, 6))
+    assert s._commit(one, 2) == 2
+    with pytest.raises(RuntimeError, match="another writer"):
+        s._commit(two, 2)
+    assert [r["version"] for r in s.manifest(2).select("version").distinct().collect()] == [5]
+    assert s.read().count() == 2
+
+
+def test_each_target_file_is_one_task(spark, tmp_path):
+    s = sharding.Shards(spark, str(tmp_path / "s"), target=30_000, fan_in=4)
+    s.append(docs(spark, [prose(60, i) for i in range(800)]).repartition(40))
+    plan = s.plan().filter("file is not null")
+    goal = {r["file"]: (r["n"], r["b"]) for r in plan.groupBy("file").agg(F.sum("n_rows").alias("n"), F.sum("bytes").alias("b")).collect()}
+    assert len(goal) > 3 and all(b < 2 * 30_000 for _, b in goal.values())
+    s.compact()
+    made = s.manifest().filter("version = 2")
+    assert sorted(r["n_rows"] for r in made.collect()) == sorted(n for n, _ in goal.values())
