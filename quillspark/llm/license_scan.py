@@ -8,6 +8,11 @@ with c = 0.8 that is 0.36, and BANDS = 24 bands of one minimum each retrieve it
 with probability 1 - 0.64**24 > 0.9999. The exact containment of the template's
 grams in the window then decides.
 
+A text that lacks certain words cannot hold a share c of a notice's grams: for
+each notice the longest words are taken until fewer than c s of its grams do
+without all of them. Texts with none of these words are left out before any
+hashing; nothing is lost by that.
+
 A minimum of a window can only equal a template's minimum if it is a gram of
 the template. So windows without any template gram cannot be retrieved, and
 minima are computed for the other windows only; nothing is lost by that.
@@ -21,6 +26,9 @@ table gives an empty result; long texts are scanned whole.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +55,14 @@ TEMPLATES = (
 )
 
 
+def words(text: Column) -> Column:
+    """The words of a text in lower case."""
+    return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
+
+
 def grams(text: Column) -> Column:
     """Hashes of the word 5-grams of a text in order; empty for under five words."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    ids = F.transform(F.split(plain, " "), lambda w: F.xxhash64(w))
+    ids = F.transform(words(text), lambda w: F.xxhash64(w))
     # a one-element array gives the word hashes a name, so that they are made once
     return F.transform(
         F.array(ids),
@@ -65,11 +77,23 @@ def minima(window: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.array_min(F.transform(window, lambda g: F.xxhash64(g, b))))
 
 
+def needed_words(notice: list[str], contained: float) -> list[str]:
+    """Words of a notice of which a text needs one to hold a share ``contained`` of its grams; none if it has no gram."""
+    rest = {tuple(notice[i : i + SHINGLE]) for i in range(len(notice) - SHINGLE + 1)}
+    least, out = contained * len(rest), []
+    for word in sorted(set(notice), key=lambda w: (-len(w), w)):
+        if not rest or len(rest) < least:
+            break
+        out.append(word)
+        rest = {g for g in rest if word not in g}
+    return out
+
+
 def templates(spark: SparkSession, notices: tuple = TEMPLATES) -> DataFrame:
-    """template, license, size (grams) and the template's grams."""
+    """template, license, size (grams), the template's grams and its words."""
     rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "\\'")) for i, (name, text) in enumerate(notices))
     rows = spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, license, notice)")
-    return rows.select("template", "license", F.array_distinct(grams(F.col("notice"))).alias("own")).withColumn("size", F.size("own"))
+    return rows.select("template", "license", F.array_distinct(grams(F.col("notice"))).alias("own"), words(F.col("notice")).alias("words")).withColumn("size", F.size("own"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: tuple = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
@@ -78,12 +102,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
     known = templates(spark, notices)
     every = [g for (own,) in known.select("own").collect() for g in own]  # of the notices alone
     sizes = sorted({n for (n,) in known.select("size").collect()})
+    needed = sorted({w for (notice,) in known.select("words").collect() for w in needed_words(notice, contained)})
+    # a one-element array gives the lowered text a name, so that it is made once
+    may = F.exists(F.array(F.lower(F.col(text_col))), lambda t: reduce(or_, [F.contains(t, F.lit(w)) for w in needed], F.lit(False)))
     found = (
-        docs.select(F.col(id_col), grams(F.col(text_col)).alias("grams"))
+        docs.filter(may).select(F.col(id_col), grams(F.col(text_col)).alias("grams"))
         .withColumn("common", F.array_intersect("grams", F.lit(every)))
         .filter(F.size("common") > 0)
     )
-    hits = found.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.array_contains("common", F.get("grams", i))))
+    # named too: an inlined column would be made again for each position
+    hits = found.withColumn("at", F.transform(F.array("common"), lambda c: F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.array_contains(c, F.get("grams", i))))[0])
     windows = (
         hits.select(id_col, "grams", "at", F.explode(F.lit(sizes)).alias("size"))
         .withColumn("slot", F.explode(F.array_distinct(F.flatten(F.transform("at", lambda p: F.array(F.floor(p / F.col("size")), F.floor(p / F.col("size")) - 1))))))
