@@ -1,28 +1,41 @@
-"""Vocabulary matching by trigram similarity, through an equi-join on trigrams."""
+"""Vocabulary matching by trigram similarity, through an equi-join on the rarest trigrams."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, trigrams
+from ..functions.text import fold, similarity, trigrams
 
 SUGGEST, HINT = 0.3, 0.4
 MOST = 10
 
 
 def near(words: DataFrame, vocabulary: DataFrame, threshold: float) -> DataFrame:
-    """(word, term, sim) of all pairs whose similarity reaches the threshold.
+    """(word, term, sim) of all pairs whose similarity reaches the threshold (over 0).
 
-    words: (word); vocabulary: (term). Pairs meet on shared trigrams, so the
-    similarity follows from the number of meetings and the two set sizes.
+    words: (word); vocabulary: (term). A set of n trigrams shares one of its
+    n - ceil(threshold n) + 1 rarest with every set that is so similar, if both
+    stand in one order; so pairs meet on these only, which leaves out the
+    frequent trigrams, and the pairs of fitting size are then compared whole.
     """
     w = words.select("word").distinct().withColumn("g", trigrams(F.col("word")))
     v = vocabulary.select("term").distinct().withColumn("g", trigrams(F.col("term")))
-    a = w.select("word", F.size("g").alias("a"), F.explode("g").alias("gram"))
-    b = v.select("term", F.size("g").alias("b"), F.explode("g").alias("gram"))
-    met = a.join(b, "gram").groupBy("word", "term").agg(F.count("*").alias("o"), F.first("a").alias("a"), F.first("b").alias("b"))
-    return met.select("word", "term", (F.col("o") / (F.col("a") + F.col("b") - F.col("o"))).alias("sim")).filter(F.col("sim") >= threshold)
+    often = v.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+
+    def rarest(d: DataFrame, name: str) -> DataFrame:
+        each = d.select(name, "g", F.explode("g").alias("gram")).join(often, "gram", "left")
+        order = Window.partitionBy(name).orderBy(F.coalesce("often", F.lit(0)), "gram")
+        n = F.size("g")
+        return each.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).select(name, "gram", "g")
+
+    met = rarest(w, "word").withColumnRenamed("g", "a").join(rarest(v, "term").withColumnRenamed("g", "b"), "gram")
+    fits = F.least(F.size("a"), F.size("b")) >= F.lit(threshold) * F.greatest(F.size("a"), F.size("b")) - 1e-9
+    return met.filter(fits).select("word", "term", similarity(F.col("a"), F.col("b")).alias("sim")).filter(F.col("sim") >= threshold).distinct()
+
+
+def _with_similarity(pairs: DataFrame, name: str) -> DataFrame:
+    return pairs.withColumn("sim", similarity(trigrams(F.col("word")), trigrams(F.col(name))))
 
 
 def term_suggestions(words: DataFrame, terms: DataFrame, k: int = MOST) -> DataFrame:
@@ -34,9 +47,9 @@ def term_suggestions(words: DataFrame, terms: DataFrame, k: int = MOST) -> DataF
     w = words.select("word").filter("word <> ''").distinct()
     sizes = [n for (n,) in w.select(F.length("word")).distinct().collect()]  # a few word lengths
     heads = terms.select("term", F.explode(F.array(*[F.substring("term", 1, n) for n in sizes])).alias("word")).join(w, "word").select("word", "term").distinct() if sizes else w.select("word", F.lit("").alias("term")).limit(0)
-    sims = near(w, terms, 0.0)
-    pairs = heads.withColumn("starts", F.lit(1)).join(sims, ["word", "term"], "full").withColumns({"starts": F.coalesce("starts", F.lit(0)), "sim": F.coalesce("sim", F.lit(0.0))})
-    pairs = pairs.filter((F.col("starts") == 1) | (F.col("sim") >= SUGGEST)).join(terms, "term")
+    starts = _with_similarity(heads, "term").withColumn("starts", F.lit(1))
+    alike = near(w, terms, SUGGEST).join(heads, ["word", "term"], "left_anti").withColumn("starts", F.lit(0))
+    pairs = starts.unionByName(alike).join(terms, "term")
     order = Window.partitionBy("word").orderBy(F.desc("starts"), F.desc("sim"), F.desc("df"), "term", "lang")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("word", "term", "lang", "starts", "sim", "rank")
 
@@ -58,8 +71,8 @@ def title_suggestions(words: DataFrame, titles: DataFrame, k: int = MOST) -> Dat
     low = F.lower("title")
     parts = F.flatten(F.array(*[_parts(low, n) for n in sizes]))
     held = t.select("title", F.explode(F.array_distinct(parts)).alias("part")).join(w.select("word", F.lower("word").alias("part")), "part").select("word", "title").distinct()
-    sims = near(w, t.select(F.col("title").alias("term")), 0.0).withColumnRenamed("term", "title")
-    pairs = held.withColumn("holds", F.lit(True)).join(sims, ["word", "title"], "full").withColumn("sim", F.coalesce("sim", F.lit(0.0))).filter(F.col("holds") | (F.col("sim") >= SUGGEST)).join(t, "title")
+    alike = near(w, t.select(F.col("title").alias("term")), SUGGEST).withColumnRenamed("term", "title")
+    pairs = _with_similarity(held, "title").unionByName(alike.join(held, ["word", "title"], "left_anti")).join(t, "title")
     starts = F.startswith(F.lower("title"), F.col("word")).cast("int")
     order = Window.partitionBy("word", "lang").orderBy(F.desc("sim"), "title")
     return pairs.withColumns({"starts": starts, "rank": F.row_number().over(order)}).filter(F.col("rank") <= k).select("word", "title", "lang", "starts", "sim", "rank")
