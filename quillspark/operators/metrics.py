@@ -46,7 +46,7 @@ def per_query(run: DataFrame, qrels: DataFrame, cuts: Sequence[int] = CUTS) -> D
         F.count("*").alias("n_ret"), F.sum("rel").alias("hits"), F.sum(F.when(F.col("rel") == 1, F.col("seen") / F.col("rank"))).alias("ap"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"), F.sum(part).alias("dcg"),
         *[F.sum(F.when(F.col("rank") <= k, F.col("rel")).otherwise(0)).alias(f"hits_{k}") for k in cuts], *[F.sum(F.when(F.col("rank") <= k, part)).alias(f"dcg_{k}") for k in cuts],
     )
-    m = sums.join(F.broadcast(_ideal(qrels, cuts)), "query_id")
+    m = sums.join(_ideal(qrels, cuts), "query_id")
     p, r = _share(F.col("hits"), F.col("n_ret")), _share(F.col("hits"), F.col("n_rel"))
     out = {"precision": p, "recall": r, "f1": _f(p, r), "f2": _f(p, r, 2.0), "ap": _share(F.coalesce("ap", F.lit(0.0)), F.col("n_rel")), "rr": F.coalesce(1.0 / F.col("first"), F.lit(0.0)), "jaccard": _share(F.col("hits"), F.col("n_ret") + F.col("n_rel") - F.col("hits")), "dcg": F.coalesce("dcg", F.lit(0.0)), "ndcg": _share(F.col("dcg"), F.col("idcg"))}
     for k in cuts:
@@ -61,11 +61,16 @@ def long(table: DataFrame) -> DataFrame:
     return table.unpivot(["system", "query_id"], names, "metric", "value")
 
 
+def mean(c: str) -> Column:
+    """The mean to six digits. Means of such values may end in a 5 at the seventh: these go up, in whatever order they were summed."""
+    return F.round(F.avg(c) + 1e-10, 6)
+
+
 def by_system(table: DataFrame) -> DataFrame:
     """The rows of each system and its mean (query_id MEAN), by one pass of grouping sets."""
     names = [c for c in table.columns if c not in ("system", "query_id")]
     sets = table.groupingSets([[F.col("system"), F.col("query_id")], [F.col("system")]], "system", "query_id")
-    out = sets.agg(F.grouping_id().alias("g"), *[F.round(F.avg(c), 6).alias(c) for c in names])
+    out = sets.agg(F.grouping_id().alias("g"), *[mean(c).alias(c) for c in names])
     return out.withColumn("query_id", F.when(F.col("g") > 0, "MEAN").otherwise(F.col("query_id").cast("string"))).drop("g")
 
 
@@ -78,7 +83,7 @@ def closed_pool(run: DataFrame, judged: DataFrame) -> DataFrame:
 def graded_only(table: DataFrame, qrels: DataFrame) -> DataFrame:
     """Long metrics of judged queries, and their means."""
     own = table.join(qrels.select("query_id").distinct(), "query_id", "left_semi")
-    return own.groupBy("system", "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
+    return own.groupBy("system", "metric").agg(mean("value").alias("mean"), F.count("*").alias("n"))
 
 
 def selection_ndcg(scored: DataFrame, k: int = 10) -> DataFrame:

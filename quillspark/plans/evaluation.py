@@ -300,7 +300,7 @@ def _(s, d):
     return metrics(s, d)
 
 
-@query("m08_system_table", f"WITH {METRICS} SELECT system, CASE WHEN grouping(query_id) = 1 THEN 'MEAN' ELSE CAST(query_id AS VARCHAR) END AS query_id, " + ", ".join(f"round(avg({n}), 6) AS {n}" for n in _NAMES) + " FROM met GROUP BY GROUPING SETS ((system, query_id), (system))")
+@query("m08_system_table", f"WITH {METRICS} SELECT system, CASE WHEN grouping(query_id) = 1 THEN 'MEAN' ELSE CAST(query_id AS VARCHAR) END AS query_id, " + ", ".join(f"round(avg({n}) + 1e-10, 6) AS {n}" for n in _NAMES) + " FROM met GROUP BY GROUPING SETS ((system, query_id), (system))")
 def _(s, d):
     return me.by_system(metrics(s, d))
 
@@ -310,12 +310,12 @@ def _(s, d):
     return me.closed_pool(run(s, d).withColumn("score", F.round("score", 9)), qrels(s, d)).select("system", "query_id", "doc_id", "rank")
 
 
-@query("m10_evaluation", f"WITH {METRICS} SELECT system, count(*) AS queries, round(avg(ap), 6) AS map, round(avg(rr), 6) AS mrr, round(avg(ndcg_10), 6) AS ndcg_10 FROM met GROUP BY system")
+@query("m10_evaluation", f"WITH {METRICS} SELECT system, count(*) AS queries, round(avg(ap) + 1e-10, 6) AS map, round(avg(rr) + 1e-10, 6) AS mrr, round(avg(ndcg_10) + 1e-10, 6) AS ndcg_10 FROM met GROUP BY system")
 def _(s, d):
-    return metrics(s, d).groupBy("system").agg(F.count("*").alias("queries"), F.round(F.avg("ap"), 6).alias("map"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg_10"), 6).alias("ndcg_10"))
+    return metrics(s, d).groupBy("system").agg(F.count("*").alias("queries"), me.mean("ap").alias("map"), me.mean("rr").alias("mrr"), me.mean("ndcg_10").alias("ndcg_10"))
 
 
-@query("m11_graded_only", f"WITH {LONG} SELECT system, metric, round(avg(value), 6) AS mean, count(*) AS n FROM lm GROUP BY ALL")
+@query("m11_graded_only", f"WITH {LONG} SELECT system, metric, round(avg(value) + 1e-10, 6) AS mean, count(*) AS n FROM lm GROUP BY ALL")
 def _(s, d):
     return me.graded_only(long(s, d), qrels(s, d))
 
@@ -365,9 +365,9 @@ def _(s, d):
     return me.title_queries(table(s, d, "documents"), F.trim(F.substring_index("text", "\n", 1)))
 
 
-@query("m16_capped_recall", f"WITH {METRICS} SELECT system, round(avg(capped_5), 6) AS capped_5, round(avg(r_5), 6) AS r_5, round(avg(capped_10), 6) AS capped_10 FROM met GROUP BY system")
+@query("m16_capped_recall", f"WITH {METRICS} SELECT system, round(avg(capped_5) + 1e-10, 6) AS capped_5, round(avg(r_5) + 1e-10, 6) AS r_5, round(avg(capped_10) + 1e-10, 6) AS capped_10 FROM met GROUP BY system")
 def _(s, d):
-    return metrics(s, d).groupBy("system").agg(F.round(F.avg("capped_5"), 6).alias("capped_5"), F.round(F.avg("r_5"), 6).alias("r_5"), F.round(F.avg("capped_10"), 6).alias("capped_10"))
+    return metrics(s, d).groupBy("system").agg(me.mean("capped_5").alias("capped_5"), me.mean("r_5").alias("r_5"), me.mean("capped_10").alias("capped_10"))
 
 
 @query("x01_per_query_values", f"WITH {LONG} SELECT system, query_id, metric, value FROM lm WHERE metric IN ('ap', 'ndcg_10')")
@@ -407,7 +407,7 @@ def _(s, d):
     return st.t_tests(st.compared(long(s, d), "bm25")).select("a", "b", "metric", "direction")
 
 
-@query("x07_best_systems", f"WITH {LONG}, mm AS (SELECT system, metric, round(avg(value), 6) AS mean FROM lm GROUP BY ALL) SELECT metric, arg_max(system, (mean, -list_position(['bm25', 'hybrid', 'overlap', 'tfidf'], system))) AS system, max(mean) AS mean FROM mm GROUP BY metric")
+@query("x07_best_systems", f"WITH {LONG}, mm AS (SELECT system, metric, round(avg(value) + 1e-10, 6) AS mean FROM lm GROUP BY ALL) SELECT metric, arg_max(system, (mean, -list_position(['bm25', 'hybrid', 'overlap', 'tfidf'], system))) AS system, max(mean) AS mean FROM mm GROUP BY metric")
 def _(s, d):
     return st.best_systems(me.graded_only(long(s, d), qrels(s, d)), ["bm25", "hybrid", "overlap", "tfidf"])
 
