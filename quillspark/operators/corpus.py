@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, has_text, provenance, without_prefix, without_suffix
+from ..sources.store import workspace
 
 PARTS = ("full", "isnad", "matn")
 
 
 def flat(docs: DataFrame, chapters: DataFrame, books: DataFrame, prepared: DataFrame) -> DataFrame:
-    """Documents with chapter titles, book names and prepared texts; the small sides are broadcast."""
-    return docs.join(F.broadcast(chapters), ["book", "chapter_number"], "left").join(F.broadcast(books), "book", "left").join(prepared, "id", "left")
+    """Documents with chapter titles, book names and prepared texts; Spark broadcasts the sides that are small."""
+    return docs.join(chapters, ["book", "chapter_number"], "left").join(books, "book", "left").join(prepared, "id", "left")
 
 
 def aliased(view: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -66,17 +67,20 @@ def content_flags(rows: DataFrame, langs: tuple[str, ...] = ("en",)) -> DataFram
     return rows.withColumns(flags)
 
 
-def renumbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Dense numbers from 1 in a global order: a range sort, then offsets of its partitions."""
+def renumbered(rows: DataFrame, order: list[str], name: str, root: str | None = None) -> DataFrame:
+    """Dense numbers from 1 in a global order: a range sort, then offsets of its partitions.
+
+    The sorted rows are stored with their partition's number first, as a range
+    sort that runs again may draw other bounds.
+    """
+    spark = rows.sparkSession
     part = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()})
-    part = part.withColumn("__i", F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33))
-    sizes = {r["__p"]: r["n"] for r in part.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # one number a partition
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    pairs = [x for p, n in before.items() for x in (F.lit(p), F.lit(n))]
-    offset = F.element_at(F.create_map(*pairs), F.col("__p")) if pairs else F.lit(0)
-    return part.withColumn(name, F.col("__i") + offset + 1).drop("__p", "__m", "__i")
+    root = root or workspace(spark)
+    part.withColumn("__i", F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33)).drop("__m").write.parquet(root)
+    part = spark.read.parquet(root)
+    sizes = part.groupBy("__p").agg(F.count("*").alias("n"))
+    before = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # one row a partition
+    return part.join(F.broadcast(before), "__p").withColumn(name, F.col("__i") + F.col("__before") + 1).drop("__p", "__i", "__before")
 
 
 def split_by(rows: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:

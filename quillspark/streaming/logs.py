@@ -45,8 +45,12 @@ def upsert(events: DataFrame, keys: list[str], value: str, root: str, checkpoint
         if number:
             new = new.unionByName(batch.sparkSession.read.parquet(f"{root}/{number - 1}"))
         new.groupBy(*keys).agg(F.max("s").alias("s")).write.mode("overwrite").parquet(f"{root}/{number}")
-        done.append(number)
 
-    done: list[int] = []
     events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/{done[-1]}").select(*keys, f"s.{value}", F.col("s.event_time").alias("updated_at"))
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in store.listStatus(top)] if store.exists(top) else []
+    done = [int(x) for x in names if x.isdigit() and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{x}/_SUCCESS"))]
+    if not done:  # no row yet
+        return spark.createDataFrame([], events.select(*keys, value, F.col("event_time").alias("updated_at")).schema)
+    return spark.read.parquet(f"{root}/{max(done)}").select(*keys, f"s.{value}", F.col("s.event_time").alias("updated_at"))
