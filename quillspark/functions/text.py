@@ -115,13 +115,13 @@ def number_label(c: Column) -> Column:
 
 
 #: What marks each grade in English and in Arabic.
-GRADES = (("Sahih", r"\b(sahih|saheeh|authentic)\b", "صحيح"), ("Hasan", r"\b(hasan|good)\b", "حسن"), ("Da'if", r"\b(da[^a-z0-9]*if|daeef|weak)\b", "ضعيف"), ("Mawdu", r"\b(mawdu|maudu|madu|fabricated|forged)\b", "موضوع"))
+GRADES = (("Sahih", r"\b(sahih|saheeh|authentic)\b", "صحيح"), ("Hasan", r"\b(hasan|good)\b", "حسن"), ("Da'if", r"\b(da[\W_]*if|daeef|weak)\b", "ضعيف"), ("Mawdu", r"\b(maw?du[\W_]*|fabricated|forged)\b", "موضوع"))
 
 
 def grade_flags(c: Column) -> Column:
     """The grades that a free text names."""
     low = F.lower(clean(c))
-    return F.array_compact(F.array(*[F.when(low.rlike(english) | F.contains(low, F.lit(arabic)), F.lit(name)) for name, english, arabic in GRADES]))
+    return F.array_compact(F.array(*[F.when(low.rlike("(?U)" + english) | F.contains(low, F.lit(arabic)), F.lit(name)) for name, english, arabic in GRADES]))
 
 
 def normal_grade(*cs: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 LOG = "ts timestamp, level string, msg string, request_id string, method string, path string, status int, duration_ms double, client string"
 #: Upper edges of the latency buckets, in seconds.
 EDGES = (0.025, 0.05, 0.1, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0, 10.0, 30.0)
-HEALTH = ("/health", "/live", "/ready", "/metrics")
+#: Routes that are not measured.
+HEALTH = ("/metrics", "/api/v1/health")
 
 
 def parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

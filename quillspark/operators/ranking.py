@@ -8,6 +8,8 @@ come from the whole index; only matches are restricted.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,10 +110,17 @@ def with_feedback(terms: DataFrame, index: Index, tokens: DataFrame, allowed: Da
     return bm25(expansion(terms, feedback, tokens, index), index, allowed)
 
 
-def best_match(terms: DataFrame, index: Index) -> DataFrame:
-    """The best document of each query over languages, in the languages' alphabetical order from en on."""
-    ranked = top(bm25(terms, index), 1)
-    return ranked.select("query_id", "doc_id", "score")
+def best_match(terms: DataFrame, index: Index, first: str = "en") -> DataFrame:
+    """The best document of each query: of the first language that has one, ``first`` and then by name.
+
+    Each language is ranked by itself, as scores of different languages don't compare.
+    """
+    langs = [lang for (lang,) in index.stats.select("lang").collect()]  # a few
+    found = [top(bm25(terms.filter(F.col("lang") == lang), index), 1).withColumn("turn", F.lit(i)) for i, lang in enumerate(sorted(langs, key=lambda x: (x != first, x)))]
+    if not found:
+        return top(bm25(terms, index), 1).select("query_id", "doc_id", "score")
+    order = Window.partitionBy("query_id").orderBy("turn")
+    return reduce(DataFrame.unionByName, found).withColumn("n", F.row_number().over(order)).filter("n = 1").select("query_id", "doc_id", "score")
 
 
 def fused(lexical: DataFrame, dense: DataFrame, k: int = RRF) -> DataFrame:
@@ -128,7 +137,7 @@ def fused(lexical: DataFrame, dense: DataFrame, k: int = RRF) -> DataFrame:
 def result_page(ranked: DataFrame, docs: DataFrame, chapters: DataFrame, k: int = 15) -> DataFrame:
     """Ranked documents with their texts and chapter; ids without a document are skipped."""
     return (
-        ranked.filter(F.col("rank") <= k).join(docs, "doc_id").join(F.broadcast(chapters), ["book", "chapter_number"], "left")
+        ranked.filter(F.col("rank") <= k).join(docs, "doc_id").join(chapters, ["book", "chapter_number"], "left")
         .select("query_id", "rank", "doc_id", "book", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("grade", F.lit("Unknown")).alias("grade"), F.coalesce("text", F.lit("")).alias("text"))
     )
 

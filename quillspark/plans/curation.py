@@ -112,8 +112,14 @@ def _(s, d):
     return co.reconstruction_counts(co.reconstructed(corpus(s, d)))
 
 
+_NAMED = (
+    ("Sahih", r"\b(sahih|saheeh|authentic)\b", "صحيح"), ("Hasan", r"\b(hasan|good)\b", "حسن"),
+    ("Da''if", r"\b(da[^a-z0-9]*if|daeef|weak)\b", "ضعيف"), ("Mawdu", r"\b(ma(w)?du([^a-z0-9]*)|fabricated|forged)\b", "موضوع"),
+)
+
+
 def _flags(x: str) -> str:
-    parts = ", ".join(f"CASE WHEN regexp_matches(l, '{e.replace(chr(39), chr(39) * 2)}') OR contains(l, '{a}') THEN '{n.replace(chr(39), chr(39) * 2)}' END" for n, e, a in tx.GRADES)
+    parts = ", ".join(f"CASE WHEN regexp_matches(l, '{e}') OR contains(l, '{a}') THEN '{n}' END" for n, e, a in _NAMED)
     return f"(SELECT list_filter([{parts}], lambda x: x IS NOT NULL) FROM (SELECT lower({clean(x)}) AS l))"
 
 
