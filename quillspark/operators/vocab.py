@@ -17,21 +17,23 @@ def near(words: DataFrame, vocabulary: DataFrame, threshold: float) -> DataFrame
     words: (word); vocabulary: (term). A set of n trigrams shares one of its
     n - ceil(threshold n) + 1 rarest with every set that is so similar, if both
     stand in one order; so pairs meet on these only, which leaves out the
-    frequent trigrams, and the pairs of fitting size are then compared whole.
+    frequent trigrams. Where a pair meets first, what is left of both sets must
+    be enough for the threshold; such pairs are then compared whole.
     """
     w = words.select("word").distinct().withColumn("g", trigrams(F.col("word")))
     v = vocabulary.select("term").distinct().withColumn("g", trigrams(F.col("term")))
     often = v.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
 
-    def rarest(d: DataFrame, name: str) -> DataFrame:
-        each = d.select(name, "g", F.explode("g").alias("gram")).join(often, "gram", "left")
+    def rarest(d: DataFrame, name: str, own: str) -> DataFrame:
+        each = d.select(name, F.transform("g", lambda g: F.xxhash64(g)).alias(own), F.explode("g").alias("gram")).join(often, "gram", "left")
         order = Window.partitionBy(name).orderBy(F.coalesce("often", F.lit(0)), "gram")
-        n = F.size("g")
-        return each.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).select(name, "gram", "g")
+        n = F.size(own)
+        ranked = each.withColumns({f"n_{own}": n, f"rest_{own}": n - F.row_number().over(order)})
+        return ranked.filter(F.col(f"rest_{own}") >= F.ceil(F.lit(threshold) * n - 1e-9) - 1).select(name, "gram", own, f"n_{own}", f"rest_{own}")
 
-    met = rarest(w, "word").withColumnRenamed("g", "a").join(rarest(v, "term").withColumnRenamed("g", "b"), "gram")
-    fits = F.least(F.size("a"), F.size("b")) >= F.lit(threshold) * F.greatest(F.size("a"), F.size("b")) - 1e-9
-    return met.filter(fits).select("word", "term", similarity(F.col("a"), F.col("b")).alias("sim")).filter(F.col("sim") >= threshold).distinct()
+    met = rarest(w, "word", "a").join(rarest(v, "term", "b"), "gram")
+    enough = (1 + F.least("rest_a", "rest_b")) * F.lit(1 + threshold) >= F.lit(threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    return met.filter(enough).select("word", "term", similarity(F.col("a"), F.col("b")).alias("sim")).filter(F.col("sim") >= threshold).distinct()
 
 
 def _with_similarity(pairs: DataFrame, name: str) -> DataFrame:
