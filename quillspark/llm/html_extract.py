@@ -24,6 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,23 +35,40 @@ from .common import small_batches
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object canvas video audio".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg canvas video audio".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mroot mrow ms msqrt msub msubsup msup mtext nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 NOT_MAIN = frozenset("head nav footer aside form button select option dialog menu figcaption".split()) - {"figcaption"}
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _LEAVES = INLINE | HEADING | frozenset("p pre blockquote li dt dd td th tr figcaption caption".split())
 #: Tags that end an open tag of the second kind, up to the third.
 _CLOSES = {t: ({"p"}, {"button", "td", "th", "table", "html"}) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split()}
 _CLOSES |= {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
-#: Words in a class, id or role that mark a part as not the article.
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|"
-    r"footer|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|search|"
-    r"comments?|commentlist|disqus|replies|respond|discussion|share|sharing|social|related|recommended|recommendations|widget|pagination|pager|tags?|skip|complementary|contentinfo|dialog)(?=$|[\s_\d-])",
-    re.I,
+#: Words of a class, id or role that mark a part as not the article, if all its other words are neutral.
+_MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion banner banners nav navbar navigation menu breadcrumb breadcrumbs "
+    "sidebar side aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall search "
+    "comment comments commentlist disqus replies respond discussion share sharing social related recommended recommendations widget pagination pager tags skip complementary contentinfo dialog".split()
 )
-_HEADER = re.compile(r"(?:^|[\s_-])(?:site-?header|page-?header|header|banner)(?=$|[\s_-])", re.I)
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_HEADERS = frozenset("header siteheader pageheader banner".split())
+_NEUTRAL = frozenset(
+    "area bar block body bottom box buttons button col column container content copy form global group holder inner item items left level link links list main message number outer page panel "
+    "post posts primary region right row secondary section site slot small sticky text thread title top unit wrap wrapper".split()
+)
+_NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+def _named(names: str, words: frozenset) -> bool:
+    """Whether a name has one of the words, and neutral ones or such only besides: ``side-box``, not ``side-effects``."""
+    for name in names.split():
+        parts = [x.lower() for x in _NAME_PARTS.findall(name)]
+        if not words.isdisjoint(parts) and all(x in words or x in _NEUTRAL or x in _MARKS for x in parts):
+            return True
+    return False
+
+
+_START = re.compile(r"<[a-zA-Z/!?]")
+#: A tag; quotes count behind an equals sign only. No part gives back what it took, so a scan is linear.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?=["'])|[^\s>"'][^\s>]*+)?+)*+)>""")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.I)
 _POINTS = re.compile(r"[.,;:!?…。，、；：！？]")
 SMOOTH = (0.25, 0.5, 0.25)
@@ -58,57 +76,80 @@ SHARE = 0.8
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "off", "link", "main", "weight")
+    __slots__ = ("tag", "parent", "depth", "path", "off", "link", "main", "heading", "weight", "shown", "inside")
 
-    def __init__(self, tag: str, parent: _Element | None, attributes: str):
-        self.tag, self.parent, self.weight = tag, parent, 0.0
+    def __init__(self, tag: str, parent: _Element | None, attributes: str, paths: dict):
+        self.tag, self.parent, self.weight, self.shown, self.inside = tag, parent, 0.0, False, False
         kind = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
-        self.path = f"{parent.path if parent else ''}/{tag}.{kind.get('class', '')}"
+        self.depth = parent.depth + 1 if parent else 0
+        self.path = paths.setdefault((parent.path if parent else -1, tag, kind.get("class", "")), len(paths))  # a number for each tag path
         self.main = bool(parent and parent.main) or tag in ("article", "main") or kind.get("role") == "main"
         self.link = bool(parent and parent.link) or tag == "a"
-        named = f"{kind.get('class', '')} {kind.get('id', '')} {kind.get('role', '')}" if kind else ""
+        self.heading = bool(parent and parent.heading) or tag in HEADING
         self.off = bool(parent and parent.off) or tag in NOT_MAIN or (tag == "header" and not self.main)
         if kind and not self.off and tag not in ("html", "body", "article", "main"):
-            self.off = bool(_MARKED.search(named)) or bool(_HEADER.search(named) and not self.main) or "hidden" in kind or kind.get("aria-hidden") == "true" or "display:none" in kind.get("style", "").replace(" ", "")
+            names = f"{kind.get('class', '')} {kind.get('id', '')} {kind.get('role', '')}"
+            self.off = _named(names, _MARKS) or (not self.main and _named(names, _HEADERS)) or "hidden" in kind or kind.get("aria-hidden") == "true" or "display:none" in kind.get("style", "").replace(" ", "")
 
 
-def nodes(page: str) -> list[tuple[_Element, str, int]]:
-    """(element, text, block) of the page's text nodes in order; scripts and the like left out."""
+def nodes(page: str) -> tuple[list[tuple[_Element, str, int]], list[_Element]]:
+    """(element, text, block) of the page's text nodes in order, scripts and the like left out; and all elements, parents first."""
     out: list[tuple[_Element, str, int]] = []
-    now, block, at = _Element("", None, ""), 0, 0
-    for m in iter(lambda: _TOKEN.search(page, at), None):
-        if m.start() > at:
-            out.append((now, page[at : m.start()], block))
-        at = m.end()
-        if not m[2]:
+    paths: dict = {}
+    now = _Element("", None, "", paths)
+    every, open_, block, at = [now], Counter(), 0, 0
+
+    def close(last: _Element) -> _Element:
+        """End the open elements up to this one; its parent."""
+        up = now
+        while up is not last:
+            open_[up.tag] -= 1
+            up = up.parent
+        open_[last.tag] -= 1
+        return last.parent
+
+    while at < len(page):
+        start = _START.search(page, at)
+        end = start.start() if start else len(page)
+        if end > at:
+            out.append((now, page[at:end], block))
+        if not start:
+            break
+        m = _TAG.match(page, end) if page[end + 1].isalpha() or page[end + 2 : end + 3].isalpha() and page[end + 1] == "/" else None
+        if not m:  # a comment or the like; or a tag that never ends, which takes the rest
+            mark = "-->" if page.startswith("<!--", end) else ">"
+            stop = page.find(mark, end + 2) if not (page[end + 1].isalpha() or page[end + 1] == "/" and page[end + 2 : end + 3].isalpha()) else -1
+            at = stop + len(mark) if stop >= 0 else len(page)
             continue
+        at = m.end()
         tag = m[2].lower()
         block += tag not in INLINE
         if m[1]:
-            find = now
-            while find.parent and find.tag != tag:
-                find = find.parent
-            if find.parent:
-                now = find.parent
+            if open_[tag] > 0:
+                find = now
+                while find.tag != tag:
+                    find = find.parent
+                now = close(find)
             continue
         if tag == "br":
             out.append((now, " ", block))
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = stop.end() if stop else len(page)
             continue
         if tag in _CLOSES:
             ends, stops = _CLOSES[tag]
-            find = now
-            while find.parent and find.tag not in ends and find.tag not in stops:
-                find = find.parent
-            if find.parent and find.tag in ends:
-                now = find.parent
+            if any(open_[x] > 0 for x in ends):
+                find = now
+                while find.parent and find.tag not in ends and find.tag not in stops:
+                    find = find.parent
+                if find.parent and find.tag in ends:
+                    now = close(find)
         if tag not in VOID:
-            now = _Element(tag, now, m[3])
-    if at < len(page):
-        out.append((now, page[at:], block))
-    return out
+            now = _Element(tag, now, m[3], paths)
+            open_[tag] += 1
+            every.append(now)
+    return out, every
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -120,11 +161,12 @@ def main_text(page: str | None) -> str:
     """The main text of a page: its blocks, one to a line."""
     if not page:
         return ""
-    found = [(e, html.unescape(t), b) for e, t, b in nodes(page)]
+    found, every = nodes(page)
+    found = [(e, html.unescape(t), b) for e, t, b in found]
     shown = [(e, t) for e, t, _ in found if not e.off and t.strip()]
     if not shown:
         return ""
-    totals: dict[str, list[float]] = {}
+    totals: dict[int, list[float]] = {}
     for e, t in shown:
         own = totals.setdefault(e.path, [0, 0, 0])
         own[0] += 1
@@ -134,7 +176,7 @@ def main_text(page: str | None) -> str:
     ratio = {p: (chars / n, points / n) for p, (n, chars, points) in totals.items()}
     long = _smoothed([ratio[e.path][0] for e, _ in shown])
     dots = _smoothed([ratio[e.path][1] for e, _ in shown])
-    fused: dict[str, float] = {}
+    fused: dict[int, float] = {}
     for (e, _), x, y in zip(shown, long, dots):
         own = ratio[e.path]
         fused[e.path] = max(fused.get(e.path, 0.0), math.log1p(x) * (1 + math.log1p(y)) * (own[0] > 0))
@@ -144,22 +186,22 @@ def main_text(page: str | None) -> str:
     # the elements that hold the chosen nodes' text; the deepest with most of it is the content
     whole = 0.0
     for e, t in shown:
+        e.shown = True
         if e.path in chosen and not e.link:
             whole += len(t.strip())
-            up = e
-            while up:
-                up.weight += len(t.strip())
-                up = up.parent
+            e.weight += len(t.strip())
+    for e in reversed(every[1:]):  # children before parents
+        e.parent.weight += e.weight
+        e.parent.shown |= e.shown
     content: _Element | None = None
-    for e, _ in shown:
-        up: _Element | None = e
-        while up:
-            if up.tag not in _LEAVES and up.weight >= SHARE * whole and (content is None or len(up.path) > len(content.path)):
-                content = up
-            up = up.parent
+    for e in every:
+        if e.shown and e.tag not in _LEAVES and e.weight >= SHARE * whole and (content is None or e.depth > content.depth):
+            content = e
     if content is not None and content.main:  # an article's further parts belong to it
         while content.parent and content.parent.main:
             content = content.parent
+    for e in every:
+        e.inside = content is None or e is content or bool(e.parent and e.parent.inside)
     linked: dict[int, list[int]] = {}
     for e, t, b in found:
         if not e.off:
@@ -167,32 +209,16 @@ def main_text(page: str | None) -> str:
             own[e.link] += len(t.strip())
     lines: dict[int, list[str]] = {}
     for e, t, b in found:
-        if e.off or not (content is None or _within(e, content)):
+        if e.off or not e.inside:
             continue
         plain, link = linked[b]
-        if link > 2 * plain and not _heading(e) and not (content is not None and content.main):
+        if link > 2 * plain and not e.heading and not (content is not None and content.main):
             continue  # a block of links outside an article is a menu
         lines.setdefault(b, []).append(t)
     blocks = (" ".join("".join(parts).split()) for parts in lines.values())
     return "\n".join(b for b in blocks if b)
 
 
-def _within(e: _Element | None, top: _Element) -> bool:
-    while e:
-        if e is top:
-            return True
-        e = e.parent
-    return False
-
-
-def _heading(e: _Element | None) -> bool:
-    while e:
-        if e.tag in HEADING:
-            return True
-        e = e.parent
-    return False
-
-
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Adds ``text`` and ``n_chars`` (its code points) to the pages, in place of such columns."""
     small_batches(pages.sparkSession, 500)

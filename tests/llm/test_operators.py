@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -75,6 +76,29 @@ def test_html(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<body><div class='post side-effects'><h1>Side effects</h1><p>A long paragraph, with points. And more.</p></div></body>", "Side effects\nA long paragraph, with points. And more."),
+    ("<body><article><p title=it's>One, two. Three.</p><p>Then <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, too.</p></article></body>", "One, two. Three.\nThen x=2 holds, too."),
+    ("<body><p>One, two. Three.</p><div class='cookie-notice'>We use cookies, you see.</div><div id='relatedPosts'><p>More, here.</p></div></body>", "One, two. Three."),
+    ("<p>One, two.<!-- a > b --><p>Three < four, and <b>five</b></i>.<!x><?y><a href='z", "One, two.\nThree < four, and five."),
+])
+def test_html_odd_pages(page, text):
+    assert html_extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 30_000 + "text, here.", '<a "' * 60_000, '<a ="' * 60_001, "<p>a, b." * 30_000, "<b>x" * 30_000 + "</i>" * 30_000, "<" * 200_000, "<!-- " * 40_000, "<ul><li>a" * 20_000])
+def test_html_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 5
+
+
+def test_html_empty_table_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a, b</p>")] * 2 + [(None, None, None)], "page_id long, url string, html string")
+    assert sorted(r["text"] for r in html_extract.extract(df).collect()) == ["", "a, b", "a, b"]
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "<p>a, b</p>", "y")], "page_id long, url string, html string, text string")
     assert [(r["text"], r["n_chars"]) for r in html_extract.extract(df).orderBy("page_id").collect()] == [("", 0), ("a, b", 4)]
