@@ -16,9 +16,12 @@ tasks as there are block pairs, and no task holds more than two blocks.
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part; shorter vectors count as followed by zeros; a row is
 no candidate of a query with the same id; repeated query rows count once, and
-repeated rows are separate candidates; an empty table gives an empty result;
-null ids take no part; further columns don't matter. Components must stay
-below 2**20 in magnitude, so that sums of products are exact in doubles.
+repeated rows are separate candidates; of different vectors with a query's id
+the smallest is the query, and each is a candidate; an empty table gives an
+empty result; null ids take no part; further columns don't matter. Sums of
+products are exact: where they could leave the whole numbers that doubles hold,
+bounds allow for the rounding and Python's integers give the scores. A score
+beyond a long counts as the largest or smallest long.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 5
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
 ROW_BLOCK = 16_384
 #: Edges of the impact levels as shares of a block's largest magnitude.
 LEVELS = (1 / 2, 1 / 4, 1 / 8, 1 / 16, 1 / 32, 0.0)
@@ -56,28 +59,43 @@ def _distinct(ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np
     return ids[keep], rows[keep]
 
 
+def _exact(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray, sound: bool) -> np.ndarray:
+    """The scores of the pairs (row of q, row of x) as longs."""
+    if sound:
+        parts = [np.einsum("ij,ij->i", q[row[i : i + _PAIRS]], x[col[i : i + _PAIRS]]) for i in range(0, max(len(row), 1), _PAIRS)]
+        return np.concatenate(parts).astype(np.int64)
+    whole = [sum(int(a) * int(b) for a, b in zip(q[i], x[j])) for i, j in zip(row, col)]
+    return np.array([max(min(s, 2**63 - 1), -(2**63)) for s in whole], np.int64)
+
+
 def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     """The k best rows of each query by impact levels; ties go to the smaller id."""
     size = np.abs(x)
     top = size.max(initial=0.0)
-    score, open_ = np.zeros((len(q), len(x))), np.ones(x.shape, bool)
-    score[qid[:, None] == vid[None, :]] = -np.inf
-    for edge in LEVELS:
-        level = open_ & (size >= edge * top)
-        score += q @ np.where(level, x, 0.0).T
-        open_ &= ~level
-        rest = edge * top * (np.abs(q) @ open_.T.astype(float))
-        low = score - rest
-        least = np.partition(low, len(x) - k, axis=1)[:, len(x) - k] if len(x) >= k else np.full(len(q), -np.inf)
-        possible = (score + rest >= least[:, None]) & np.isfinite(score)
-        if not edge or possible.sum() <= 8 * k * len(q):
-            break
+    most = np.abs(q).max(initial=0.0) * top * max(x.shape[1], 1) if max(top, np.abs(q).max(initial=0.0)) < 1e150 else math.inf
+    sound = most < 2**53
+    other = qid[:, None] != vid[None, :]
+    if not most < 1e300:  # no bound in doubles: all pairs are scored
+        possible = other
+    else:
+        slack = 0.0 if sound else most * 2.0**-50 * x.shape[1]
+        score, open_ = np.where(other, 0.0, -np.inf), np.ones(x.shape, bool)
+        for edge in LEVELS:
+            level = open_ & (size >= edge * top)
+            score += q @ np.where(level, x, 0.0).T
+            open_ &= ~level
+            rest = edge * top * (np.abs(q) @ open_.T.astype(float)) + slack
+            low = score - rest
+            least = np.partition(low, len(x) - k, axis=1)[:, len(x) - k] if len(x) >= k else np.full(len(q), -np.inf)
+            possible = (score + rest >= least[:, None]) & np.isfinite(score)
+            if not edge or possible.sum() <= 8 * k * len(q):
+                break
     row, col = np.nonzero(possible)
-    exact = np.concatenate([np.einsum("ij,ij->i", q[row[i : i + _PAIRS]], x[col[i : i + _PAIRS]]) for i in range(0, max(len(row), 1), _PAIRS)])
-    by = np.lexsort((vid[col], -exact, row))
+    exact = _exact(q, x, row, col, sound)
+    by = np.lexsort((vid[col], ~exact, row))
     row, col, exact = row[by], col[by], exact[by]
     keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return pd.DataFrame({"query_id": qid[row[keep]], "vec_id": vid[col[keep]], "score": exact[keep].astype(np.int64)})
+    return pd.DataFrame({"query_id": qid[row[keep]], "vec_id": vid[col[keep]], "score": exact[keep]})
 
 
 def _pair_of_blocks(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -94,15 +112,19 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id and vec (floor(256 x) of each component) of the rows that take part."""
     v = F.col(vec_col)
     sound = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    def floored(c):
+        y = F.greatest(F.least(F.lit(256.0) * c.cast("double"), F.lit(1.7e308)), F.lit(-1.7e308))
+        return F.when(F.abs(y) < F.lit(2.0**52), F.floor(F.when(F.abs(y) < F.lit(2.0**52), y)).cast("double")).otherwise(y)  # larger doubles are whole
+
     return vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & sound).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(v, lambda c: F.floor(F.lit(256.0) * c.cast("double")).cast("int")).alias("vec")
+        F.col(id_col).cast("long").alias("id"), F.transform(v, floored).alias("vec")
     )
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, its k best."""
     rows = quantised(vectors, id_col, vec_col)
-    queries = rows.filter(F.col("id") % every == 0).distinct()
+    queries = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
     n = vectors.agg(F.count("*"), F.count_if(F.col(id_col) % every == 0)).first()
     across, down = max(1, math.ceil(n[1] / QUERY_BLOCK)), max(1, math.ceil(n[0] / ROW_BLOCK))
     deal = F.monotonically_increasing_id()

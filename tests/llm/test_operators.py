@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips and edge cases."""
 
 import hashlib
+import math
 import random
 import time
 
@@ -336,6 +337,18 @@ def test_top_k(spark):
     assert exact_topk.top_k(df.filter("vec_id in (50, 51)")).count() == 1
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(i, [float(r), 1.0]) for i, r in enumerate([9e6, -9e6, 1e15, 3e15 + 1, 1e300, 2.0, 1e20])] + [(50, [9e6, 3.0]), (50, [9e6, 2.0]), (100, [-1e30, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    floor = lambda c: math.floor(min(256.0 * c, 1.7e308))
+    out: dict = {}
+    for x in exact_topk.top_k(df).orderBy("query_id", "rank").collect():
+        out.setdefault(x["query_id"], []).append((x["vec_id"], x["score"]))
+    for q, own in ((0, [9e6, 1.0]), (50, [9e6, 2.0]), (100, [-1e30, 0.5])):
+        scores = [(max(min(sum(floor(a) * floor(b) for a, b in zip(own, v)), 2**63 - 1), -(2**63)), i) for i, v in rows if i != q]
+        assert out[q] == [(i, s) for s, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:5]]
+
+
 # 10
 def test_sharding(spark, tmp_path):
     s = sharding.Shards(spark, str(tmp_path / "s"), target=20_000, fan_in=4)
