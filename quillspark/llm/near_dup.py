@@ -388,11 +388,12 @@ def near_duplicates(
         sizes = stored(own.join(need, "rep", "left_semi").groupBy("rep").agg(F.first("words").alias("words"), F.first("bins").alias("bins")), "sizes")
         texts = stored(docs.join(need.withColumnRenamed("rep", "id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "candidates")
         links = _pivot_links(members, texts, similarity, rounds)
-        known = stored(_near_classes(known, links), "classes")
+        for _ in range(2):
+            known = stored(_contracted(known, links), "classes")
         # linked members too: they may be the only link of others to the class
         rest = stored(cell_links(members.join(known, "rep"), sizes, texts, similarity), "links")
-        joined = components(links.union(rest)).select(F.col("node").alias("rep"), F.col("class").alias("low"))
-        known = reps.select("rep").join(joined, "rep", "left").select("rep", F.coalesce("low", "rep").alias("class"))
+        joined = components(_between(known, links.union(rest))).select(F.col("node").alias("class"), F.col("class").alias("low"))
+        known = known.join(joined, "class", "left").select("rep", F.coalesce("low", "class").alias("class"))
     classes = reps.join(known, "rep").select("copy", F.col("class").alias("class_id"))
     return (
         sketched.select("id", "copy").join(classes, "copy", "left")
@@ -400,11 +401,19 @@ def near_duplicates(
     )
 
 
-def _near_classes(known: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, class) after two steps along links (a, b) to smaller nodes: never too wide, and whole for most stars of copies."""
-    down = links.groupBy("a").agg(F.min("b").alias("b"))
-    step = known.join(down.withColumnRenamed("a", "class"), "class", "left").select("rep", F.coalesce("b", "class").alias("class"))
-    return step.join(down.withColumnRenamed("a", "class"), "class", "left").select("rep", F.coalesce("b", "class").alias("class"))
+def _between(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): the distinct links between classes of (rep, class), the larger one first."""
+    low, high = (known.select(F.col("rep").alias(end), F.col("class").alias(f"c{end}")) for end in ("a", "b"))
+    ends = links.join(low, "a").join(high, "b").filter("ca <> cb")
+    return ends.select(F.greatest("ca", "cb").alias("a"), F.least("ca", "cb").alias("b")).distinct()
+
+
+def _contracted(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(rep, class) after each class went to the smallest one that it is linked to, and once more: never too wide."""
+    down = _between(known, links).groupBy(F.col("a").alias("class")).agg(F.min("b").alias("b"))
+    for _ in range(2):
+        known = known.join(down, "class", "left").select("rep", F.coalesce("b", "class").alias("class"))
+    return known
 
 
 def _pivot_links(members: DataFrame, texts: DataFrame, similarity: float, rounds: int) -> DataFrame:
