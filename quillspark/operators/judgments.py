@@ -24,7 +24,9 @@ def pool_manifest(run: DataFrame, depth: int = 50) -> DataFrame:
 
 def missing_runs(run: DataFrame, systems: DataFrame, queries: DataFrame) -> DataFrame:
     """Expected (system, query_id) without any result."""
-    return systems.select("system").join(F.broadcast(queries.select("query_id"))).join(run.select("system", "query_id").distinct(), ["system", "query_id"], "left_anti")
+    names = [F.lit(name) for (name,) in systems.select("system").distinct().collect()]  # a few
+    expected = queries.select(F.explode(F.array(*names)).alias("system"), "query_id") if names else systems.select("system").join(queries.select("query_id").limit(0))
+    return expected.join(run.select("system", "query_id").distinct(), ["system", "query_id"], "left_anti")
 
 
 def dealt(annotators: DataFrame, queries: DataFrame, each: int = 2, most: int = 3) -> DataFrame:

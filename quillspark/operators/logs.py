@@ -75,9 +75,17 @@ def lasting(alerts: DataFrame, flag: str, minutes: int = 10, step: int = 60) ->
 
 
 def method_summary(log: DataFrame, by: str = "path") -> DataFrame:
-    """Requests, failures, rate and nearest-rank percentiles of each method."""
-    own = Window.partitionBy(by)
-    r = log.withColumns({"r": F.row_number().over(own.orderBy("duration_ms")), "n": F.count("*").over(own)})
-    at = lambda q: F.min(F.when(F.col("r") >= F.ceil(F.lit(q) * F.col("n")), F.col("duration_ms")))
+    """Requests, failures, rate and nearest-rank percentiles of each method; null times don't count in the last.
+
+    Times are counted by value and numbered within each millisecond, to which
+    the counts of the milliseconds before are added: no task holds a method's log.
+    """
     span = F.greatest(F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts")), F.lit(1))
-    return r.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("status") >= 500).alias("failures"), F.round(F.count("*") / span, 6).alias("rps"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    whole = log.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("status") >= 500).alias("failures"), F.round(F.count("*") / span, 6).alias("rps"))
+    times = log.filter("duration_ms is not null").groupBy(by, F.floor("duration_ms").alias("ms"), "duration_ms").agg(F.count("*").alias("same"))
+    order = Window.partitionBy(by).orderBy("ms")
+    steps = times.groupBy(by, "ms").agg(F.sum("same").alias("here")).withColumns({"before": F.sum("here").over(order) - F.col("here"), "timed": F.sum("here").over(Window.partitionBy(by))}).drop("here")
+    upto = F.col("before") + F.sum("same").over(Window.partitionBy(by, "ms").orderBy("duration_ms"))
+    placed = times.join(steps, [by, "ms"]).withColumn("upto", upto)
+    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("timed")), F.col("duration_ms")))
+    return whole.join(placed.groupBy(by).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99")), by, "left")

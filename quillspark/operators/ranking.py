@@ -142,9 +142,18 @@ def result_page(ranked: DataFrame, docs: DataFrame, chapters: DataFrame, k: int
     )
 
 
-def together(runs: dict[str, DataFrame]) -> DataFrame:
-    """One run table (system, query_id, doc_id, rank, score) of many methods."""
-    parts = [df.select(F.lit(name).alias("system"), "query_id", "doc_id", "rank", "score") for name, df in runs.items()]
+def together(runs: dict[str, DataFrame], covered: dict[str, list[str]] | None = None, languages: DataFrame | None = None) -> DataFrame:
+    """One run table (system, query_id, doc_id, rank, score) of many methods.
+
+    covered: the languages of methods that have limits; such methods keep the
+    queries that ``languages`` (query_id, lang) gives one of theirs.
+    """
+    parts = []
+    for name, df in runs.items():
+        if name in (covered or {}):
+            own = languages.filter(F.col("lang").isin(covered[name])).select("query_id").distinct()
+            df = df.join(own, "query_id", "left_semi")
+        parts.append(df.select(F.lit(name).alias("system"), "query_id", "doc_id", "rank", "score"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

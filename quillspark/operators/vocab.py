@@ -96,8 +96,13 @@ def closest(words: DataFrame, terms: DataFrame) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(order)).filter("r = 1").select("word", "term", "sim")
 
 
-def did_you_mean(queries: DataFrame, terms: DataFrame, most: int = 10) -> DataFrame:
-    """(query_id, hint): the first words with unknown ones replaced; null if nothing changes."""
+def did_you_mean(queries: DataFrame, terms: DataFrame, most: int = 10, found: DataFrame | None = None) -> DataFrame:
+    """(query_id, hint): the first words with unknown ones replaced; null if nothing changes.
+
+    found: (query_id) of queries that have results, which get no row.
+    """
+    if found is not None:
+        queries = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
     words = queries.select("query_id", F.posexplode(F.slice(F.split(F.trim("text"), r"\s+"), 1, most)).alias("pos", "raw")).withColumn("word", fold(F.col("raw")))
     unknown = words.filter("word <> ''").join(terms.select(F.col("term").alias("word")).distinct(), "word", "left_anti")
     best = closest(unknown, terms).select("word", F.col("term").alias("fix"))

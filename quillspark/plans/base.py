@@ -144,21 +144,24 @@ QRELS = f"""qrels AS MATERIALIZED (SELECT query_id, doc_id, CAST(CASE WHEN conta
 
 
 def label_events(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").selectExpr("event_id", "cast(user_id % 6 AS int) AS annotator_id", "event_type AS query_id", "event_id % 50 AS doc_id", "cast((event_id * 7 + user_id) % 3 AS int) AS label", "ts AS event_time")
+    """Events as labels of documents: one document for 200 events (at least 50), so that annotators meet on it."""
+    events = table(spark, folder, "events")
+    docs = max(50, events.count() // 200)
+    return events.selectExpr("event_id", "cast(user_id % 6 AS int) AS annotator_id", "event_type AS query_id", f"event_id % {docs} AS doc_id", "cast((event_id * 7 + user_id) % 3 AS int) AS label", "ts AS event_time")
 
 
-EVENTS = "ev AS MATERIALIZED (SELECT event_id, CAST(user_id % 6 AS INT) AS annotator_id, event_type AS query_id, event_id % 50 AS doc_id, CAST((event_id * 7 + user_id) % 3 AS INT) AS label, ts AS event_time FROM events)"
+EVENTS = "ev AS MATERIALIZED (SELECT event_id, CAST(user_id % 6 AS INT) AS annotator_id, event_type AS query_id, event_id % greatest(50, (SELECT count(*) // 200 FROM events)) AS doc_id, CAST((event_id * 7 + user_id) % 3 AS INT) AS label, ts AS event_time FROM events)"
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as concept pairs under review."""
     return table(spark, folder, "documents").selectExpr(
-        "doc_id AS id", "doc_id", "concat('topic ', doc_id % 7) AS topic", "substr(text, 1, 20) AS concept_en", "CASE WHEN doc_id % 3 = 0 THEN substr(text, 2, 20) END AS concept_ar",
+        "doc_id AS id", "doc_id", "concat('topic ', doc_id % 7) AS topic", "substr(text, 1, 20) AS concept_en", "CASE WHEN doc_id % 2 = 0 THEN substr(text, 2, 20) END AS concept_ar",
         "CASE doc_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'verified' ELSE 'rejected' END AS status",
     )
 
 
-PAIRS = "pairs AS (SELECT doc_id AS id, doc_id, 'topic ' || (doc_id % 7) AS topic, substr(text, 1, 20) AS concept_en, CASE WHEN doc_id % 3 = 0 THEN substr(text, 2, 20) END AS concept_ar, CASE doc_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'verified' ELSE 'rejected' END AS status FROM documents)"
+PAIRS = "pairs AS (SELECT doc_id AS id, doc_id, 'topic ' || (doc_id % 7) AS topic, substr(text, 1, 20) AS concept_en, CASE WHEN doc_id % 2 = 0 THEN substr(text, 2, 20) END AS concept_ar, CASE doc_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'verified' ELSE 'rejected' END AS status FROM documents)"
 
 
 def request_log(spark: SparkSession, folder: str) -> DataFrame:

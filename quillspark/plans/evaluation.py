@@ -13,7 +13,7 @@ from ..operators import training as tr
 from ..sources import store
 from ..streaming import logs as live
 from .base import EVENTS, LOG, PAIRS, QRELS, label_events, pairs, qrels, query, request_log, table
-from .ranking import RUN, run
+from .ranking import RUN, SYSTEMS, deep_run, run
 
 
 def _q(s, d):
@@ -36,9 +36,12 @@ def _(s, d):
     return ju.missing_runs(run(s, d), s.sql("SELECT * FROM VALUES ('bm25'), ('tfidf'), ('dense') AS t(system)"), _q(s, d))
 
 
-@query("a04_training_pool", f"WITH {RUN} SELECT DISTINCT query_id, doc_id FROM run WHERE rank <= 20 AND system <> 'overlap'")
+TRAINING = ["bm25", "tfidf", "cosine", "bm25_prf"]
+
+
+@query("a04_training_pool", f"WITH {RUN} SELECT DISTINCT query_id, doc_id FROM deep WHERE system IN {tuple(TRAINING)}")
 def _(s, d):
-    return ju.pool(run(s, d).filter("system <> 'overlap'"), 20)
+    return ju.pool(deep_run(s, d).filter(F.col("system").isin(TRAINING)), 100)
 
 
 @query("a05_assignment", """WITH q AS (SELECT item_id AS query_id, row_number() OVER (ORDER BY item_id) - 1 AS q, count(*) OVER () AS n FROM benchmark),
@@ -61,12 +64,22 @@ def _(s, d):
     return labels(s, d).select("annotator_id", "query_id", "doc_id", "label", "replaced")
 
 
-_POOLED = "pooled AS (SELECT DISTINCT query_id, doc_id FROM ev WHERE doc_id < 40), assigned AS (SELECT DISTINCT annotator_id, query_id FROM ev WHERE annotator_id < 4)"
+_POOLED = "pooled AS (SELECT DISTINCT query_id, doc_id FROM ev), assigned AS (SELECT DISTINCT annotator_id, query_id FROM ev)"
 
 
 def _pooled(s, d):
     e = label_events(s, d)
-    return e.filter("doc_id < 40").select("query_id", "doc_id").distinct(), e.filter("annotator_id < 4").select("annotator_id", "query_id").distinct()
+    return e.select("query_id", "doc_id").distinct(), e.select("annotator_id", "query_id").distinct()
+
+
+_NARROW = "pooled AS (SELECT DISTINCT query_id, doc_id FROM ev SEMI JOIN (SELECT doc_id FROM documents WHERE lang = 'en') USING (doc_id)), assigned AS (SELECT DISTINCT annotator_id, query_id FROM ev WHERE query_id <> 'error')"
+
+
+def _narrow(s, d):
+    """A pool of English documents only, and no assignments to one query: leaves labels to reject."""
+    e = label_events(s, d)
+    english = table(s, d, "documents").filter("lang = 'en'").select("doc_id")
+    return e.join(english, "doc_id", "left_semi").select("query_id", "doc_id").distinct(), e.filter("query_id <> 'error'").select("annotator_id", "query_id").distinct()
 
 
 _POS = "pos AS (SELECT annotator_id, query_id, arg_max(i, event_time) AS i FROM (SELECT annotator_id, query_id, CAST(event_id % 60 AS INT) AS i, event_time FROM ev WHERE query_id <> 'view') GROUP BY ALL)"
@@ -179,7 +192,7 @@ def toy_model():
     return lambda prompts: [f"Grade {len(p) % 3}" for p in prompts]
 
 
-@query("a17_model_grades")
+@query("a17_model_grades", f"WITH {RUN}, {QRELS} SELECT p.query_id, p.doc_id, CAST((len(b.text) + len(d.text) + 39) % 3 AS INT) AS grade FROM (SELECT DISTINCT query_id, doc_id FROM run WHERE rank <= 10) p JOIN benchmark b ON b.item_id = p.query_id JOIN documents d ON d.doc_id = p.doc_id WHERE NOT EXISTS (SELECT 1 FROM qrels q WHERE q.query_id = p.query_id AND q.doc_id = p.doc_id)")
 def _(s, d):
     pool = ju.pool(run(s, d), 10).join(_q(s, d).withColumnRenamed("text", "query"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
     return ju.graded(pool, qrels(s, d), toy_model)
@@ -225,11 +238,11 @@ def _(s, d):
     return table(s, d, "events").select("event_id", ju.clamped(F.col("event_id") % 9 - 1, F.col("event_id") % 5).alias("position"))
 
 
-@query("p18_checked_labels", f"""WITH {EVENTS}, {_POOLED}, x AS (SELECT e.event_id, CASE WHEN e.label = 2 AND e.event_id % 7 = 0 THEN 'label' WHEN a.annotator_id IS NULL THEN 'not assigned' WHEN p.doc_id IS NULL THEN 'not in the pool' END AS reason
+@query("p18_checked_labels", f"""WITH {EVENTS}, {_NARROW}, x AS (SELECT e.event_id, CASE WHEN e.label = 2 AND e.event_id % 7 = 0 THEN 'label' WHEN a.annotator_id IS NULL THEN 'not assigned' WHEN p.doc_id IS NULL THEN 'not in the pool' END AS reason
   FROM ev e LEFT JOIN pooled p ON p.query_id = e.query_id AND p.doc_id = e.doc_id LEFT JOIN assigned a ON a.annotator_id = e.annotator_id AND a.query_id = e.query_id) SELECT event_id, coalesce(reason, '') AS reason FROM x""")
 def _(s, d):
     e = label_events(s, d).withColumn("label", F.when((F.col("label") == 2) & (F.col("event_id") % 7 == 0), 5).otherwise(F.col("label")))
-    good, bad = ju.checked_labels(e, *_pooled(s, d))
+    good, bad = ju.checked_labels(e, *_narrow(s, d))
     return good.select("event_id", F.lit("").alias("reason")).unionByName(bad.select("event_id", "reason"))
 
 
@@ -407,17 +420,23 @@ def _(s, d):
     return st.t_tests(st.compared(long(s, d), "bm25")).select("a", "b", "metric", "direction")
 
 
-@query("x07_best_systems", f"WITH {LONG}, mm AS (SELECT system, metric, round(avg(value) + 1e-10, 6) AS mean FROM lm GROUP BY ALL) SELECT metric, arg_max(system, (mean, -list_position(['bm25', 'hybrid', 'overlap', 'tfidf'], system))) AS system, max(mean) AS mean FROM mm GROUP BY metric")
+@query("x07_best_systems", f"WITH {LONG}, mm AS (SELECT system, metric, round(avg(value) + 1e-10, 6) AS mean FROM lm GROUP BY ALL) SELECT metric, arg_max(system, (mean, -list_position({SYSTEMS}, system))) AS system, max(mean) AS mean FROM mm GROUP BY metric")
 def _(s, d):
-    return st.best_systems(me.graded_only(long(s, d), qrels(s, d)), ["bm25", "hybrid", "overlap", "tfidf"])
+    return st.best_systems(me.graded_only(long(s, d), qrels(s, d)), SYSTEMS)
 
 
 @query("x08_analysis")
 def _(s, d):
-    pairs_ = st.compared(long(s, d).filter(F.col("metric").isin("ap", "rr", "ndcg_10")), "bm25")
-    t = st.marked(st.t_tests(pairs_)).select("a", "b", "metric", F.lit("paired t").alias("test"), F.col("t").alias("statistic"), "p_value", "mark")
-    w = st.marked(st.wilcoxon_tests(pairs_)).select("a", "b", "metric", F.lit("wilcoxon").alias("test"), F.col("w").alias("statistic"), "p_value", "mark")
-    return t.unionByName(w)
+    """Long: the tests of each pair, each system's number of queries, mean and interval, and each metric's best system."""
+    values = long(s, d).filter(F.col("metric").isin("ap", "rr", "ndcg_10"))
+    pairs_ = st.compared(values, "bm25")
+    own = lambda df, test, value: df.select("a", "b", "metric", F.lit(test).alias("test"), F.col(value).cast("double").alias("statistic"), "p_value", "mark")
+    alone = lambda df, test, value: own(df.select(F.col("system").alias("a"), F.lit(None).cast("string").alias("b"), "metric", value, F.lit(None).cast("double").alias("p_value"), F.lit("").alias("mark")), test, value)
+    out = own(st.marked(st.t_tests(pairs_)), "paired t", "t").unionByName(own(st.marked(st.wilcoxon_tests(pairs_)), "wilcoxon", "w"))
+    means, intervals = me.graded_only(values, qrels(s, d)), st.bootstrap(values)
+    for part in (alone(means, "queries", "n"), alone(means, "mean", "mean"), alone(intervals, "interval from", "lower"), alone(intervals, "interval to", "upper"), alone(st.best_systems(means, SYSTEMS), "best", "mean")):
+        out = out.unionByName(part)
+    return out
 
 
 def _variants(s, d):
@@ -459,18 +478,20 @@ def _(s, d):
     return tr.query_pairs(qrels(s, d), _q(s, d), table(s, d, "documents"))
 
 
-_CP = f"{PAIRS}, cp AS (SELECT 'query: ' || c AS anchor, 'passage: ' || text AS passage, l AS lang FROM (SELECT doc_id, concept_en AS c, 'en' AS l FROM pairs WHERE status = 'verified' UNION ALL SELECT doc_id, concept_ar, 'ar' FROM pairs WHERE status = 'verified') JOIN documents USING (doc_id) WHERE c IS NOT NULL AND c <> '' AND l = 'en')"
+_form = "trim(regexp_replace(coalesce({}, ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"  # for texts without Arabic marks
+_CP = f"""{PAIRS}, cp AS (SELECT 'query: ' || CASE l WHEN 'ar' THEN {_form.format('c')} ELSE c END AS anchor, 'passage: ' || CASE l WHEN 'ar' THEN {_form.format('text')} ELSE text END AS passage, l AS lang
+  FROM (SELECT doc_id, concept_en AS c, 'en' AS l FROM pairs WHERE status = 'verified' UNION ALL SELECT doc_id, concept_ar, 'ar' FROM pairs WHERE status = 'verified') JOIN documents USING (doc_id) WHERE c IS NOT NULL AND c <> '')"""
 
 
 @query("g02_concept_pairs", f"WITH {_CP} SELECT * FROM cp")
 def _(s, d):
-    return tr.concept_pairs(pairs(s, d), table(s, d, "documents")).filter("lang = 'en'")
+    return tr.concept_pairs(pairs(s, d), table(s, d, "documents"))
 
 
 @query("g03_training_set", f"WITH {_TP}, {_CP} SELECT lang, count(*) AS n FROM (SELECT * FROM tp UNION ALL SELECT * FROM cp) GROUP BY lang")
 def _(s, d):
     docs = table(s, d, "documents")
-    both = tr.query_pairs(qrels(s, d), _q(s, d), docs).unionByName(tr.concept_pairs(pairs(s, d), docs).filter("lang = 'en'"))
+    both = tr.query_pairs(qrels(s, d), _q(s, d), docs).unionByName(tr.concept_pairs(pairs(s, d), docs))
     return both.groupBy("lang").agg(F.count("*").alias("n"))
 
 
