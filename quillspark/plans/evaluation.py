@@ -445,11 +445,11 @@ def _variants(s, d):
     return m.unionByName(m.withColumns({"variant": F.lit("twice"), "value": F.col("value") * 0.5 + 0.25})).unionByName(m.withColumns({"variant": F.lit("less"), "value": F.col("value") * 0.9}))
 
 
-_VAR = f"{LONG}, va AS MATERIALIZED (SELECT 'base' AS variant, * FROM lm UNION ALL SELECT 'twice', system, query_id, metric, value * 0.5 + 0.25 FROM lm UNION ALL SELECT 'less', system, query_id, metric, value * 0.9 FROM lm), vm AS MATERIALIZED (SELECT variant, system, metric, round(avg(value), 6) AS mean FROM va GROUP BY ALL), de AS MATERIALIZED (SELECT v.variant, system, metric, b.mean AS baseline, v.mean AS value, round(v.mean - b.mean, 6) AS delta, round(CASE WHEN b.mean > 0 THEN (v.mean - b.mean) / b.mean * 100 ELSE 0.0 END, 2) AS delta_pct FROM vm v JOIN (SELECT system, metric, mean FROM vm WHERE variant = 'base') b USING (system, metric) WHERE v.variant <> 'base')"
+_VAR = f"{LONG}, va AS MATERIALIZED (SELECT 'base' AS variant, * FROM lm UNION ALL SELECT 'twice', system, query_id, metric, value * 0.5 + 0.25 FROM lm UNION ALL SELECT 'less', system, query_id, metric, value * 0.9 FROM lm), vm AS MATERIALIZED (SELECT variant, system, metric, round(avg(value) + 1e-10, 6) AS mean FROM va GROUP BY ALL), de AS MATERIALIZED (SELECT v.variant, system, metric, b.mean AS baseline, v.mean AS value, round(v.mean - b.mean, 6) AS delta, round(CASE WHEN b.mean > 0 THEN (v.mean - b.mean) / b.mean * 100 ELSE 0.0 END, 2) AS delta_pct FROM vm v JOIN (SELECT system, metric, mean FROM vm WHERE variant = 'base') b USING (system, metric) WHERE v.variant <> 'base')"
 
 
 def _deltas(s, d):
-    means = _variants(s, d).groupBy("variant", "system", "metric").agg(F.round(F.avg("value"), 6).alias("mean"))
+    means = _variants(s, d).groupBy("variant", "system", "metric").agg(me.mean("value").alias("mean"))
     return st.deltas(means, "base")
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import corpus as co
 from quillspark.operators import judgments as ju
+from quillspark.operators import logs as lo
 from quillspark.operators import metrics as me
 from quillspark.operators import stats as st
+from quillspark.operators import training as tr
 
 
 def measured(spark, docs, grades):
@@ -96,3 +98,34 @@ def test_registered_bootstrap_takes_all_resamples(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "long", lambda s, d: values)
     assert QUERIES["x05_bootstrap"](spark, "").collect() == stats.bootstrap(values, 10_000).collect()
     assert stats.bootstrap(values, 2_000).collect() != stats.bootstrap(values, 10_000).collect()
+
+
+def test_split_takes_the_smallest_hashes(spark):
+    import hashlib
+
+    for n in (0, 1, 7, 500):
+        rows = tr.split(spark.range(n).withColumnRenamed("id", "k"), "k").collect()
+        order = sorted(range(n), key=lambda k: hashlib.md5(f"split{k}".encode()).hexdigest())
+        assert {r["k"] for r in rows if r["part"] == "validation"} == set(order[: max(1, int(n * 0.15))])
+        assert len(rows) == n
+    twice = tr.split(spark.createDataFrame([(1,), (1,), (None,)], "k long"), "k").collect()
+    assert len(twice) == 3
+
+
+def test_percentiles_by_nearest_rank(spark):
+    times = {"/a": [5.0] * 40 + [5.5, 0.25, 7.0, 900.0], "/b": [3.0], "/c": [None]}
+    rows = [(p, t, 200, i) for p, own in times.items() for i, t in enumerate(own)]
+    log = spark.createDataFrame(rows, "path string, duration_ms double, status int, at int").withColumn("ts", F.timestamp_seconds("at"))
+    found = {r["path"]: r for r in lo.method_summary(log).collect()}
+    for path in ("/a", "/b"):
+        own = sorted(times[path])
+        for q, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99")):
+            assert found[path][name] == own[math.ceil(q * len(own)) - 1]
+    assert found["/c"]["n"] == 1 and found["/c"]["p50"] is None
+
+
+def test_missing_runs(spark):
+    run = spark.createDataFrame([("a", 1)], "system string, query_id long")
+    systems, queries = spark.createDataFrame([("a",), ("b",)], "system string"), spark.createDataFrame([(1,), (2,)], "query_id long")
+    assert sorted(map(tuple, ju.missing_runs(run, systems, queries).select("system", "query_id").collect())) == [("a", 2), ("b", 1), ("b", 2)]
+    assert ju.missing_runs(run, systems.limit(0), queries).count() == 0

@@ -94,3 +94,20 @@ def test_cosine_scores_of_many_blocks_of_queries(spark):
     v = spark.range(9).selectExpr("id AS doc_id", "array(1d, cast(id AS double)) AS vector")
     rows = de.cosine_scores(q, v, None, 3).collect()
     assert sorted((r["query_id"], r["doc_id"], r["score"]) for r in rows) == [(a, b, float(a + b)) for a in range(7) for b in range(9)]
+
+
+def test_methods_keep_to_their_languages(spark):
+    df = spark.createDataFrame([(1, 5, 1, 0.5), (2, 6, 1, 0.4)], "query_id long, doc_id long, rank int, score double")
+    langs = spark.createDataFrame([(1, "en"), (2, "ar")], "query_id long, lang string")
+    out = rk.together({"all": df, "some": df}, {"some": ["ar"]}, langs)
+    assert sorted((r["system"], r["query_id"]) for r in out.collect()) == [("all", 1), ("all", 2), ("some", 2)]
+
+
+def test_hints_only_without_results(spark):
+    from quillspark.operators import vocab as vo
+
+    terms = spark.createDataFrame([("en", "prayer", 3), ("en", "fasting", 2)], "lang string, term string, df long")
+    queries = spark.createDataFrame([(1, "prayr"), (2, "fastin prayer")], "query_id long, text string")
+    found = spark.createDataFrame([(2,)], "query_id long")
+    assert [tuple(r) for r in vo.did_you_mean(queries, terms, found=found).collect()] == [(1, "prayer")]
+    assert {tuple(r) for r in vo.did_you_mean(queries, terms).collect()} == {(1, "prayer"), (2, "fasting prayer")}
