@@ -62,6 +62,14 @@ def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix((total[last] - total[first]) * down[first]), np.r_[0, np.searchsorted(first, ends)]
 
 
+def span_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes between each first and last position; they depend on these bytes alone."""
+    up, down = _power(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
+    return mix((total[last] - total[first]) * down[first])
+
+
 def text_words(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     """The word hashes of each text."""
     for ids, at in word_hashes(texts):

@@ -1,12 +1,12 @@
-"""The registered queries of the ten operators and, where SQL can state them, their SQL."""
+"""The registered queries of the thirteen operators and, where SQL can state them, their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, exact_topk, html_extract, license_scan, mixing, near_dup, quality, sharding, url_filter
-from .common import table
+from . import chat_format, decontam, exact_topk, html_extract, license_scan, mixing, near_dup, prefix_trie, quality, rule_ledger, sharding, spelling, url_filter
+from .common import stored, table
 
 
 def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,6 +64,22 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(table(spark, folder, "documents")).select("doc_id", "shard", "version")
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measurements, failed rules and the current policy's verdict on every document, from the stored ledger."""
+    rows = stored(rule_ledger.ledger(table(spark, folder, "documents")), "ledger")
+    return rule_ledger.judged(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of every frequent word of the documents."""
+    return spelling.variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, folder, "conversations")))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The rows that ``corpus_pipeline.run`` keeps and the shards they are in."""
     import corpus_pipeline
@@ -74,9 +90,11 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_url_filter, op2_license_scan, op3_quality, op4_html_extract, op5_chat_format,
-        op6_mixing, op7_decontam, op8_near_dup, op9_exact_topk, op10_sharding, pipeline,
+        op6_mixing, op7_decontam, op8_near_dup, op9_exact_topk, op10_sharding,
+        op11_quality_rules, op12_spelling_variants, op13_prefix_trie, pipeline,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.oracle(), "op6_mixing": mixing.oracle(), "op9_exact_topk": exact_topk.oracle()}
+    return {"op2_license_scan": license_scan.oracle(), "op6_mixing": mixing.oracle(), "op9_exact_topk": exact_topk.oracle(),
+            "op11_quality_rules": rule_ledger.oracle(), "op12_spelling_variants": spelling.oracle(), "op13_prefix_trie": prefix_trie.oracle()}
