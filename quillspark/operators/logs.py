@@ -47,31 +47,34 @@ def quantile(q: float) -> Column:
     return out
 
 
-def latency_alerts(log: DataFrame, q: float = 0.95, limit: float = 2.0, size: str = "5 minutes", step: str = "1 minute") -> DataFrame:
-    """(start, n, quantile, alert) of sliding windows; batch or stream."""
-    h = log.groupBy(F.window("ts", size, step).alias("w")).agg(*_buckets(), F.count("*").alias("all"))
-    return h.select(F.col("w.start").alias("start"), F.col("all").alias("n"), F.round(quantile(q), 6).alias("quantile")).withColumn("alert", F.col("quantile") > limit)
+def latency_alerts(log: DataFrame, q: float = 0.95, limit: float = 2.0, size: str = "5 minutes", step: str = "1 minute", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, start, n, quantile, alert) of sliding windows; batch or stream."""
+    h = log.groupBy(*by, F.window("ts", size, step).alias("w")).agg(*_buckets(), F.count("*").alias("all"))
+    return h.select(*by, F.col("w.start").alias("start"), F.window_time("w").alias("at"), F.col("all").alias("n"), F.round(quantile(q), 6).alias("quantile")).withColumn("alert", F.col("quantile") > limit)
 
 
-def rate_alerts(log: DataFrame, size: str = "5 minutes", step: str = "1 minute") -> DataFrame:
+def rate_alerts(log: DataFrame, size: str = "5 minutes", step: str = "1 minute", by: tuple[str, ...] = ()) -> DataFrame:
     """Error and busy shares of sliding windows: over 2 % 5xx but 503 and over 0.1 requests a second; over 5 % 503."""
     failed = (F.col("status") >= 500) & (F.col("status") != 503)
-    h = log.groupBy(F.window("ts", size, step).alias("w")).agg(F.count("*").alias("n"), F.count_if(failed).alias("failed"), F.count_if(F.col("status") == 503).alias("busy"))
+    h = log.groupBy(*by, F.window("ts", size, step).alias("w")).agg(F.count("*").alias("n"), F.count_if(failed).alias("failed"), F.count_if(F.col("status") == 503).alias("busy"))
     rate = F.col("n") / (F.unix_timestamp("w.end") - F.unix_timestamp("w.start"))
-    return h.select(F.col("w.start").alias("start"), "n", "failed", "busy", ((F.col("failed") / F.col("n") > 0.02) & (rate > 0.1)).alias("error_alert"), (F.col("busy") / F.col("n") > 0.05).alias("busy_alert"))
+    return h.select(
+        *by, F.col("w.start").alias("start"), F.window_time("w").alias("at"), "n", "failed", "busy",
+        ((F.col("failed") / F.col("n") > 0.02) & (rate > 0.1)).alias("error_alert"), (F.col("busy") / F.col("n") > 0.05).alias("busy_alert"),
+    )
 
 
-def lasting(alerts: DataFrame, flag: str, minutes: int = 10, step: int = 60) -> DataFrame:
-    """(from, until, n): stretches of windows, one a step, that all hold a flag for some minutes."""
-    on = alerts.filter(F.col(flag)).select("start").withColumn("s", F.unix_timestamp("start"))
+def lasting(alerts: DataFrame, flag: str, minutes: int = 10, step: int = 60, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, from, until, n): stretches of windows, one a step, that all hold a flag for some minutes."""
+    on = alerts.filter(F.col(flag)).select(*by, "start").withColumn("s", F.unix_timestamp("start"))
     # the day splits the runs' numbering; runs over midnight are joined below
     run = on.withColumn("day", F.floor(F.col("s") / 86400))
-    rank = F.row_number().over(Window.partitionBy("day").orderBy("s"))
-    parts = run.withColumn("g", F.col("s") - rank * step).groupBy("day", "g").agg(F.min("s").alias("a"), F.max("s").alias("b"), F.count("*").alias("n"))
-    order = Window.orderBy("a")  # one row a run
+    rank = F.row_number().over(Window.partitionBy(*by, "day").orderBy("s"))
+    parts = run.withColumn("g", F.col("s") - rank * step).groupBy(*by, "day", "g").agg(F.min("s").alias("a"), F.max("s").alias("b"), F.count("*").alias("n"))
+    order = Window.partitionBy(*by).orderBy("a")  # one row a run
     linked = parts.withColumn("new", F.coalesce((F.col("a") - F.lag("b").over(order) > step).cast("int"), F.lit(1))).withColumn("id", F.sum("new").over(order))
-    out = linked.groupBy("id").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"))
-    return out.filter((F.col("b") - F.col("a") + step) >= minutes * 60).select(F.timestamp_seconds("a").alias("from"), F.timestamp_seconds("b").alias("until"), "n")
+    out = linked.groupBy(*by, "id").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"))
+    return out.filter((F.col("b") - F.col("a") + step) >= minutes * 60).select(*by, F.timestamp_seconds("a").alias("from"), F.timestamp_seconds("b").alias("until"), "n")
 
 
 def method_summary(log: DataFrame, by: str = "path") -> DataFrame:

@@ -537,12 +537,12 @@ def _quantile_sql() -> str:
 
 @query("l04_latency_alerts", f"WITH {LOG}, {_SLIDE}, h AS (SELECT start, count(*) AS n, [{', '.join(f'count(*) FILTER (duration_ms / 1000 <= {e})' for e in lo.EDGES)}] AS le FROM w GROUP BY start), q AS (SELECT start, n, round({_quantile_sql()}, 6)::DOUBLE AS quantile FROM h) SELECT *, quantile > 2.0 AS alert FROM q")
 def _(s, d):
-    return lo.latency_alerts(request_log(s, d)).withColumn("start", F.unix_timestamp("start"))
+    return lo.latency_alerts(request_log(s, d)).drop("at").withColumn("start", F.unix_timestamp("start"))
 
 
 @query("l05_rate_alerts", f"WITH {LOG}, {_SLIDE}, h AS (SELECT start, count(*) AS n, count(*) FILTER (status >= 500 AND status <> 503) AS failed, count(*) FILTER (status = 503) AS busy FROM w GROUP BY start) SELECT *, failed / n > 0.02 AND n / 300 > 0.1 AS error_alert, busy / n > 0.05 AS busy_alert FROM h")
 def _(s, d):
-    return lo.rate_alerts(request_log(s, d)).withColumn("start", F.unix_timestamp("start"))
+    return lo.rate_alerts(request_log(s, d)).drop("at").withColumn("start", F.unix_timestamp("start"))
 
 
 @query("l06_lasting_alerts", f"WITH {LOG}, {_SLIDE}, h AS (SELECT start FROM w GROUP BY start HAVING count(*) FILTER (status = 503) / count(*) > 0.05), g AS (SELECT start, start - 60 * row_number() OVER (ORDER BY start) AS g FROM h) SELECT min(start) AS \"from\", max(start) AS until, count(*) AS n FROM g GROUP BY g HAVING max(start) - min(start) + 60 >= 600")
@@ -551,16 +551,35 @@ def _(s, d):
     return out.select(F.unix_timestamp("from").alias("from"), F.unix_timestamp("until").alias("until"), "n")
 
 
+_LASTING = """h AS (SELECT path, start FROM w GROUP BY path, start HAVING count(*) FILTER (status = 503) / count(*) > 0.05), g AS (SELECT path, start, start - 60 * row_number() OVER (PARTITION BY path ORDER BY start) AS g FROM h),
+la AS (SELECT path, min(start) AS "from", max(start) AS until, count(*) AS n FROM g GROUP BY path, g HAVING max(start) - min(start) + 60 >= 600)"""
+
+
+@query("l06_stream_lasting_alerts", f"WITH {LOG}, {_SLIDE}, {_LASTING} SELECT * FROM la WHERE until + 360 <= (SELECT epoch(max(ts)) - 600 FROM log)")
+def _(s, d):
+    """Stretches of busy windows of each route from a stream whose rows come up to seven minutes late."""
+    log = request_log(s, d)
+    files = _as_files(s, log, at=F.unix_timestamp("ts") + F.col("request_id").cast("long") % 7 * 60)
+    out = live.finish(live.lasting(live.read(s, files, log.schema)), store.workspace(s), store.workspace(s), conf=live.STATE_STORE)
+    return out.select("path", F.unix_timestamp("from").alias("from"), F.unix_timestamp("until").alias("until"), "n")
+
+
+@query("l06_lasting_by_route", f"WITH {LOG}, {_SLIDE}, {_LASTING} SELECT * FROM la")
+def _(s, d):
+    out = lo.lasting(lo.rate_alerts(request_log(s, d), by=("path",)), "busy_alert", by=("path",))
+    return out.select("path", F.unix_timestamp("from").alias("from"), F.unix_timestamp("until").alias("until"), "n")
+
+
 @query("l07_method_summary", f"""WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY duration_ms) AS r, count(*) OVER (PARTITION BY path) AS n FROM log)
 SELECT path, count(*) AS n, count(*) FILTER (status >= 500) AS failures, round(count(*) / greatest(floor(epoch(max(ts)))::BIGINT - floor(epoch(min(ts)))::BIGINT, 1), 6) AS rps, {', '.join(f'min(duration_ms) FILTER (r >= ceil({q} * n)) AS p{int(q * 100)}' for q in (0.5, 0.95, 0.99))} FROM r GROUP BY path""")
 def _(s, d):
     return lo.method_summary(request_log(s, d))
 
 
-def _as_files(s, df, parts: int = 4) -> str:
-    """Rows written in the order of time, one append after another: a stream reads files by their age."""
+def _as_files(s, df, parts: int = 4, at=None) -> str:
+    """Rows written in the order of arrival (of time, if not given), one append after another: a stream reads files by their age."""
     root = store.workspace(s)
-    at = F.unix_timestamp(F.col("ts" if "ts" in df.columns else "event_time").cast("timestamp"))
+    at = F.unix_timestamp(F.col("ts" if "ts" in df.columns else "event_time").cast("timestamp")) if at is None else at
     edges = df.select(at.alias("at")).approxQuantile("at", [i / parts for i in range(1, parts)], 0.01)
     for low, high in zip([None, *edges], [*edges, None]):
         part = df.filter(at > low) if low is not None else df
