@@ -1,34 +1,63 @@
-"""Inverted index as DataFrames: postings, terms, lengths and statistics for each language."""
+"""Inverted index as DataFrames: postings, terms, lengths and statistics for each language.
+
+Postings and terms lie in partitions by a hash of the term, sorted by term
+within, and a posting holds its document's length: a ranking reads only the
+partitions of its queries' terms and joins nothing else by document.
+
+``Segments`` keeps an index up to date: a refresh adds a segment with the
+postings of changed documents, the ids whose older rows it hides, and signed
+changes of counts; readers subtract what is hidden and sum the changes.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+import json
+import uuid
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..sources import store
+
+#: Partitions of terms; a saved index must be read with the number that it was built with.
+PARTS = 32
+_TABLES = ("postings", "terms", "lengths", "stats")
+
+
+def part_of(term: Column, parts: int = PARTS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
 @dataclass
 class Index:
-    """postings(lang, term, doc_id, tf), terms(lang, term, df), lengths(lang, doc_id, len), stats(lang, n_docs, avg_len)."""
+    """postings(part, lang, term, doc_id, tf, len), terms(part, lang, term, df), lengths(lang, doc_id, len), stats(lang, n_docs, avg_len)."""
 
     postings: DataFrame
     terms: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    parts: int = PARTS
+
+    def save(self, root: str) -> Index:
+        """Write the tables, postings and terms in their partitions and clustered by term, and read them back."""
+        for name in _TABLES:
+            _write(getattr(self, name), f"{root}/{name}")
+        return load(self.postings.sparkSession, root, self.parts)
+
 
-    def save(self, root: str, partitions: int | None = None) -> Index:
-        """Write the tables, postings clustered by term, and read them back."""
-        for f in fields(self):
-            df = getattr(self, f.name)
-            if f.name == "postings":
-                df = df.repartition(*([partitions] if partitions else []), "term").sortWithinPartitions("lang", "term")
-            df.write.parquet(f"{root}/{f.name}")
-        return load(self.postings.sparkSession, root)
+def _write(df: DataFrame, path: str) -> None:
+    """Rows with a part go to its folder; a part that holds a frequent term is split over tasks."""
+    if "part" in df.columns:
+        df.hint("rebalance", "part").sortWithinPartitions("part", "lang", "term").write.partitionBy("part").parquet(path)
+    else:
+        df.write.parquet(path)
 
 
-def load(spark: SparkSession, root: str) -> Index:
-    return Index(*[spark.read.parquet(f"{root}/{f.name}") for f in fields(Index)])
+def load(spark: SparkSession, root: str, parts: int = PARTS) -> Index:
+    return Index(*[spark.read.parquet(f"{root}/{name}") for name in _TABLES], parts)
 
 
 def tokenised(docs: DataFrame, words: Column, lang: Column) -> DataFrame:
@@ -36,13 +65,14 @@ def tokenised(docs: DataFrame, words: Column, lang: Column) -> DataFrame:
     return docs.select("doc_id", lang.alias("lang"), words.alias("tokens"))
 
 
-def build(tokens: DataFrame) -> Index:
+def build(tokens: DataFrame, parts: int = PARTS) -> Index:
     """From (doc_id, lang, tokens). Counting is partial before each shuffle."""
-    postings = tokens.select("lang", F.explode("tokens").alias("term"), "doc_id").groupBy("lang", "term", "doc_id").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("lang", "term").agg(F.count("*").alias("df"))
+    long = tokens.select("lang", F.explode("tokens").alias("term"), "doc_id", F.size("tokens").alias("len"))
+    postings = long.groupBy("lang", "term", "doc_id").agg(F.count("*").alias("tf"), F.max("len").alias("len")).withColumn("part", part_of(F.col("term"), parts))
+    terms = postings.groupBy("part", "lang", "term").agg(F.count("*").alias("df"))
     lengths = tokens.select("lang", "doc_id", F.size("tokens").alias("len"))
     stats = lengths.groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    return Index(postings, terms, lengths, stats)
+    return Index(postings, terms, lengths, stats, parts)
 
 
 def refuse_empty(tokens: DataFrame, most: int = 20) -> None:
@@ -65,17 +95,131 @@ def completeness(index: Index, docs: DataFrame, vectors: DataFrame) -> DataFrame
 
 
 def refresh(old: Index, changed: DataFrame, removed: DataFrame) -> Index:
-    """Index after some documents changed: (doc_id, lang, tokens) and removed ids.
-
-    Only postings of changed documents are made anew; document frequencies and
-    statistics take signed sums.
-    """
-    new = build(changed)
+    """An index after some documents changed, as a plan over the old one; ``Segments`` keeps what such changes write small."""
+    new = build(changed, old.parts)
     touched = changed.select("doc_id").union(removed.select("doc_id")).distinct()
     gone = old.postings.join(touched, "doc_id", "left_semi")
-    postings = old.postings.join(touched, "doc_id", "left_anti").unionByName(new.postings)
-    change = gone.select("lang", "term", F.lit(-1).alias("d")).unionByName(new.postings.select("lang", "term", F.lit(1).alias("d")))
-    terms = old.terms.select("lang", "term", F.col("df").alias("d")).unionByName(change).groupBy("lang", "term").agg(F.sum("d").alias("df")).filter("df > 0")
+    keys = ["part", "lang", "term"]
+    change = gone.select(*keys, F.lit(-1).alias("d")).unionByName(new.postings.select(*keys, F.lit(1).alias("d")))
+    terms = old.terms.select(*keys, F.col("df").alias("d")).unionByName(change).groupBy(*keys).agg(F.sum("d").alias("df")).filter("df > 0")
     lengths = old.lengths.join(touched, "doc_id", "left_anti").unionByName(new.lengths)
     stats = lengths.groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    return Index(postings, terms, lengths, stats)
+    return Index(old.postings.join(touched, "doc_id", "left_anti").unionByName(new.postings), terms, lengths, stats, old.parts)
+
+
+class Segments:
+    """An index in segments under a root folder: the base, then what each refresh changed.
+
+    A segment has postings and lengths of its documents, ``gone`` (doc_id), the
+    documents of earlier segments that it replaces or removes, signed changes
+    ``terms`` (df) and ``stats`` (n_docs, total) from the state before it, and
+    ``forward`` (the terms of each document, in partitions by document), from
+    which the next refresh learns what it takes away. The list of live segments
+    is committed by compare-and-set: of two refreshes at once, one is refused.
+    """
+
+    #: The changed rows' share of the base from which a merge makes a new base, and the most segments before the changes are merged.
+    SHARE, MOST = 0.25, 8
+
+    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS) -> None:
+        self.spark, self.root, self.parts = spark, root, parts
+
+    def live(self) -> list[dict]:
+        """The live segments (name, rows, schemas), the base first."""
+        done = store.versions(self.spark, self.root)
+        return json.loads(store.read_text(self.spark, f"{self.root}/log/{done[-1]}")) if done else []
+
+    def _commit(self, segments: list[dict], base: int) -> None:
+        if not store.create_if_absent(self.spark, f"{self.root}/log/{base + 1}", json.dumps(segments)):
+            raise store.Conflict(f"version {base + 1} of {self.root} exists")
+
+    def _version(self) -> int:
+        return max(store.versions(self.spark, self.root), default=0)
+
+    def _read(self, name: str, segments: list[dict]) -> list[DataFrame]:
+        schema = lambda s: StructType.fromJson(s["schemas"][name])
+        return [self.spark.read.schema(schema(s)).parquet(f"{self.root}/{s['name']}/{name}") for s in segments]
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int")
+
+    def _add(self, tables: dict[str, DataFrame]) -> dict:
+        name = uuid.uuid4().hex
+        tables["forward"] = tables["forward"].withColumn("bucket", self._bucket())
+        for table, df in tables.items():
+            if table == "forward":
+                df.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}/{table}")
+            else:
+                _write(df, f"{self.root}/{name}/{table}")
+        made = {"name": name, "schemas": {table: df.schema.jsonValue() for table, df in tables.items()}}  # an empty table has no file to tell
+        return made | {"rows": self._read("postings", [made])[0].count()}
+
+    def _tables(self, tokens: DataFrame) -> dict[str, DataFrame]:
+        made = build(tokens, self.parts)
+        stats = made.lengths.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("len").alias("total"))
+        forward = tokens.select("doc_id", "lang", F.array_distinct("tokens").alias("terms"), F.size("tokens").alias("len"))
+        return {"postings": made.postings, "terms": made.terms, "lengths": made.lengths, "stats": stats, "forward": forward}
+
+    def create(self, tokens: DataFrame) -> None:
+        """The base segment of (doc_id, lang, tokens)."""
+        base = self._version()
+        none = tokens.select("doc_id").limit(0)
+        self._commit([self._add(self._tables(tokens) | {"gone": none})], base)
+
+    def refresh(self, changed: DataFrame, removed: DataFrame) -> None:
+        """Replace or add documents (doc_id, lang, tokens) and remove ids; writes rows of these documents only."""
+        base, segments = self._version(), self.live()
+        touched = changed.select("doc_id").union(removed.select("doc_id")).distinct()
+        buckets = [b for (b,) in touched.select(self._bucket().alias("b")).distinct().collect()]  # at most ``parts`` numbers
+        old = [df.filter(F.col("bucket").isin(buckets)) for df in self._read("forward", segments)]
+        gone = self._shown(old, segments).join(touched, "doc_id", "left_semi")
+        new = self._tables(changed)
+        less = gone.select("lang", F.explode("terms").alias("term")).groupBy("lang", "term").agg((-F.count("*")).alias("df")).withColumn("part", part_of(F.col("term"), self.parts))
+        terms = new["terms"].unionByName(less.select("part", "lang", "term", "df"))
+        fewer = gone.groupBy("lang").agg((-F.count("*")).alias("n_docs"), (-F.sum("len")).alias("total"))
+        sums = lambda df, keys, *cs: df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cs])
+        new |= {"terms": sums(terms, ("part", "lang", "term"), "df").filter("df <> 0"), "stats": sums(new["stats"].unionByName(fewer), ("lang",), "n_docs", "total"), "gone": touched}
+        self._commit([*segments, self._add(new)], base)
+
+    def _hidden(self, segments: list[dict]) -> list[DataFrame | None]:
+        """For each segment the documents that later ones replace."""
+        gone = self._read("gone", segments)
+        return [reduce(DataFrame.union, gone[i + 1 :]).distinct() if gone[i + 1 :] else None for i in range(len(gone))]
+
+    def _shown(self, parts: list[DataFrame], segments: list[dict]) -> DataFrame:
+        """The union of a table over segments without hidden rows."""
+        return reduce(DataFrame.unionByName, [df if hidden is None else df.join(hidden, "doc_id", "left_anti") for df, hidden in zip(parts, self._hidden(segments))])
+
+    def _summed(self, segments: list[dict]) -> tuple[DataFrame, DataFrame]:
+        terms = reduce(DataFrame.unionByName, self._read("terms", segments)).groupBy("part", "lang", "term").agg(F.sum("df").alias("df"))
+        stats = reduce(DataFrame.unionByName, self._read("stats", segments)).groupBy("lang").agg(F.sum("n_docs").alias("n_docs"), F.sum("total").alias("total"))
+        return terms, stats
+
+    def index(self) -> Index:
+        """The index of all live segments, without hidden rows, counts summed."""
+        segments = self.live()
+        terms, stats = self._summed(segments)
+        shown = lambda name: self._shown(self._read(name, segments), segments)
+        return Index(shown("postings"), terms.filter("df > 0"), shown("lengths"), stats.filter("n_docs > 0").select("lang", "n_docs", (F.col("total") / F.col("n_docs")).alias("avg_len")), self.parts)
+
+    def merge(self) -> bool:
+        """Merge by the size rule; whether anything was.
+
+        Changes from SHARE of the base on make a new base of all segments; else
+        changes in more than MOST segments make one.
+        """
+        base, segments = self._version(), self.live()
+        changes = sum(s["rows"] for s in segments[1:])
+        if len(segments) > 1 and changes >= self.SHARE * segments[0]["rows"]:
+            some, kept = segments, []
+        elif len(segments) > self.MOST:
+            some, kept = segments[1:], segments[:1]
+        else:
+            return False
+        terms, stats = self._summed(some)
+        tables = {name: self._shown(self._read(name, some), some) for name in ("postings", "lengths")}
+        tables["forward"] = self._shown(self._read("forward", some), some).drop("bucket")
+        gone = reduce(DataFrame.union, self._read("gone", some)).distinct()
+        tables |= {"terms": terms.filter("df <> 0"), "stats": stats, "gone": gone if kept else gone.limit(0)}
+        self._commit([*kept, self._add(tables)], base)
+        return True

@@ -8,12 +8,11 @@ come from the whole index; only matches are restricted.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .index import Index
+from ..sources.store import stored
+from .index import Index, part_of
 
 K1, B = 1.2, 0.75
 HYBRID = 0.8
@@ -26,16 +25,22 @@ def query_terms(queries: DataFrame, words: Column) -> DataFrame:
     return queries.select("query_id", "lang", F.explode(words).alias("term")).groupBy("query_id", "lang", "term").agg(F.count("*").cast("double").alias("weight"))
 
 
+def _of_parts(table: DataFrame, terms: DataFrame) -> DataFrame:
+    """A table's rows in the partitions of some terms: the list of parts, a number each, prunes the scan while it runs."""
+    parts = terms.select("part").filter("part >= 0").distinct()
+    return table.join(F.broadcast(parts), "part", "left_semi")
+
+
 def known_terms(terms: DataFrame, index: Index) -> DataFrame:
     """Query terms that the index has, with their df and the language's statistics."""
-    return terms.join(index.terms, ["lang", "term"]).join(F.broadcast(index.stats), "lang")
+    terms = terms.withColumn("part", part_of(F.col("term"), index.parts))
+    return terms.join(_of_parts(index.terms, terms), ["part", "lang", "term"]).join(F.broadcast(index.stats), "lang")
 
 
-def _matches(terms: DataFrame, index: Index, allowed: DataFrame | None, lengths: bool = True) -> DataFrame:
-    found = index.postings.join(known_terms(terms, index), ["lang", "term"])
-    if allowed is not None:
-        found = found.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-    return found.join(index.lengths, ["lang", "doc_id"], "left") if lengths else found
+def _matches(terms: DataFrame, index: Index, allowed: DataFrame | None) -> DataFrame:
+    own = terms.withColumn("part", part_of(F.col("term"), index.parts))
+    found = _of_parts(index.postings, own).join(known_terms(terms, index), ["part", "lang", "term"])
+    return found if allowed is None else found.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def _idf() -> Column:
@@ -52,12 +57,12 @@ def _tfidf() -> Column:
 
 
 def term_overlap(terms: DataFrame, index: Index, allowed: DataFrame | None = None) -> DataFrame:
-    found = _matches(terms, index, allowed, lengths=False)
+    found = _matches(terms, index, allowed)
     return found.groupBy("query_id", "doc_id").agg(F.count("term").cast("double").alias("score"))
 
 
 def tfidf(terms: DataFrame, index: Index, allowed: DataFrame | None = None) -> DataFrame:
-    found = _matches(terms, index, allowed, lengths=False)
+    found = _matches(terms, index, allowed)
     return found.groupBy("query_id", "doc_id").agg(F.sum(_tfidf()).alias("score"))
 
 
@@ -105,22 +110,23 @@ def expansion(terms: DataFrame, first: DataFrame, tokens: DataFrame, index: Inde
 
 
 def with_feedback(terms: DataFrame, index: Index, tokens: DataFrame, allowed: DataFrame | None = None, first=bm25) -> DataFrame:
-    """BM25 again with expanded queries; the feedback comes from the whole corpus."""
+    """BM25 again with expanded queries; the feedback comes from the whole corpus.
+
+    The expanded queries are stored: the second pass reads them for its terms and for its list of parts.
+    """
     feedback = top(first(terms, index), FEEDBACK_DOCS)
-    return bm25(expansion(terms, feedback, tokens, index), index, allowed)
+    return bm25(stored(expansion(terms, feedback, tokens, index)), index, allowed)
 
 
 def best_match(terms: DataFrame, index: Index, first: str = "en") -> DataFrame:
     """The best document of each query: of the first language that has one, ``first`` and then by name.
 
-    Each language is ranked by itself, as scores of different languages don't compare.
+    All languages are ranked at once, each pair of query and language by
+    itself, as scores of different languages don't compare.
     """
-    langs = [lang for (lang,) in index.stats.select("lang").collect()]  # a few
-    found = [top(bm25(terms.filter(F.col("lang") == lang), index), 1).withColumn("turn", F.lit(i)) for i, lang in enumerate(sorted(langs, key=lambda x: (x != first, x)))]
-    if not found:
-        return top(bm25(terms, index), 1).select("query_id", "doc_id", "score")
-    order = Window.partitionBy("query_id").orderBy("turn")
-    return reduce(DataFrame.unionByName, found).withColumn("n", F.row_number().over(order)).filter("n = 1").select("query_id", "doc_id", "score")
+    found = _matches(terms, index, None).filter("len is not null").groupBy("query_id", "lang", "doc_id").agg(F.sum(_bm25()).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.col("lang") != first, "lang", F.desc(F.round("score", 9)), "doc_id")
+    return found.withColumn("n", F.row_number().over(order)).filter("n = 1").select("query_id", "doc_id", "score")
 
 
 def fused(lexical: DataFrame, dense: DataFrame, k: int = RRF) -> DataFrame:

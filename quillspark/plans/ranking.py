@@ -49,18 +49,37 @@ def _(s, d):
     return ix.completeness(index(s, d)[0], table(s, d, "documents"), table(s, d, "embeddings"))
 
 
-@query("i07_incremental_refresh", f"""WITH {INDEX},
-p2 AS (SELECT term, doc_id, tf FROM postings WHERE doc_id % 10 <> 3 AND doc_id % 10 <> 4
-  UNION ALL SELECT term, doc_id, 2 * tf FROM postings WHERE doc_id % 10 = 3)
-SELECT 'en' AS lang, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p2 GROUP BY term""")
+_REFRESHED = """p2 AS (SELECT term, doc_id, tf FROM postings WHERE doc_id % 10 NOT IN (3, 4, 6)
+  UNION ALL SELECT term, doc_id, 2 * tf FROM postings WHERE doc_id % 10 = 3 AND doc_id % 3 = 0 UNION ALL SELECT term, doc_id, tf FROM postings WHERE doc_id % 10 = 4 AND doc_id % 20 = 4 OR doc_id % 10 = 6 AND doc_id % 4 = 0)"""
+
+
+def refreshed(s, d) -> ix.Index:
+    """An index after three refreshes: doubled texts, some of them removed later; removed documents, some of which come back."""
+    own = index(s, d)[1]
+    live = ix.Segments(s, workspace(s))
+    live.create(own)
+    twice = own.filter("doc_id % 10 = 3").withColumn("tokens", F.concat("tokens", "tokens"))
+    live.refresh(twice, own.filter("doc_id % 10 = 4").select("doc_id"))
+    live.refresh(own.filter("doc_id % 20 = 4"), own.filter("doc_id % 10 = 3 and doc_id % 3 <> 0").select("doc_id"))
+    live.refresh(own.filter("doc_id % 10 = 6 and doc_id % 4 = 0"), own.filter("doc_id % 10 = 6 and doc_id % 4 <> 0").select("doc_id"))
+    return live.index()
+
+
+@query("i07_incremental_refresh", f"WITH {INDEX}, {_REFRESHED} SELECT 'en' AS lang, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p2 GROUP BY term")
 def _(s, d):
-    whole, own = index(s, d)
-    changed = own.filter("doc_id % 10 = 3").withColumn("tokens", F.concat("tokens", "tokens"))
-    new = ix.refresh(whole, changed, own.filter("doc_id % 10 = 4").select("doc_id"))
+    new = refreshed(s, d)
     cf = new.postings.groupBy("lang", "term").agg(F.sum("tf").alias("cf"))
     return new.terms.join(cf, ["lang", "term"]).select("lang", "term", "df", "cf")
 
 
+@query("i07_ranked_after_refresh", f"""WITH {INDEX}, {_REFRESHED}, t2 AS (SELECT term, count(*) AS df FROM p2 GROUP BY term),
+l2 AS (SELECT doc_id, len * CASE WHEN doc_id % 10 = 3 THEN 2 ELSE 1 END AS len FROM lengths WHERE doc_id % 10 NOT IN (3, 4, 6) OR doc_id % 10 = 3 AND doc_id % 3 = 0 OR doc_id % 20 = 4 OR doc_id % 10 = 6 AND doc_id % 4 = 0),
+b2 AS (SELECT query_id, doc_id, {BM25} AS score FROM p2 JOIN qt USING (term) JOIN t2 USING (term) JOIN l2 USING (doc_id) CROSS JOIN (SELECT count(*) AS n_docs, avg(len) AS avg_len FROM l2) GROUP BY ALL)
+SELECT {OUT} FROM {top_sql('b2', 15)}""")
+def _(s, d):
+    return ranked(rk.bm25(benchmark_terms(s, d), refreshed(s, d)))
+
+
 @query("r00_query_terms", f"WITH {INDEX} SELECT query_id, 'en' AS lang, term, weight FROM qt")
 def _(s, d):
     return benchmark_terms(s, d).select("query_id", "lang", "term", "weight")

@@ -23,6 +23,13 @@ def workspace(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table that several parts of a plan read, and read it back: it is made once, and a lost executor costs a re-read."""
+    path = workspace(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _at(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

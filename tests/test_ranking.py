@@ -111,3 +111,97 @@ def test_hints_only_without_results(spark):
     found = spark.createDataFrame([(2,)], "query_id long")
     assert [tuple(r) for r in vo.did_you_mean(queries, terms, found=found).collect()] == [(1, "prayer")]
     assert {tuple(r) for r in vo.did_you_mean(queries, terms).collect()} == {(1, "prayer"), (2, "fasting prayer")}
+
+
+def corpus(spark, n=300, seed=0):
+    import random
+
+    r = random.Random(seed)
+    rows = [(i, "en", [f"w{int(r.expovariate(0.02))}" for _ in range(r.randint(3, 40))]) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, lang string, tokens array<string>")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_pruned_by_the_queries_terms(spark):
+    from quillspark.sources.store import workspace
+
+    saved = ix.build(corpus(spark)).save(workspace(spark))
+    asked = terms(spark, "w1 w2")
+    scores = rk.bm25(asked, saved)
+    text = plan(scores)
+    assert "dynamicpruning" in text.lower() and "lengths" not in text and "/lengths" not in text
+    assert got(scores) == got(rk.bm25(asked, ix.build(corpus(spark))))
+    scores.collect()
+    read, whole = rows_read(scores), saved.postings.count()
+    parts = {r[0] for r in asked.select(ix.part_of(F.col("term"))).collect()}
+    assert read["postings"] == saved.postings.filter(F.col("part").isin(parts)).count() < whole / 4
+    assert read["terms"] < saved.terms.count() / 4
+
+
+def rows_read(df):
+    """Rows that the scans of a table's folder gave, by the folder's name."""
+    out, todo = {}, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+            continue
+        if node.nodeName().startswith("Scan parquet"):
+            name = node.relation().location().rootPaths().head().getName()
+            out[name] = out.get(name, 0) + node.metrics().apply("numOutputRows").value()
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return out
+
+
+def tables(index):
+    rows = lambda df, *cs: sorted(tuple(r) for r in df.select(*cs).collect())
+    return [rows(index.postings, "lang", "term", "doc_id", "tf", "len"), rows(index.terms, "lang", "term", "df"), rows(index.lengths, "lang", "doc_id", "len"), [(x, n, round(a, 9)) for x, n, a in rows(index.stats, "lang", "n_docs", "avg_len")]]
+
+
+def test_refreshes_equal_a_full_build(spark):
+    from quillspark.sources.store import workspace
+
+    live = ix.Segments(spark, workspace(spark), parts=4)
+    docs = {r["doc_id"]: tuple(r) for r in corpus(spark, 60).collect()}
+    schema = corpus(spark, 1).schema
+    live.create(spark.createDataFrame(list(docs.values()), schema))
+    steps = [({1: ["a", "b", "a"], 500: ["new"]}, [2, 3]), ({2: ["back"], 1: ["a"]}, [500]), ({}, [1]), ({900: ["w1", "zz"]}, [12345])]
+    for changed, removed in steps:
+        before = live.live()
+        new = {i: (i, "en", t) for i, t in changed.items()}
+        docs = {k: v for k, v in docs.items() if k not in removed} | new
+        live.refresh(spark.createDataFrame(list(new.values()), schema), spark.createDataFrame([(i,) for i in removed], "doc_id long"))
+        after = live.live()
+        assert after[:-1] == before and after[-1]["rows"] == sum(len(set(t)) for t in changed.values())  # only the changed documents' rows
+        assert tables(live.index()) == tables(ix.build(spark.createDataFrame(list(docs.values()), schema)))
+    full = tables(live.index())
+    live.SHARE, live.MOST = 1e9, 2
+    assert live.merge() and len(live.live()) == 2 and tables(live.index()) == full
+    assert not live.merge()
+    live.SHARE = 0
+    assert live.merge() and len(live.live()) == 1 and tables(live.index()) == full
+
+
+def test_two_refreshes_at_once_do_not_lose_one(spark):
+    from quillspark.sources import store
+
+    live = ix.Segments(spark, store.workspace(spark), parts=2)
+    live.create(corpus(spark, 5))
+    old, base = live.live(), live._version()
+    live.refresh(corpus(spark, 1), corpus(spark, 0).select("doc_id"))
+    with pytest.raises(store.Conflict):
+        live._commit(old, base)
+
+
+def test_best_match_goes_by_language(spark):
+    rows = [(1, "ar", ["x", "y"]), (2, "ar", ["x"]), (3, "en", ["x", "z"]), (4, "fr", ["q", "x"]), (5, "fr", ["q"])] + [(i, x, ["f"]) for i in range(10, 20) for x in ("ar", "en", "fr")]
+    index = ix.build(spark.createDataFrame(rows, "doc_id long, lang string, tokens array<string>"))
+    asked = spark.createDataFrame([(q, x, t, 1.0) for q, t in (("a", "x"), ("b", "y"), ("c", "q"), ("d", "none")) for x in ("ar", "en", "fr")], "query_id string, lang string, term string, weight double")
+    assert {r["query_id"]: r["doc_id"] for r in rk.best_match(asked, index).collect()} == {"a": 3, "b": 1, "c": 5}
