@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,28 +24,82 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_scores(queries: DataFrame, vectors: DataFrame, allowed: DataFrame | None = None, block: int = 20_000) -> DataFrame:
-    """(query_id, doc_id, score) of every query and vector; both need ``vector`` of length 1.
+#: Rows of vectors and of queries in one product: 8 MB of scores at most.
+ROWS, QUERIES = 4096, 256
+#: Blocks of queries that are broadcast: at most 256 KB each at 128 components.
+BROADCAST_BLOCKS = 32
 
-    Up to ``block`` queries are broadcast (512 bytes a query). More are dealt
-    into blocks of about that number, and the vectors too; each pair of blocks
-    is joined by its own key. Null vectors take no part. Only the k best of each task travel once
-    ``ranking.top`` is applied.
+
+def _flat(vectors: pa.Array) -> np.ndarray:
+    """Lists of equal length as a matrix."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _packed(vectors: DataFrame) -> DataFrame:
+    """(ids, cells): up to ROWS vectors of a partition in one row; nothing moves."""
+    kind = dict(vectors.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                some = batch.slice(at, ROWS)
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([one(some.column(0)), one(some.column(1).flatten())], names=["ids", "cells"])
+
+    return vectors.select("doc_id", "vector").mapInArrow(run, f"ids array<{kind}>, cells array<double>")
+
+
+def cosine_scores(queries: DataFrame, vectors: DataFrame, allowed: DataFrame | None = None, block: int = QUERIES, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of every query and vector, or of what may be among a query's k best; both need ``vector`` of length 1.
+
+    Vectors are packed into matrices where they lie, queries into blocks by a
+    hash of their id. Each pair of blocks is one matrix product, of which only
+    the k best of each query leave it. A few blocks of queries are broadcast;
+    more are joined by their number, to which the packed vectors are copied.
+    Null vectors take no part.
     """
     if allowed is not None:
         vectors = vectors.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-    q = queries.select("query_id", F.col("vector").alias("q")).filter("q is not null")
-    vectors = vectors.filter("vector is not null")
-    blocks = -(-q.count() // block)
-    if blocks <= 1:
-        both = vectors.join(F.broadcast(q))
-    else:
-        down = max(1, -(-vectors.count() // block))
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-        dealt = q.withColumn("a", F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("bigint"))).withColumn("b", every(down))
-        rows = vectors.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(down).cast("bigint"))).withColumn("a", every(blocks))
-        both = rows.join(dealt.hint("merge"), ["a", "b"])
-    return both.select("query_id", "doc_id", dot(F.col("vector"), F.col("q")).alias("score"))
+    q = queries.select("query_id", "vector").filter("vector is not null")
+    blocks = max(1, -(-q.count() // block))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    asked = q.groupBy(number.alias("b")).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = _packed(vectors.filter("vector is not null")).withColumn("b", every)
+    pairs = rows.join(F.broadcast(asked) if blocks <= BROADCAST_BLOCKS and block <= QUERIES else asked, "b").select("ids", "cells", "asked")
+    kinds = dict(q.dtypes)["query_id"], dict(vectors.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                ids, cells, asked = (batch.column(c).slice(i, 1).flatten() for c in range(3))
+                names, wanted = asked.field(0), _flat(asked.field(1))
+                scores = wanted @ cells.to_numpy(zero_copy_only=False).reshape(len(ids), -1).T
+                query, row = _best(np.round(scores, 9), ids, k or len(ids))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids.take(pa.array(row)), pa.array(scores[query, row])], names=["query_id", "doc_id", "score"])
+
+    return pairs.mapInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of the k best vectors of each query, by score at 9 digits, then by id."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    return cosine_scores(queries, vectors, allowed, k=k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
+
+
+def _best(scores: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the cells that may be among a query's k best: all above its k-th score, and of its ties the smallest ids."""
+    if scores.shape[1] <= k:
+        return np.divmod(np.arange(scores.size), scores.shape[1])
+    edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k, None]
+    query, row = np.nonzero(scores >= edge)
+    if len(query) > k * len(scores):  # ties at the edge
+        place = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable").argsort()
+        order = np.lexsort((place[row], -scores[query, row], query))
+        query, row = query[order], row[order]
+        start = np.searchsorted(query, query)
+        query, row = query[np.arange(len(query)) - start < k], row[np.arange(len(row)) - start < k]
+    return query, row
 
 
 def rescored(candidates: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators import dense as de
 from ..operators import index as ix
 from ..operators import ranking as rk
 from ..operators import vocab as vo
-from ..sources.store import workspace
+from ..sources.store import stored, workspace
 from .base import BM25, INDEX, LETTERS, MATCH, SCORES, benchmark_terms, index, prf_sql, query, ranked, table, tokens, top_sql
 
 OUT = "query_id, doc_id, rank, round(score, 6) AS score"
@@ -174,13 +174,13 @@ _C = "c AS MATERIALIZED (SELECT q.doc_id AS query_id, u.doc_id, list_dot_product
 
 @query("d01_cosine", f"WITH {_U}, {_C} SELECT {OUT} FROM {top_sql('c', 20)}")
 def _(s, d):
-    return ranked(de.cosine_scores(_vector_queries(s, d), _vectors(s, d)), 20)
+    return ranked(de.nearest(_vector_queries(s, d), _vectors(s, d), 20), 20)
 
 
 @query("d02_cosine_restricted", f"WITH {_U}, {_C} SELECT {OUT} FROM {top_sql('(SELECT c.* FROM c JOIN embeddings e ON e.vec_id = c.doc_id WHERE e.label < 3)', 20)}")
 def _(s, d):
     allowed = table(s, d, "embeddings").filter("label < 3").select(F.col("vec_id").alias("doc_id"))
-    return ranked(de.cosine_scores(_vector_queries(s, d), _vectors(s, d), allowed), 20)
+    return ranked(de.nearest(_vector_queries(s, d), _vectors(s, d), 20, allowed), 20)
 
 
 @query("d03_language_gate", "SELECT lang, count(*) AS n, CASE WHEN lang NOT IN ('fr', 'de') THEN 'language not covered' END AS reason FROM documents GROUP BY lang")
@@ -233,7 +233,7 @@ SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, CAST(row
 @query("d08_semantic_rrf", f"WITH {INDEX}, {SCORES}, {_U}, {_V}, c AS MATERIALIZED (SELECT vq.query_id, u.doc_id, list_dot_product(u.v, vq.v) AS score FROM u, vq), l AS (SELECT query_id, doc_id, rank, 0 AS list FROM {top_sql('b', 500)} UNION ALL SELECT query_id, doc_id, rank, 1 FROM {top_sql('c', 500)}), {_RRF}")
 def _(s, d):
     lexical = rk.top(rk.bm25(benchmark_terms(s, d), index(s, d)[0]), 500)
-    dense = rk.top(de.cosine_scores(_item_vectors(s, d), _vectors(s, d)), 500)
+    dense = rk.top(de.nearest(_item_vectors(s, d), _vectors(s, d), 500), 500)
     return rk.fused(lexical, dense).filter("rank <= 50").withColumn("score", F.round("score", 6))
 
 
@@ -289,7 +289,7 @@ def deep_run(s, d):
     key = (s.sparkContext.applicationId, d)
     if key not in _deep:
         terms, (whole, own), queries, vectors = benchmark_terms(s, d), index(s, d), _item_vectors(s, d), _vectors(s, d)
-        best, cosine = rk.bm25(terms, whole), de.cosine_scores(queries, vectors)
+        best, cosine = stored(rk.bm25(terms, whole)), stored(de.nearest(queries, vectors, 500))
         scores = {
             "bm25": best, "bm25_prf": rk.with_feedback(terms, whole, own), "cosine": cosine, "hybrid": rk.hybrid(terms, whole), "hybrid_prf": rk.with_feedback(terms, whole, own, first=rk.hybrid),
             "overlap": rk.term_overlap(terms, whole), "rerank": de.rescored(rk.top(best, 50), queries, vectors), "tfidf": rk.tfidf(terms, whole),

@@ -205,3 +205,26 @@ def test_best_match_goes_by_language(spark):
     index = ix.build(spark.createDataFrame(rows, "doc_id long, lang string, tokens array<string>"))
     asked = spark.createDataFrame([(q, x, t, 1.0) for q, t in (("a", "x"), ("b", "y"), ("c", "q"), ("d", "none")) for x in ("ar", "en", "fr")], "query_id string, lang string, term string, weight double")
     assert {r["query_id"]: r["doc_id"] for r in rk.best_match(asked, index).collect()} == {"a": 3, "b": 1, "c": 5}
+
+
+def test_nearest_equals_numpy(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    v = r.integers(-2, 3, (700, 6)).astype(float)  # many ties
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(9999, None)]
+    q = spark.createDataFrame([(f"q{i}", x.tolist()) for i, x in enumerate(v[:40])] + [("none", None)], "query_id string, vector array<double>")
+    d = spark.createDataFrame(rows, "doc_id long, vector array<double>").repartition(5)
+    for block in (7, 256):
+        out = de.cosine_scores(q, d, block=block, k=9)
+        assert "NestedLoop" not in plan(out) and "Cartesian" not in plan(out)
+        top = {}
+        for row in rk.top(out, 9).collect():
+            top.setdefault(row["query_id"], []).append(row["doc_id"])
+        scores = np.round(v[:40] @ v.T, 9)
+        assert top == {f"q{i}": sorted(range(700), key=lambda j: (-scores[i, j], j))[:9] for i in range(40)}
+    assert len(rk.top(de.nearest(q, d, 3)).collect()) == 120
+    assert de.nearest(q.limit(0), d, 3).count() == de.nearest(q, d.limit(0), 3).count() == 0
+    allowed = spark.createDataFrame([(i,) for i in range(0, 700, 100)], "doc_id long")
+    assert {r["doc_id"] for r in de.nearest(q, d, 3, allowed).collect()} <= set(range(0, 700, 100))
