@@ -1,7 +1,10 @@
-"""Vocabulary matching by trigram similarity, through an equi-join on the rarest trigrams."""
+"""Vocabulary matching by trigram similarity, through an equi-join on the rarest trigrams of compatible sets."""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,29 +14,53 @@ SUGGEST, HINT = 0.3, 0.4
 MOST = 10
 
 
+def _prefixes(table: DataFrame, name: str, often: DataFrame, threshold: float) -> DataFrame:
+    """(name, h, rest, n, grams, sig_a, sig_b): the rarest trigrams of each set, with the set in the order of rarity.
+
+    rest: how many trigrams stand behind this one; sig_a, sig_b: the set's bits
+    in two 64-bit maps, one bit a trigram.
+    """
+    each = table.select(name).distinct().withColumn("g", trigrams(F.col(name))).select(name, F.size("g").alias("n"), F.explode("g").alias("gram")).join(often, "gram", "left").withColumn("h", F.xxhash64("gram"))
+    order = Window.partitionBy(name).orderBy(F.coalesce("often", F.lit(0)), "gram")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bit = lambda shift: F.expr(f"shiftleft(1L, cast(pmod(shiftright(h, {shift}), 64) AS int))")
+    sets = each.withColumns({
+        "rest": F.col("n") - F.row_number().over(order), "grams": F.collect_list("h").over(whole), "sig_a": F.bit_or(bit(0)).over(whole), "sig_b": F.bit_or(bit(20)).over(whole),
+    })
+    return sets.filter(F.col("rest") >= F.ceil(F.lit(threshold) * F.col("n") - 1e-9) - 1).drop("gram", "often")
+
+
 def near(words: DataFrame, vocabulary: DataFrame, threshold: float) -> DataFrame:
     """(word, term, sim) of all pairs whose similarity reaches the threshold (over 0).
 
     words: (word); vocabulary: (term). A set of n trigrams shares one of its
     n - ceil(threshold n) + 1 rarest with every set that is so similar, if both
-    stand in one order; so pairs meet on these only, which leaves out the
-    frequent trigrams. Where a pair meets first, what is left of both sets must
-    be enough for the threshold; such pairs are then compared whole.
+    stand in one order; so pairs meet on these only, and only with sizes within
+    the threshold of each other: terms stand by size, words go to each size that
+    can be near with the part of their prefix that this size needs, so a
+    frequent trigram is dealt over tasks by size. Within the join, what stands
+    behind the trigram in both sets and the bits that one set has and the other
+    lacks bound the overlap; pairs that cannot reach what their sizes need end
+    there. The rest are compared whole, each at the first trigram that it shares.
     """
-    w = words.select("word").distinct().withColumn("g", trigrams(F.col("word")))
-    v = vocabulary.select("term").distinct().withColumn("g", trigrams(F.col("term")))
-    often = v.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
-
-    def rarest(d: DataFrame, name: str, own: str) -> DataFrame:
-        each = d.select(name, F.transform("g", lambda g: F.xxhash64(g)).alias(own), F.explode("g").alias("gram")).join(often, "gram", "left")
-        order = Window.partitionBy(name).orderBy(F.coalesce("often", F.lit(0)), "gram")
-        n = F.size(own)
-        ranked = each.withColumns({f"n_{own}": n, f"rest_{own}": n - F.row_number().over(order)})
-        return ranked.filter(F.col(f"rest_{own}") >= F.ceil(F.lit(threshold) * n - 1e-9) - 1).select(name, "gram", own, f"n_{own}", f"rest_{own}")
-
-    met = rarest(w, "word", "a").join(rarest(v, "term", "b"), "gram")
-    enough = (1 + F.least("rest_a", "rest_b")) * F.lit(1 + threshold) >= F.lit(threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9
-    return met.filter(enough).select("word", "term", similarity(F.col("a"), F.col("b")).alias("sim")).filter(F.col("sim") >= threshold).distinct()
+    spark = words.sparkSession
+    grams = vocabulary.select("term").distinct().select(F.explode(trigrams(F.col("term"))).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    a, b = _prefixes(words, "word", often, threshold), _prefixes(vocabulary, "term", often, threshold)
+    needed = lambda x, y: F.ceil(F.lit(threshold / (1 + threshold)) * (x + y) - 1e-9)
+    sizes = F.sequence(F.ceil(F.lit(threshold) * F.col("n") - 1e-9), F.floor(F.col("n") / F.lit(threshold) + 1e-9))
+    a = a.withColumn("size", F.explode(sizes)).filter(F.col("rest") >= needed(F.col("n"), F.col("size")) - 1)
+    b = b.withColumn("size", F.col("n").cast("long"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    side = lambda df, mark: df.repartition(tasks, "h", "size").select("h", "size", *[F.col(c).alias(f"{mark}_{c}") for c in ("rest", "n", "grams", "sig_a", "sig_b")], df.columns[0])
+    met = side(a, "a").join(side(b, "b"), ["h", "size"])
+    need = needed(F.col("a_n"), F.col("b_n"))
+    lacking = lambda x, y, sig: F.bit_count(F.col(f"{x}_{sig}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{sig}"))))
+    bounds = [1 + F.least("a_rest", "b_rest"), *[F.col(f"{x}_n") - lacking(x, y, sig) for x, y in ("ab", "ba") for sig in ("sig_a", "sig_b")]]
+    both = met.filter(reduce(Column.__and__, [bound >= need for bound in bounds])).withColumn("shared", F.array_intersect("a_grams", "b_grams"))
+    shared = F.size("shared")
+    sim = (shared / (F.col("a_n") + F.col("b_n") - shared)).alias("sim")
+    return both.filter(F.get("shared", 0) == F.col("h")).select("word", "term", sim).filter(F.col("sim") >= threshold)
 
 
 def _with_similarity(pairs: DataFrame, name: str) -> DataFrame:
