@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+from .corpus import renumbered
+
 
 def pool(run: DataFrame, depth: int = 50) -> DataFrame:
     """(query_id, doc_id) that any system ranks up to a depth."""
@@ -29,19 +33,43 @@ def missing_runs(run: DataFrame, systems: DataFrame, queries: DataFrame) -> Data
     return expected.join(run.select("system", "query_id").distinct(), ["system", "query_id"], "left_anti")
 
 
-def dealt(annotators: DataFrame, queries: DataFrame, each: int = 2, most: int = 3) -> DataFrame:
-    """(annotator_id, query_id) from an empty start: ``each`` queries in the order of sign-up, fewest seats first.
+def dealt(annotators: DataFrame, queries: DataFrame, each: int = 2, most: int = 3, taken: DataFrame | None = None) -> DataFrame:
+    """(annotator_id, query_id): ``each`` queries in the order of sign-up, fewest seats first, then by id, on top of ``taken`` (query_id, seats).
 
-    Seats are dealt by (level, query); this equals the sequential rule for an
-    empty start and at least ``each`` queries. Sign-ups are small tables.
+    The queries of the lowest level are dealt in the order of their ids and rise
+    by one; what is left of a level, fewer than ``each``, goes to one annotator
+    together with the first queries above. So a level is one numbering of its
+    queries, and only the few queries of such an annotator are looked up one by
+    one. Levels are at most ``most``; a query with that many seats gets no more.
     """
-    n = queries.count()
-    if n < each:
-        raise ValueError(f"at least {each} queries are needed")
-    q = queries.select("query_id", F.row_number().over(Window.orderBy("query_id")).alias("q"))
-    slots = q.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("slot", F.col("level") * n + F.col("q") - 1)
-    seats = annotators.select("annotator_id", (F.row_number().over(Window.orderBy("signed_up", "annotator_id")) - 1).alias("seat"))
-    return slots.withColumn("seat", F.floor(F.col("slot") / each)).join(seats, "seat").select("annotator_id", "query_id")
+    if each < 1:
+        raise ValueError("an annotator gets at least one query")
+    none = F.lit(0).cast("long")
+    start = queries.select("query_id").distinct()
+    start = start.withColumn("seats", none) if taken is None else start.join(taken.groupBy("query_id").agg(F.sum("seats").cast("long").alias("seats")), "query_id", "left").select("query_id", F.coalesce("seats", none).alias("seats"))
+    state, wanted = stored(start), annotators.count()
+    dealt_so_far, parts = 0, []
+    for level in range(most):
+        own = renumbered(state.filter(F.col("seats") == level).select("query_id"), ["query_id"], "place")
+        n = own.count()
+        if not n or dealt_so_far >= wanted:
+            continue
+        full = n // each * each
+        parts.append(own.filter(F.col("place") <= full).select("query_id", (F.floor((F.col("place") - 1) / each) + dealt_so_far).alias("seat")))
+        dealt_so_far += full // each
+        lifted = F.when(F.col("seats") == level, F.col("seats") + 1).otherwise(F.col("seats"))
+        if n > full:
+            rest = [q for (q,) in own.filter(F.col("place") > full).select("query_id").collect()]  # fewer than each
+            above = state.filter(~F.col("query_id").isin(rest)).withColumn("seats", lifted).filter(F.col("seats").between(level, most - 1))
+            more = [q for (q,) in above.orderBy("seats", "query_id").limit(each - len(rest)).select("query_id").collect()]
+            parts.append(state.filter(F.col("query_id").isin(rest + more)).select("query_id", F.lit(dealt_so_far).cast("long").alias("seat")))
+            dealt_so_far += 1
+            lifted = lifted + F.col("query_id").isin(more).cast("long")
+        state = stored(state.withColumn("seats", lifted))
+    signed = renumbered(annotators.select("annotator_id", "signed_up"), ["signed_up", "annotator_id"], "n").select("annotator_id", (F.col("n") - 1).alias("seat"))
+    if not parts:
+        return annotators.select("annotator_id").join(queries.select("query_id").limit(0))
+    return reduce(DataFrame.unionByName, parts).join(signed, "seat").select("annotator_id", "query_id")
 
 
 def latest_labels(events: DataFrame) -> DataFrame:
@@ -96,25 +124,46 @@ def _pairs(labels: DataFrame) -> DataFrame:
     return a.join(b, ["query_id", "doc_id"]).filter("a < b")
 
 
-def kappa(pairs: DataFrame, keys: list[str], labels: int = 3) -> DataFrame:
-    """Cohen's kappa of (x, y) labels for each group; null where chance agreement is 1."""
-    each = [F.count_if((F.col("x") == i)).alias(f"x{i}") for i in range(labels)] + [F.count_if((F.col("y") == i)).alias(f"y{i}") for i in range(labels)]
-    g = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("x") == F.col("y")).alias("same"), *each)
+def contingency(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x, y, cells): how often each pair of labels stands in each group; pairs without a label don't count."""
+    return pairs.filter("x is not null and y is not null").groupBy(*keys, "x", "y").agg(F.count("*").alias("cells"))
+
+
+def _kappa_of(table: DataFrame, keys: list[str], labels: int) -> DataFrame:
+    c = F.col("cells")
+    at = lambda when: F.coalesce(F.sum(F.when(when, c)), F.lit(0))
+    each = [at(F.col(side) == i).alias(f"{side}{i}") for side in "xy" for i in range(labels)]
+    g = table.groupBy(*keys).agg(F.sum(c).alias("n"), at(F.col("x") == F.col("y")).alias("same"), *each)
     chance = sum((F.col(f"x{i}") * F.col(f"y{i}") for i in range(labels)), F.lit(0)) / (F.col("n") * F.col("n"))
     return g.select(*keys, "n", (F.col("same") / F.col("n")).alias("agreement"), F.try_divide(F.col("same") / F.col("n") - chance, 1 - chance).alias("kappa"))
 
 
-def spearman(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Rank correlation with average ranks of (x, y) for each group; null for constant labels."""
+def _spearman_of(table: DataFrame, keys: list[str]) -> DataFrame:
+    def ranked(side: str) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy(side)  # one row a label
+        m = table.groupBy(*keys, side).agg(F.sum("cells").alias("own"))
+        return m.select(*keys, side, (F.sum("own").over(order) - (F.col("own") - 1) / 2).alias(f"r{side}"))
+
+    c = F.col("cells")
+    mean = lambda of: F.sum(c * of) / F.sum(c)
+    rx, ry = F.col("rx"), F.col("ry")
+    cov = mean(rx * ry) - mean(rx) * mean(ry)
+    spread = (mean(rx * rx) - mean(rx) * mean(rx)) * (mean(ry * ry) - mean(ry) * mean(ry))
+    both = table.join(ranked("x"), [*keys, "x"]).join(ranked("y"), [*keys, "y"])
+    return both.groupBy(*keys).agg(F.when(spread > 1e-12, cov / F.sqrt(spread)).alias("rho"), F.sum(c).alias("n_ranked"))
+
 
-    def mean_rank(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
+def kappa(pairs: DataFrame, keys: list[str], labels: int = 3) -> DataFrame:
+    """Cohen's kappa of (x, y) labels for each group; null where chance agreement is 1."""
+    return _kappa_of(contingency(pairs, keys), keys, labels)
+
+
+def spearman(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Rank correlation with average ranks of (x, y) for each group; null for constant labels.
 
-    ranked = pairs.withColumns({"rx": mean_rank("x"), "ry": mean_rank("y")})
-    n = F.count("*")
-    cov = F.avg(F.col("rx") * F.col("ry")) - F.avg("rx") * F.avg("ry")
-    spread = (F.avg(F.col("rx") * F.col("rx")) - F.avg("rx") * F.avg("rx")) * (F.avg(F.col("ry") * F.col("ry")) - F.avg("ry") * F.avg("ry"))
-    return ranked.groupBy(*keys).agg(F.when(spread > 1e-12, cov / F.sqrt(spread)).alias("rho"), n.alias("n_ranked"))
+    Ranks follow from the counts of labels: no task sees a group's pairs.
+    """
+    return _spearman_of(contingency(pairs, keys), keys)
 
 
 def agreement(labels: DataFrame, pooled: DataFrame | None = None) -> DataFrame:
@@ -143,12 +192,15 @@ def bands(c: Column) -> Column:
     return out.otherwise("Almost perfect agreement")
 
 
-def validation(human: DataFrame, model: DataFrame) -> DataFrame:
-    """Agreement of two judgment tables (query_id, doc_id, grade) by query and overall (query_id ALL)."""
+def validation(human: DataFrame, model: DataFrame, labels: int = 3) -> DataFrame:
+    """Agreement of two judgment tables (query_id, doc_id, grade) by query and overall (query_id ALL).
+
+    Pairs are counted by query once; the overall table is the sum of these counts.
+    """
     pairs = human.select("query_id", "doc_id", F.col("grade").alias("x")).join(model.select("query_id", "doc_id", F.col("grade").alias("y")), ["query_id", "doc_id"])
-    pairs = pairs.select(F.col("query_id").cast("string").alias("query_id"), "x", "y")
-    both = pairs.unionByName(pairs.withColumn("query_id", F.lit("ALL")))
-    out = kappa(both, ["query_id"]).join(spearman(both, ["query_id"]), "query_id")
+    own = contingency(pairs.select(F.col("query_id").cast("string").alias("query_id"), "x", "y"), ["query_id"])
+    both = own.unionByName(own.groupBy("x", "y").agg(F.sum("cells").alias("cells")).withColumn("query_id", F.lit("ALL")))
+    out = _kappa_of(both, ["query_id"], labels).join(_spearman_of(both, ["query_id"]), "query_id")
     return out.select("query_id", "n", F.round("agreement", 4).alias("agreement"), F.round("kappa", 4).alias("kappa"), F.round("rho", 4).alias("spearman"), bands(F.round("kappa", 4)).alias("band"))
 
 

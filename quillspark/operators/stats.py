@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -106,20 +106,39 @@ def wilcoxon_tests(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return s.select(*own, "n", F.when(ok & (F.col("m") > 0), w).alias("w"), F.when(ok, p(w, "m", "n", "ties")).alias("p_value"), F.when(~ok, "insufficient data").when(F.col("m") == 0, "all differences are zero").alias("note"))
 
 
+#: Values are resampled as whole numbers of this part, so that sums don't depend on their order.
+PART = 1_000_000
+
+
+def draw(seed: int, round_: Column, place: Column, n: Column) -> Column:
+    """The position, from 0, that a round draws for a place: follows from md5 alone, so SQL can repeat it."""
+    text = F.concat_ws("|", F.lit(str(seed)), round_.cast("string"), place.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
+
+
 def bootstrap(metrics: DataFrame, rounds: int = 10_000, seed: int = 42) -> DataFrame:
-    """(system, metric, mean, lower, upper, std): percentile intervals of resampled means.
+    """(system, metric, mean, lower, upper, std): percentile intervals (2.5 and 97.5, linear) of resampled means.
 
-    Draws follow from hashes of seed, round and position, so they repeat. A
-    system's values of a metric are one row's array: one for each query judged.
+    A round draws as many positions as there are queries; all systems and
+    metrics of as many values share its draws. Rounds are dealt over tasks and
+    joined with the values by position; sums are partial before they move.
+    Values count to their sixth digit. Fewer than two values give their mean.
     """
-    own = metrics.groupBy("system", "metric").agg(F.collect_list(F.struct("query_id", "value")).alias("v"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    own = own.withColumn("v", F.transform(F.array_sort("v"), lambda s: s["value"]))
-    each = own.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    n = F.size("v")
-    draw = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, i: s + F.get("v", F.pmod(F.xxhash64(F.lit(seed), F.col("round"), i), n).cast("int"))) / n
-    out = each.withColumn("m", draw).groupBy("system", "metric").agg(F.first("mean").alias("mean"), F.percentile("m", 0.025).alias("lower"), F.percentile("m", 0.975).alias("upper"), F.coalesce(F.first("std"), F.lit(0.0)).alias("std"), F.first(n).alias("n"))
-    one = F.col("n") < 2
-    return out.select("system", "metric", "mean", F.when(one, F.col("mean")).otherwise(F.col("lower")).alias("lower"), F.when(one, F.col("mean")).otherwise(F.col("upper")).alias("upper"), "std")
+    own = Window.partitionBy("system", "metric")
+    values = metrics.filter("value is not null").select("system", "metric", F.round(F.col("value") * PART).cast("long").alias("v"), "value", (F.row_number().over(own.orderBy("query_id")) - 1).cast("long").alias("at"), F.count("*").over(own).alias("n"))
+    sizes = values.select("n").distinct()
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), m - 1))
+    tries = sizes.withColumn("round", every(F.lit(rounds).cast("long"))).repartition("n", "round").withColumn("place", every(F.col("n")))
+    drawn = tries.withColumn("at", draw(seed, F.col("round"), F.col("place"), F.col("n"))).groupBy("n", "round", "at").agg(F.count("*").alias("times"))
+    sums = drawn.join(values, ["n", "at"]).groupBy("system", "metric", "round").agg(F.sum(F.col("times") * F.col("v")).alias("s"))
+    ranked = sums.withColumn("r", F.row_number().over(own.orderBy("s")))  # as many rows as rounds
+    # linear percentiles of whole numbers: thousandths of the way from one to the next
+    spot = {name: divmod(per_mille * (rounds - 1), 1000) for name, per_mille in (("lower", 25), ("upper", 975))}
+    at = lambda r: F.max(F.when(F.col("r") == r, F.col("s")))
+    edges = ranked.groupBy("system", "metric").agg(*[(at(low + 1) * (1000 - part) + at(min(low + 2, rounds)) * part).alias(name) for name, (low, part) in spot.items()])
+    base = values.groupBy("system", "metric").agg((F.sum("v") / (F.count("*") * PART)).alias("mean"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("std"), F.count("*").alias("n"))
+    edge = lambda c: F.when(F.col("n") < 2, F.col("mean")).otherwise(F.col(c) / (F.col("n") * (1000 * PART))).alias(c)
+    return base.join(edges, ["system", "metric"]).select("system", "metric", "mean", edge("lower"), edge("upper"), "std")
 
 
 def best_systems(means: DataFrame, order: list[str]) -> DataFrame:

@@ -52,6 +52,21 @@ def _(s, d):
     return ju.dealt(who, _q(s, d))
 
 
+_SEATS = "CAST(item_id * 7 % 4 AS BIGINT)"
+_FREE = "list_transform(list_filter(s, lambda x: x.n < 3)[1:2], lambda x: x.q)"
+
+
+@query("a05_seats_on_top", f"""WITH RECURSIVE st AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS got, (SELECT list({{'n': {_SEATS}, 'q': item_id}} ORDER BY {_SEATS}, item_id) FROM benchmark) AS s
+UNION ALL SELECT i + 1, {_FREE}, list_sort(list_transform(s, lambda x: {{'n': x.n + CAST(list_contains({_FREE}, x.q) AS BIGINT), 'q': x.q}})) FROM st WHERE i < (SELECT count(*) FROM customer) AND len({_FREE}) > 0),
+a AS (SELECT c_custkey AS annotator_id, row_number() OVER (ORDER BY c_custkey) AS i FROM customer)
+SELECT annotator_id, unnest(got) AS query_id FROM st JOIN a USING (i)""")
+def _(s, d):
+    """The sequential rule from uneven seats."""
+    who = table(s, d, "customer").select(F.col("c_custkey").alias("annotator_id"), F.col("c_custkey").alias("signed_up"))
+    taken = _q(s, d).select("query_id", (F.col("query_id") * 7 % 4).alias("seats"))
+    return ju.dealt(who, _q(s, d), taken=taken)
+
+
 LABELS = f"{EVENTS}, lab AS MATERIALIZED (SELECT annotator_id, query_id, doc_id, arg_max(label, (event_time, event_id)) AS label, max(event_time) AS updated_at, count(*) > 1 AS replaced FROM ev GROUP BY ALL)"
 
 
@@ -410,9 +425,17 @@ def _(s, d):
     return st.wilcoxon_tests(st.compared(long(s, d), "bm25")).select("a", "b", "metric", "n", "w")
 
 
-@query("x05_bootstrap")
+_BOOT = """bv AS MATERIALIZED (SELECT system, metric, CAST(round(value * 1000000) AS BIGINT) AS v, value, row_number() OVER (PARTITION BY system, metric ORDER BY query_id) - 1 AS spot, count(*) OVER (PARTITION BY system, metric) AS n FROM lm),
+bd AS MATERIALIZED (SELECT n, r, spot, count(*) AS times FROM (SELECT n, r, CAST('0x' || substr(md5('42|' || r || '|' || p), 1, 8) AS BIGINT) % n AS spot FROM (SELECT DISTINCT n FROM bv), range(10000) t(r), range(1000000) u(p) WHERE p < n) GROUP BY ALL),
+bs AS (SELECT system, metric, r, CAST(sum(times * v) AS BIGINT) AS s FROM bd JOIN bv USING (n, spot) GROUP BY ALL),
+bo AS (SELECT system, metric, s, row_number() OVER (PARTITION BY system, metric ORDER BY s) AS k FROM bs),
+be AS (SELECT system, metric, max(s) FILTER (k = 250) * 25 + max(s) FILTER (k = 251) * 975 AS lower, max(s) FILTER (k = 9750) * 975 + max(s) FILTER (k = 9751) * 25 AS upper FROM bo GROUP BY ALL),
+bb AS (SELECT system, metric, CAST(sum(v) AS BIGINT) / (count(*) * 1000000) AS mean, coalesce(stddev_samp(value), 0) AS std, count(*) AS n FROM bv GROUP BY ALL)"""
+
+
+@query("x05_bootstrap", f"WITH {LONG}, {_BOOT} SELECT system, metric, mean, CASE WHEN n < 2 THEN mean ELSE lower / (n * 1000000000) END AS lower, CASE WHEN n < 2 THEN mean ELSE upper / (n * 1000000000) END AS upper, round(std, 6) AS std FROM bb JOIN be USING (system, metric)")
 def _(s, d):
-    return st.bootstrap(long(s, d).filter(F.col("metric").isin("ap", "ndcg_10")))
+    return st.bootstrap(long(s, d))
 
 
 @query("x06_direction", f"WITH {_CMP} SELECT a, b, metric, CAST(sign(avg(x - y)) AS INT) AS direction FROM pr GROUP BY ALL")

@@ -129,3 +129,64 @@ def test_missing_runs(spark):
     systems, queries = spark.createDataFrame([("a",), ("b",)], "system string"), spark.createDataFrame([(1,), (2,)], "query_id long")
     assert sorted(map(tuple, ju.missing_runs(run, systems, queries).select("system", "query_id").collect())) == [("a", 2), ("b", 1), ("b", 2)]
     assert ju.missing_runs(run, systems.limit(0), queries).count() == 0
+
+
+def sequential(names, taken, wanted, each=2, most=3):
+    """One annotator after another: fewest seats first, then by name."""
+    seats, out = {q: taken.get(q, 0) for q in names}, set()
+    for a in range(wanted):
+        free = [q for q in sorted(names, key=lambda q: (seats[q], q)) if seats[q] < most][:each]
+        for q in free:
+            seats[q] += 1
+            out.add((a, q))
+    return out
+
+
+def test_seats_on_top_of_any_state_equal_the_sequential_rule(spark):
+    import random
+
+    r = random.Random(11)
+    for case in range(14):
+        names = [f"q{i}" for i in range(r.choice([0, 1, 2, 3, 5, 8, 9]))]
+        each, most, wanted = r.choice([1, 2, 2, 3, 4]), r.choice([1, 3, 3, 4]), r.randint(0, 14)
+        taken = {q: r.randint(0, most + 1) for q in names if r.random() < 0.7}
+        who = spark.createDataFrame([(a, a) for a in range(wanted)], "annotator_id int, signed_up int")
+        q = spark.createDataFrame([(n,) for n in names], "query_id string")
+        t = spark.createDataFrame([*taken.items(), ("gone", 1)], "query_id string, seats int")
+        got = [tuple(x) for x in ju.dealt(who, q, each, most, t).collect()]
+        assert len(got) == len(set(got)) and set(got) == sequential(names, taken, wanted, each, most), (case, names, taken, each, most, wanted)
+
+
+def test_ranks_come_from_counts(spark):
+    """Against average ranks of every pair; no task holds more than a cell for each pair of labels."""
+    import random
+
+    r = random.Random(2)
+    rows = [(k, r.randint(0, 2), r.choice([0, 1, 1, 2])) for k in ("a", "b") for _ in range(400)] + [("c", 1, 1), ("c", 1, 2), ("d", None, 1)]
+    pairs = spark.createDataFrame(rows, "k string, x int, y int")
+
+    def mean_ranks(v):
+        s = sorted(v)
+        return [s.index(x) + (s.count(x) + 1) / 2 for x in v]
+
+    for row in ju.spearman(pairs, ["k"]).collect():
+        x, y = zip(*[(a, b) for k, a, b in rows if k == row["k"]])
+        rx, ry = mean_ranks(x), mean_ranks(y)
+        mx, my = sum(rx) / len(rx), sum(ry) / len(ry)
+        cov, vx, vy = (sum((a - b) * (c - d) for a, b, c, d in z) for z in (zip(rx, [mx] * len(rx), ry, [my] * len(ry)), zip(rx, [mx] * len(rx), rx, [mx] * len(rx)), zip(ry, [my] * len(ry), ry, [my] * len(ry))))
+        if vx * vy == 0:
+            assert row["rho"] is None
+        else:
+            assert math.isclose(row["rho"], cov / math.sqrt(vx * vy), abs_tol=1e-9)
+    assert ju.contingency(pairs, ["k"]).count() <= 9 * 3
+    human = spark.createDataFrame([(q, d, (q + d) % 3) for q in range(4) for d in range(50)], "query_id int, doc_id int, grade int")
+    model = human.withColumn("grade", F.when(F.col("doc_id") % 5 == 0, 0).otherwise(F.col("grade")))
+    out = {x["query_id"]: x["n"] for x in ju.validation(human, model).collect()}
+    assert out == {"0": 50, "1": 50, "2": 50, "3": 50, "ALL": 200}
+
+
+def test_bootstrap_of_one_value_and_of_none(spark):
+    kinds = "system string, query_id string, metric string, value double"
+    one = st.bootstrap(spark.createDataFrame([("s", "q", "m", 0.25)], kinds), 50).first()
+    assert tuple(one)[2:] == (0.25, 0.25, 0.25, 0.0)
+    assert st.bootstrap(spark.createDataFrame([], kinds), 50).count() == 0
