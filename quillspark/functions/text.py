@@ -68,9 +68,14 @@ def arabic_normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(_letters(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^؀-ۿ\s]", " ")), r"\s+", " "))
 
 
+def without_marks(c: Column) -> Column:
+    """Diacritics dropped."""
+    return F.regexp_replace(c, "[ً-ْٰ]", "")
+
+
 def arabic_token(c: Column) -> Column:
     """Diacritics dropped, alef forms, alef maksura and hamza carriers unified."""
-    return F.translate(F.regexp_replace(c, "[ً-ْٰ]", ""), "إأٱآىؤئ", "ااااي" + "ءء")
+    return F.translate(without_marks(c), "إأٱآىؤئ", "ااااي" + "ءء")
 
 
 def arabic_words(tokens: Column, stop: Iterable[str] = ARABIC) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, has_text, provenance, without_prefix, without_suffix
+from ..functions.stopwords import ARABIC
+from ..functions.text import arabic_token, clean, has_text, provenance, without_marks, without_prefix, without_suffix
 from ..sources.store import workspace
 
 PARTS = ("full", "isnad", "matn")
@@ -110,3 +112,28 @@ def lemmatised(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
     long = tokens.select("doc_id", "lang", F.posexplode_outer("tokens").alias("pos", "token")).join(F.broadcast(lemmas), "token", "left")
     word = F.struct("pos", F.coalesce("lemma", "token").alias("w"))
     return long.groupBy("doc_id", "lang").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), word))), lambda s: s["w"]).alias("tokens"))
+
+
+#: Parts of speech that carry no topic.
+STOP_POS = ("prep", "conj", "part", "punc")
+
+
+def analysed(tokens: DataFrame, analyses: DataFrame, stop: Iterable[str] = ARABIC, stop_pos: Iterable[str] = STOP_POS) -> DataFrame:
+    """doc_id, lang and Arabic tokens by their analyses, in order.
+
+    analyses: (token, lemma, pos), the best analysis of each token that has one;
+    of several rows for a token one counts, by lemma and part of speech. The
+    lemma's normal form stands for the token, unless its part of speech is left
+    out. A token without an analysis stays itself, without marks: it is held
+    against the stop words before letters are unified, as the original does. Both
+    need two letters and are no stop words. Stop words are normalised like tokens.
+    """
+    stop = [x for (x,) in tokens.sparkSession.createDataFrame([(w,) for w in stop], "w string").select(arabic_token(F.col("w"))).collect()]  # a fixed list
+    best = analyses.filter("token is not null").groupBy("token").agg(F.min(F.struct("lemma", "pos")).alias("best"))
+    long = tokens.select("doc_id", "lang", F.posexplode_outer("tokens").alias("pos", "token")).join(best, "token", "left")
+    raw = without_marks(F.col("token"))
+    known = F.col("best").isNotNull()
+    lemma = arabic_token(F.col("best.lemma"))
+    ok = F.when(known, ~F.coalesce(F.col("best.pos"), F.lit("")).isin(*stop_pos) & (F.length(lemma) >= 2) & ~lemma.isin(stop)).otherwise((F.length(raw) >= 2) & ~raw.isin(stop))
+    word = F.when(F.coalesce(ok, F.lit(False)), F.struct("pos", F.when(known, lemma).otherwise(arabic_token(raw)).alias("w")))
+    return long.groupBy("doc_id", "lang").agg(F.transform(F.array_sort(F.collect_list(word)), lambda s: s["w"]).alias("tokens"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.stopwords import ARABIC
 from ..operators import corpus as co
 from ..operators import profiling as pf
 from ..sources import store
@@ -191,11 +192,41 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", tx.anchor(F.col("text"), "passage", F.col("lang")).alias("passage"), tx.anchor(F.substring_index("text", "\n", 1), "query", F.col("lang")).alias("question"))
 
 
-@query("n04_arabic_forms", "SELECT doc_id, CAST(0 AS INT) AS letters, 'ا' || doc_id AS reranker FROM documents")
+#: Latin letters of the given texts and the Arabic letters and marks that stand for them: texts with every form that the rules treat.
+_LATIN, _ARABIC = "abcdefghijklmnopqrstuvwxyzEHITO", "أبجدَهوزحطٱكلمنسعفصقرشتثخذىةـؤئ"
+
+
+def arabic(c):
+    return F.translate(F.coalesce(c, F.lit("")), _LATIN, _ARABIC)
+
+
+_AR = f"translate(coalesce(text, ''), '{_LATIN}', '{_ARABIC}')"
+_UNMARK = "regexp_replace({}, '[\u064B-\u0652\u0670]', '', 'g')"
+_RULES = "translate({}, 'إأٱآىؤئ', 'ااااي' || 'ءء')"
+_SPACED = "trim(regexp_replace({}, '[ \t\n\r\f]+', ' ', 'g'))"
+
+
+@query("n04_arabic_forms", f"""SELECT doc_id, {_SPACED.format("replace(translate(regexp_replace(t, '[^" + chr(0x600) + "-" + chr(0x6FF) + " \t\n\r\f]', ' ', 'g'), 'إأٱآىةؤئ', 'ااااي' || 'ه' || 'ءء'), 'ـ', '')")} AS normal,
+{_SPACED.format(_UNMARK.format('t'))} AS encoder, left({_SPACED.format("replace(regexp_replace(regexp_replace(t, '[ً-ٟ]', '', 'g'), '[ـٰ]', '', 'g'), 'ٱ', 'ا')")}, 1200) AS reranker FROM (SELECT doc_id, {_AR} AS t FROM documents)""")
+def _(s, d):
+    t = arabic(F.col("text"))
+    return table(s, d, "documents").select("doc_id", tx.arabic_normal(t).alias("normal"), tx.encoder_form(t).alias("encoder"), tx.reranker_form(t).alias("reranker"))
+
+
+_AN = f"""tk AS MATERIALIZED (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id, string_split({_SPACED.format(_AR)}, ' ') AS w FROM documents) ),
+an AS MATERIALIZED (SELECT token, token[1:len(token) - 1] AS lemma, CASE len(token) % 5 WHEN 0 THEN 'prep' WHEN 1 THEN 'noun' WHEN 2 THEN 'punc' ELSE 'verb' END AS pos FROM (SELECT DISTINCT token FROM tk WHERE len(token) % 3 <> 0)),
+st AS (SELECT list({_RULES.format(_UNMARK.format('w'))}) AS stop FROM (SELECT unnest({list(ARABIC)}) AS w)),
+kept AS (SELECT doc_id, tk.pos, CASE WHEN an.token IS NOT NULL THEN {_RULES.format(_UNMARK.format('lemma'))} ELSE {_UNMARK.format('tk.token')} END AS w, an.token IS NOT NULL AS known, an.pos AS kind FROM tk LEFT JOIN an USING (token))"""
+
+
+@query("n05_arabic_tokens", f"""WITH {_AN} SELECT d.doc_id, coalesce(joined, '') AS joined FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(CASE WHEN known THEN w ELSE {_RULES.format('w')} END, ' ' ORDER BY pos) AS joined FROM kept, st WHERE len(w) >= 2 AND NOT list_contains(stop, w) AND (NOT known OR kind NOT IN ('prep', 'conj', 'part', 'punc')) GROUP BY doc_id) k USING (doc_id)""")
 def _(s, d):
-    docs = table(s, d, "documents")
-    left = F.length(tx.arabic_normal(F.concat(F.coalesce("text", F.lit("")), F.lit("ـ"))))  # no Arabic letters in these texts
-    return docs.select("doc_id", left.alias("letters"), tx.reranker_form(F.concat(F.lit("ٱـَ"), F.col("doc_id"))).alias("reranker"))
+    """Texts put into Arabic letters; two tokens in three have an analysis: all but their last letter, a part of speech by length."""
+    own = table(s, d, "documents").select("doc_id", F.lit("ar").alias("lang"), F.split(F.trim(F.regexp_replace(arabic(F.col("text")), tx.SPACE, " ")), " ").alias("tokens"))
+    n = F.length("token")
+    analyses = own.select(F.explode("tokens").alias("token")).distinct().filter(n % 3 != 0).select("token", F.substring("token", F.lit(1), n - 1).alias("lemma"), F.when(n % 5 == 0, "prep").when(n % 5 == 1, "noun").when(n % 5 == 2, "punc").otherwise("verb").alias("pos"))
+    return co.analysed(own, analyses).select("doc_id", F.array_join("tokens", " ").alias("joined"))
 
 
 @query("f01_rows_by_book", f"WITH {CORPUS} SELECT book AS value, count(*) AS n FROM corpus GROUP BY book")

@@ -51,3 +51,16 @@ def test_number_label(spark, value, label):
 def test_grades(spark, a, b, grade):
     row = spark.createDataFrame([(a, b)], "a string, b string").select(tx.normal_grade(F.col("a"), F.col("b")).alias("g")).first()
     assert row["g"] == grade
+
+
+def test_arabic_tokens_by_analysis(spark):
+    from quillspark.operators import corpus as co
+
+    tokens = [("قَالَ", "stop word without an analysis, marks dropped first"), ("كتاب", "kept by its lemma"), ("في", "preposition"), ("مجهول", "no analysis: stays"), ("و", "too short"), ("إلى", "raw form, letters unified"), ("يقول", "lemma is a stop word"), ("كتاب", "again")]
+    docs = spark.createDataFrame([(1, "ar", [t for t, _ in tokens]), (2, "ar", []), (3, "ar", None)], "doc_id long, lang string, tokens array<string>")
+    analyses = spark.createDataFrame([("كتاب", "كِتَاب", "noun"), ("كتاب", "وكتاب", "verb"), ("في", "في", "prep"), ("يقول", "قال", "verb"), ("شيء", "شيء", None), (None, "x", "noun")], "token string, lemma string, pos string")
+    out = {r["doc_id"]: r["tokens"] for r in co.analysed(docs, analyses).collect()}
+    assert out == {1: ["كتاب", "مجهول", "الي", "كتاب"], 2: [], 3: []}
+    assert co.analysed(docs.limit(0), analyses).count() == 0
+    bare = co.analysed(docs.filter("doc_id = 1"), analyses.limit(0)).first()["tokens"]
+    assert bare == ["كتاب", "في", "مجهول", "الي", "يقول", "كتاب"]
