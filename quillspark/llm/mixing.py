@@ -6,10 +6,10 @@ share; by default a target is the value's share of tokens to the power 0.5, so
 that a source with a third of all tokens is drawn down and rare values are
 drawn up. The weights become probabilities min(1, c w), where c is chosen so
 that the expected tokens are ``keep`` of all tokens. Raking goes on until no
-marginal is further from its target than ``RESIDUAL`` of it; targets that no
-weights can meet (a source in one language only, say) leave a residual that
-stops falling, which ends it too. A document is kept if a
-number that follows from its id alone is below its cell's probability: the same
+marginal is further from its target than ``RESIDUAL`` of it, or until rounds no longer bring
+it nearer: targets that no weights can meet (a source in one language only,
+say) leave a residual, which the cells state. A document is kept if a number
+that follows from its id alone is below its cell's probability: the same
 documents are kept on every run and every layout.
 
 Only counts are shuffled before the cells; there is one row per cell. The cells
@@ -38,6 +38,8 @@ ROUNDS = 10
 RESIDUAL = 1e-10
 KEEP = 0.8
 CELLS_IN_ONE = 200_000
+#: Share of the residual that a run of rounds must take off.
+STILL = 1e-3
 PLACES = 6
 SALT = "mix"
 
@@ -54,7 +56,13 @@ def described(docs: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def raked(cells: DataFrame, power: float = POWER, rounds: int = ROUNDS) -> DataFrame:
-    """Adds ``weight`` to the cells (SIDES, tokens)."""
+    """Adds ``weight`` and ``residual`` to the cells (SIDES, docs, tokens).
+
+    Raking goes on while it gets nearer to its targets, however slowly. It ends
+    at RESIDUAL, or once three runs of rounds in a row have not lowered the
+    residual by STILL of itself: then no weights of these cells meet the targets,
+    and ``residual`` says how far the worst marginal is off.
+    """
     whole = F.lit(cells.agg(F.sum("tokens")).first()[0] or 0).cast("double")
     for side in SIDES:
         own = Window.partitionBy(side)
@@ -62,7 +70,7 @@ def raked(cells: DataFrame, power: float = POWER, rounds: int = ROUNDS) -> DataF
     for side in SIDES:
         total = cells.groupBy(side).agg(F.first(f"t_{side}").alias("t")).agg(F.sum("t")).first()[0] or 1.0
         cells = cells.withColumn(f"t_{side}", whole * F.col(f"t_{side}") / F.lit(total))
-    cells, left = cells.withColumn("weight", F.lit(1.0)), math.inf
+    cells, left, still = cells.withColumn("weight", F.lit(1.0)), math.inf, 0
     while True:
         for _ in range(rounds):
             for side in SIDES:
@@ -70,8 +78,9 @@ def raked(cells: DataFrame, power: float = POWER, rounds: int = ROUNDS) -> DataF
                 cells = cells.withColumn("weight", F.col("weight") * F.coalesce(F.try_divide(F.col(f"t_{side}"), now), F.lit(1.0)))
         cells, before = cut(cells), left
         left = residual(cells)
-        if left <= RESIDUAL or left > 0.9 * before:
-            return cells.select(*SIDES, "docs", "tokens", "weight")
+        still = still + 1 if left > (1 - STILL) * before else 0
+        if left <= RESIDUAL or still == 3:
+            return cells.select(*SIDES, "docs", "tokens", "weight", F.lit(left).alias("residual"))
 
 
 def residual(cells: DataFrame) -> float:

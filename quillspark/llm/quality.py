@@ -234,4 +234,6 @@ def score(docs: DataFrame, model: Fitted, text_col: str = "text") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
-    return score(docs.select(*docs.columns), fit(docs, labels)).filter("predicted = 1").select(*docs.columns)
+    # all columns go beside the text, under one name: whatever they are called, none is overwritten
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return score(rows, fit(docs, labels)).filter("predicted = 1").select("row.*")

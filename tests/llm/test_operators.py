@@ -67,6 +67,18 @@ def test_quality(spark):
     assert [r["predicted"] for r in none] == [1]
 
 
+def test_kept_documents_keep_columns_of_any_name(spark):
+    good, bad = [prose(40, i) + "." for i in range(60)], [" | ".join(prose(40, i + 500).split()) for i in range(60)]
+    texts = [x for pair in zip(good, bad) for x in pair]
+    df = spark.createDataFrame([(i, t, f"own{i}", f"mine{i}", i) for i, t in enumerate(texts)] + [(None, good[0], "own", None, None)], "doc_id long, text string, score string, predicted string, row long")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(120)] + [(3, 1), (None, 0)], "doc_id long, quality int")  # one document with both labels
+    kept = quality.keep_good(df, labels)
+    assert kept.dtypes == df.dtypes
+    rows = kept.collect()
+    assert len(rows) > 40 and all(r["doc_id"] is None or (r["score"], r["predicted"], r["row"]) == (f"own{r['doc_id']}", f"mine{r['doc_id']}", r["doc_id"]) for r in rows)
+    assert [r["score"] for r in rows if r["doc_id"] is None] == ["own"]
+
+
 # 4
 @pytest.mark.parametrize(("page", "text"), [
     (None, ""), ("", ""), ("<p></p>", ""), ("plain &amp; text", "plain & text"), ("<p>one<p>two", "one\ntwo"),
@@ -149,6 +161,48 @@ def test_mixing(spark):
     assert mixing.mix(d.limit(0), topics).count() == 0
 
 
+def raked_by_numpy(cells, rounds):
+    """(weights, the largest share that a marginal is off its target)."""
+    side = [np.unique([c[i] for c in cells], return_inverse=True)[1] for i in range(3)]
+    t = np.array([c[3] for c in cells], float)
+    goal = [np.bincount(s, t) ** mixing.POWER for s in side]
+    goal = [t.sum() * g / g.sum() for g in goal]
+    w = np.ones(len(t))
+    for _ in range(rounds):
+        for s, g in zip(side, goal):
+            w = w * (g / np.bincount(s, w * t))[s]
+    return w, max(np.abs(np.bincount(s, w * t) / g - 1).max() for s, g in zip(side, goal))
+
+
+def slow_tables():
+    """Sparse tables whose raking converges within 180 rounds, though ten of the first take off less than a tenth of the residual."""
+    r = random.Random(8)
+    while True:
+        at = {(f"s{r.randrange(5)}", f"l{r.randrange(3)}") for _ in range(11)}
+        cells = [(s, x, "t", int(10 ** r.uniform(1, 6.8))) for s, x in sorted(at)]
+        if raked_by_numpy(cells, 180)[1] < 1e-10:
+            off = [raked_by_numpy(cells, n)[1] for n in (10, 20, 30, 40)]
+            if any(b > 0.9 * a and b > 0.01 for a, b in zip(off, off[1:])):
+                yield cells
+
+
+def test_raking_reaches_targets_slowly(spark):
+    cells = next(slow_tables())
+    df = spark.createDataFrame([(*c[:3], 1, c[3]) for c in cells], "source string, lang string, topic string, docs long, tokens long")
+    got = {(r["source"], r["lang"]): r for r in mixing.raked(df.coalesce(1)).collect()}
+    want, _ = raked_by_numpy(cells, 3000)
+    assert all(abs(got[c[0], c[1]]["weight"] / w - 1) < 1e-6 and got[c[0], c[1]]["residual"] <= mixing.RESIDUAL for c, w in zip(cells, want))
+
+
+def test_targets_that_no_weights_meet_leave_a_residual(spark):
+    rows = [("a", "x", "t", 1, 100), ("b", "y", "t", 1, 10_000), ("b", "z", "t", 1, 10), ("a", "z", "u", 1, 0)]
+    got = mixing.raked(spark.createDataFrame(rows[:3], "source string, lang string, topic string, docs long, tokens long").coalesce(1)).collect()
+    assert len(got) == 3 and got[0]["residual"] > 0.01
+    ids = spark.createDataFrame([(None, "w w", "en", "a"), (None, "w", "en", "b"), (1, "w w w", "fr", "a"), (1, "w w w", "fr", "a")], "doc_id long, text string, lang string, source string")
+    out = mixing.mix(ids, spark.createDataFrame([], "vec_id long, label int")).collect()
+    assert len(out) == 4 and len({r["kept"] for r in out if r["doc_id"] == 1}) == 1 and not any(r["kept"] for r in out if r["doc_id"] is None)
+
+
 # 7
 def test_decontamination(spark):
     items = [prose(n, 900 + n) for n in (16, 25, 40, 60)]
