@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _power, mix, stored
@@ -41,7 +41,8 @@ LEAST_LENGTH, LEAST_COUNT, TIMES = 7, 2, 10
 DELETED_OF = 31
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LETTER = r"A-Za-zÀ-ÿ"
-_ROWS = 20_000
+#: Letters that are spread at once, and in a word from which its neighbours carry a short name.
+LETTERS, LONG = 200_000, 48
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -63,11 +64,10 @@ def _keyed(ids: np.ndarray, sums: np.ndarray, front: np.ndarray, ends: tuple[np.
     return mix(sums ^ mix(np.where(front, ends[0][ids], ends[1][ids]))).view(np.int64)
 
 
-def _spread(words: pa.Array, neighbours: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word number, key, front, own) of the words' reduced forms, or of their one-edit neighbours.
+def _spread(words: pa.Array, neighbours: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word number, key, front) of the words' reduced forms, or of their neighbours one edit away.
 
-    front: the edit is in the second half, so the key holds the first letters;
-    own: the neighbour is the reduced word itself.
+    front: the edit is in the second half, so the key holds the first letters.
     """
     raw = "".join(words.to_pylist()).encode("latin-1")
     size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -82,9 +82,11 @@ def _spread(words: pa.Array, neighbours: bool) -> tuple[np.ndarray, np.ndarray,
     whole = upto[start + size] - upto[start]
     code = lambda first: sum(letters[first + i].astype(np.uint64) << np.uint64(8 * i) for i in range(ENDS))
     ends = code(start), code(start + size - ENDS) | np.uint64(1 << 40)
-    every = np.arange(len(size))
-    ids, sums, front = [every, every], [whole, whole], [np.ones(len(size), bool), np.zeros(len(size), bool)]
-    if neighbours:
+    ids, sums, front = [], [], []
+    if not neighbours:
+        every = np.arange(len(size))
+        ids, sums, front = [every, every], [whole, whole], [np.ones(len(size), bool), np.zeros(len(size), bool)]
+    else:
         late = place >= size[word] // 2
         for less in range(1, SYMBOLS):
             at = np.flatnonzero(symbol >= less)
@@ -99,32 +101,65 @@ def _spread(words: pa.Array, neighbours: bool) -> tuple[np.ndarray, np.ndarray,
         sums.append((upto[at] - upto[start[word[at]]]) + (upto[(start + size)[word[at]]] - upto[at + 1]) * down[1])
         front.append(late[at])
     ids, front = np.concatenate(ids), np.concatenate(front)
-    return ids, _keyed(ids, np.concatenate(sums), front, ends), front, np.arange(len(ids)) < 2 * len(size)
+    return ids, _keyed(ids, np.concatenate(sums), front, ends), front
+
+
+def _slices(words: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, after the last) of runs of words with about LETTERS letters, or of one word."""
+    upto = np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(words):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + LETTERS, "right")))
+        yield at, end
+        at = end
 
 
 def _rows(neighbours: bool):
+    """Rows (key, name, n) of neighbours, or (key, name, n, front) of reduced words; neighbours are many and travel without what their key tells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), _ROWS):
-                some = batch.slice(at, _ROWS)
-                ids, *columns = _spread(some.column(0), neighbours)
+            for at, end in _slices(batch.column(0)):
+                some = batch.slice(at, end - at)
+                ids, keys, front = _spread(some.column(0), neighbours)
                 for i in range(0, len(ids), 200_000):
                     part = slice(i, i + 200_000)
                     chosen = pa.array(ids[part])
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c[part]) for c in columns], some.column(0).take(chosen), some.column(1).take(chosen)], names=["key", "front", "own", "word", "n"])
+                    columns = [pa.array(keys[part]), some.column(1).take(chosen), some.column(2).take(chosen)]
+                    yield pa.RecordBatch.from_arrays(columns if neighbours else [*columns, pa.array(front[part])], names=["key", "name", "n", "front"][: 3 if neighbours else 4])
 
     return run
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """a, n_a, b, n_b: each pair of words one edit apart, once. words: word (letters up to U+00FF, at least 7), n."""
-    kind = "key long, front boolean, own boolean, word string, n long"
-    a = words.select("word", "n").mapInArrow(_rows(True), kind).select("key", "front", "own", F.col("word").alias("a"), F.col("n").alias("n_a"))
-    b = words.select("word", "n").mapInArrow(_rows(False), kind).select("key", F.col("word").alias("b"), F.col("n").alias("n_b"))
+    """a, n_a, b, n_b: each pair of words one edit apart, once. words: word (letters up to U+00FF, at least 7), n.
+
+    Neighbours one edit away meet the vocabulary from one side; words whose
+    reduced forms are the same meet each other. A neighbour carries its word, or
+    a short name of one over LONG letters, whose neighbours are as many as its
+    letters; its name is looked up after the join.
+    """
+    long = F.length("word") > LONG
+    name = F.concat(F.lit("#"), F.hex(F.xxhash64("word")))  # no word has such letters
+    made = lambda some, by: some.select("word", by.alias("name"), "n").mapInArrow(_rows(True), "key long, name string, n long")
+    b = words.select("word", F.col("word").alias("name"), "n").mapInArrow(_rows(False), "key long, name string, n long, front boolean")
+    b = b.select("key", "front", F.col("name").alias("b"), F.col("n").alias("n_b"))
+    same = b.select("key", F.col("b").alias("a"), F.col("n_b").alias("n_a"))
+    short = made(words.filter(~long), F.col("word")).select("key", F.col("name").alias("a"), F.col("n").alias("n_a"))
+    far = made(words.filter(long), name).select("key", "name", F.col("n").alias("n_a")).join(b.filter(F.length("b") >= LONG), "key").join(words.filter(long).select(name.alias("name"), F.col("word").alias("a")), "name")
     half = F.floor(F.length("a") / 2).cast("int")
     starts_alike = F.substring("a", F.lit(1), half) == F.substring("b", F.lit(1), half)
-    once = F.when(F.col("own"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))  # equal reduced words meet from both sides
-    return a.join(b, "key").filter(once & (starts_alike == F.col("front"))).filter(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b")
+    beside = F.when(F.length("a") <= LONG, F.levenshtein("a", "b", 1) == 1).otherwise(_one_edit(F.col("a"), F.col("b")))
+    apart = lambda met: met.filter(starts_alike == F.col("front")).filter(beside).select("a", "n_a", "b", "n_b")
+    return apart(short.join(b, "key")).unionByName(apart(same.join(b, "key").filter("a < b"))).unionByName(apart(far))
+
+
+def _one_edit(a: Column, b: Column) -> Column:
+    """Whether a long word turns into another, as long or one letter shorter, by one edit: the places where they first differ from either end."""
+    n = F.length(a)
+    place = lambda x, y: F.array_position(F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: F.coalesce(p != q, F.lit(True))), True)
+    first, last = place(a, b), place(F.reverse(a), F.reverse(b))
+    return (a != b) & F.when(n == F.length(b), first + last == n + 1).otherwise((n == F.length(b) + 1) & (first + last >= n + 1))
 
 
 def forms(words: DataFrame, pairs: DataFrame) -> DataFrame:
