@@ -36,8 +36,8 @@ def _ideal(qrels: DataFrame, cuts: Sequence[int]) -> DataFrame:
     )
 
 
-def per_query(run: DataFrame, qrels: DataFrame, cuts: Sequence[int] = CUTS) -> DataFrame:
-    """One row for each system and judged query, a column for each metric."""
+def per_query(run: DataFrame, qrels: DataFrame, cuts: Sequence[int] = CUTS, digits: int | None = 6) -> DataFrame:
+    """One row for each system and judged query, a column for each metric; unrounded for means if digits is None."""
     hit = run.select("system", "query_id", "doc_id", "rank").join(qrels, ["query_id", "doc_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
     order = Window.partitionBy("system", "query_id").orderBy("rank")
     hit = hit.withColumn("rel", (F.col("grade") > 0).cast("int")).withColumn("seen", F.sum("rel").over(order))
@@ -52,7 +52,12 @@ def per_query(run: DataFrame, qrels: DataFrame, cuts: Sequence[int] = CUTS) -> D
     for k in cuts:
         pk, rk = F.col(f"hits_{k}") / k, _share(F.col(f"hits_{k}"), F.col("n_rel"))
         out |= {f"p_{k}": pk, f"r_{k}": rk, f"f1_{k}": _f(pk, rk), f"jaccard_{k}": _share(F.col(f"hits_{k}"), F.least(F.lit(k), F.col("n_ret")) + F.col("n_rel") - F.col(f"hits_{k}")), f"ndcg_{k}": _share(F.col(f"dcg_{k}"), F.col(f"idcg_{k}")), f"capped_{k}": _share(F.col(f"hits_{k}"), F.least(F.lit(k), F.col("n_rel")))}
-    return m.select("system", "query_id", *[F.round(c, 6).alias(name) for name, c in out.items()])
+    table = m.select("system", "query_id", *[c.alias(name) for name, c in out.items()])
+    return table if digits is None else rounded(table, digits)
+
+
+def rounded(table: DataFrame, digits: int = 6) -> DataFrame:
+    return table.select("system", "query_id", *[F.round(c, digits).alias(c) for c in table.columns if c not in ("system", "query_id")])
 
 
 def long(table: DataFrame) -> DataFrame:
@@ -62,8 +67,8 @@ def long(table: DataFrame) -> DataFrame:
 
 
 def mean(c: str) -> Column:
-    """The mean to six digits. Means of such values may end in a 5 at the seventh: these go up, in whatever order they were summed."""
-    return F.round(F.avg(c) + 1e-10, 6)
+    """The mean of unrounded values to six digits."""
+    return F.round(F.avg(c), 6)
 
 
 def by_system(table: DataFrame) -> DataFrame:

@@ -277,16 +277,18 @@ def _metric_sql() -> str:
 hs AS (SELECT *, sum(rel) OVER (PARTITION BY system, query_id ORDER BY rank) AS seen FROM hit),
 sm AS (SELECT system, query_id, count(*) AS n_ret, sum(rel) AS hits, sum(CASE WHEN rel = 1 THEN seen / rank END) AS ap, min(CASE WHEN rel = 1 THEN rank END) AS first, sum({gain} / log2(rank + 1.0)) AS dcg, {sums} FROM hs GROUP BY ALL),
 id AS (SELECT query_id, count(*) FILTER (grade > 0) AS n_rel, sum({gain} / log2(r + 1.0)) AS idcg, {ideal} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS r FROM qrels) GROUP BY query_id),
-met AS MATERIALIZED (SELECT system, query_id, {', '.join(f'round({c}, 6) AS {n}' for n, c in cols.items())} FROM sm JOIN id USING (query_id))"""
+raw AS MATERIALIZED (SELECT system, query_id, {', '.join(f'{c} AS {n}' for n, c in cols.items())} FROM sm JOIN id USING (query_id)),
+met AS (SELECT system, query_id, {', '.join(f'round({n}, 6) AS {n}' for n in cols)} FROM raw)"""
 
 
 METRICS = f"{RUN}, {QRELS}, {_metric_sql()}"
 _NAMES = ["precision", "recall", "f1", "f2", "ap", "rr", "jaccard", "dcg", "ndcg"] + [f"{m}_{k}" for k in (5, 10) for m in ("p", "r", "f1", "jaccard", "ndcg", "capped")]
-LONG = f"{METRICS}, lm AS MATERIALIZED (SELECT system, query_id, metric, value FROM met UNPIVOT (value FOR metric IN ({', '.join(_NAMES)})))"
+LONG = f"{METRICS}, lm AS MATERIALIZED (SELECT system, query_id, metric, value FROM raw UNPIVOT (value FOR metric IN ({', '.join(_NAMES)})))"
 
 
 def metrics(s, d):
-    return me.per_query(run(s, d), qrels(s, d))
+    """Unrounded: means and tests come from these, each rounded once."""
+    return me.per_query(run(s, d), qrels(s, d), digits=None)
 
 
 def long(s, d):
@@ -295,40 +297,40 @@ def long(s, d):
 
 @query("m01_set_metrics", f"WITH {METRICS} SELECT system, query_id, precision, recall, f1, f2, jaccard FROM met")
 def _(s, d):
-    return metrics(s, d).select("system", "query_id", "precision", "recall", "f1", "f2", "jaccard")
+    return me.rounded(metrics(s, d)).select("system", "query_id", "precision", "recall", "f1", "f2", "jaccard")
 
 
 @query("m02_cutoff_metrics", f"WITH {METRICS} SELECT system, query_id, p_5, p_10, r_5, r_10, f1_5, f1_10, jaccard_5, jaccard_10 FROM met")
 def _(s, d):
-    return metrics(s, d).select("system", "query_id", "p_5", "p_10", "r_5", "r_10", "f1_5", "f1_10", "jaccard_5", "jaccard_10")
+    return me.rounded(metrics(s, d)).select("system", "query_id", "p_5", "p_10", "r_5", "r_10", "f1_5", "f1_10", "jaccard_5", "jaccard_10")
 
 
 @query("m03_average_precision", f"WITH {METRICS} SELECT system, query_id, ap FROM met")
 def _(s, d):
-    return metrics(s, d).select("system", "query_id", "ap")
+    return me.rounded(metrics(s, d)).select("system", "query_id", "ap")
 
 
 @query("m04_jaccard", f"WITH {METRICS} SELECT system, query_id, jaccard, jaccard_5, jaccard_10 FROM met")
 def _(s, d):
-    return metrics(s, d).select("system", "query_id", "jaccard", "jaccard_5", "jaccard_10")
+    return me.rounded(metrics(s, d)).select("system", "query_id", "jaccard", "jaccard_5", "jaccard_10")
 
 
 @query("m05_ndcg", f"WITH {METRICS} SELECT system, query_id, dcg, ndcg, ndcg_5, ndcg_10 FROM met")
 def _(s, d):
-    return metrics(s, d).select("system", "query_id", "dcg", "ndcg", "ndcg_5", "ndcg_10")
+    return me.rounded(metrics(s, d)).select("system", "query_id", "dcg", "ndcg", "ndcg_5", "ndcg_10")
 
 
 @query("m06_reciprocal_rank", f"WITH {METRICS} SELECT system, query_id, rr FROM met")
 def _(s, d):
-    return metrics(s, d).select("system", "query_id", "rr")
+    return me.rounded(metrics(s, d)).select("system", "query_id", "rr")
 
 
 @query("m07_per_query_table", f"WITH {METRICS} SELECT * FROM met")
 def _(s, d):
-    return metrics(s, d)
+    return me.rounded(metrics(s, d))
 
 
-@query("m08_system_table", f"WITH {METRICS} SELECT system, CASE WHEN grouping(query_id) = 1 THEN 'MEAN' ELSE CAST(query_id AS VARCHAR) END AS query_id, " + ", ".join(f"round(avg({n}) + 1e-10, 6) AS {n}" for n in _NAMES) + " FROM met GROUP BY GROUPING SETS ((system, query_id), (system))")
+@query("m08_system_table", f"WITH {METRICS} SELECT system, CASE WHEN grouping(query_id) = 1 THEN 'MEAN' ELSE CAST(query_id AS VARCHAR) END AS query_id, " + ", ".join(f"round(avg({n}), 6) AS {n}" for n in _NAMES) + " FROM raw GROUP BY GROUPING SETS ((system, query_id), (system))")
 def _(s, d):
     return me.by_system(metrics(s, d))
 
@@ -338,12 +340,12 @@ def _(s, d):
     return me.closed_pool(run(s, d).withColumn("score", F.round("score", 9)), qrels(s, d)).select("system", "query_id", "doc_id", "rank")
 
 
-@query("m10_evaluation", f"WITH {METRICS} SELECT system, count(*) AS queries, round(avg(ap) + 1e-10, 6) AS map, round(avg(rr) + 1e-10, 6) AS mrr, round(avg(ndcg_10) + 1e-10, 6) AS ndcg_10 FROM met GROUP BY system")
+@query("m10_evaluation", f"WITH {METRICS} SELECT system, count(*) AS queries, round(avg(ap), 6) AS map, round(avg(rr), 6) AS mrr, round(avg(ndcg_10), 6) AS ndcg_10 FROM raw GROUP BY system")
 def _(s, d):
     return metrics(s, d).groupBy("system").agg(F.count("*").alias("queries"), me.mean("ap").alias("map"), me.mean("rr").alias("mrr"), me.mean("ndcg_10").alias("ndcg_10"))
 
 
-@query("m11_graded_only", f"WITH {LONG} SELECT system, metric, round(avg(value) + 1e-10, 6) AS mean, count(*) AS n FROM lm GROUP BY ALL")
+@query("m11_graded_only", f"WITH {LONG} SELECT system, metric, round(avg(value), 6) AS mean, count(*) AS n FROM lm GROUP BY ALL")
 def _(s, d):
     return me.graded_only(long(s, d), qrels(s, d))
 
@@ -393,14 +395,14 @@ def _(s, d):
     return me.title_queries(table(s, d, "documents"), F.trim(F.substring_index("text", "\n", 1)))
 
 
-@query("m16_capped_recall", f"WITH {METRICS} SELECT system, round(avg(capped_5) + 1e-10, 6) AS capped_5, round(avg(r_5) + 1e-10, 6) AS r_5, round(avg(capped_10) + 1e-10, 6) AS capped_10 FROM met GROUP BY system")
+@query("m16_capped_recall", f"WITH {METRICS} SELECT system, round(avg(capped_5), 6) AS capped_5, round(avg(r_5), 6) AS r_5, round(avg(capped_10), 6) AS capped_10 FROM raw GROUP BY system")
 def _(s, d):
     return metrics(s, d).groupBy("system").agg(me.mean("capped_5").alias("capped_5"), me.mean("r_5").alias("r_5"), me.mean("capped_10").alias("capped_10"))
 
 
-@query("x01_per_query_values", f"WITH {LONG} SELECT system, query_id, metric, value FROM lm WHERE metric IN ('ap', 'ndcg_10')")
+@query("x01_per_query_values", f"WITH {LONG} SELECT system, query_id, metric, round(value, 6) AS value FROM lm WHERE metric IN ('ap', 'ndcg_10')")
 def _(s, d):
-    return long(s, d).filter(F.col("metric").isin("ap", "ndcg_10"))
+    return long(s, d).filter(F.col("metric").isin("ap", "ndcg_10")).withColumn("value", F.round("value", 6))
 
 
 _CMP = f"{LONG}, pr AS MATERIALIZED (SELECT a.system AS a, b.system AS b, metric, a.query_id, a.value AS x, b.value AS y FROM (SELECT *, count(*) OVER (PARTITION BY system, metric) AS n FROM lm) a JOIN (SELECT *, count(*) OVER (PARTITION BY system, metric) AS n FROM lm) b USING (metric, query_id) WHERE b.system = 'bm25' AND a.system <> 'bm25' AND a.n = b.n)"
@@ -443,7 +445,7 @@ def _(s, d):
     return st.t_tests(st.compared(long(s, d), "bm25")).select("a", "b", "metric", "direction")
 
 
-@query("x07_best_systems", f"WITH {LONG}, mm AS (SELECT system, metric, round(avg(value) + 1e-10, 6) AS mean FROM lm GROUP BY ALL) SELECT metric, arg_max(system, (mean, -list_position({SYSTEMS}, system))) AS system, max(mean) AS mean FROM mm GROUP BY metric")
+@query("x07_best_systems", f"WITH {LONG}, mm AS (SELECT system, metric, round(avg(value), 6) AS mean FROM lm GROUP BY ALL) SELECT metric, arg_max(system, (mean, -list_position({SYSTEMS}, system))) AS system, max(mean) AS mean FROM mm GROUP BY metric")
 def _(s, d):
     return st.best_systems(me.graded_only(long(s, d), qrels(s, d)), SYSTEMS)
 
@@ -468,7 +470,7 @@ def _variants(s, d):
     return m.unionByName(m.withColumns({"variant": F.lit("twice"), "value": F.col("value") * 0.5 + 0.25})).unionByName(m.withColumns({"variant": F.lit("less"), "value": F.col("value") * 0.9}))
 
 
-_VAR = f"{LONG}, va AS MATERIALIZED (SELECT 'base' AS variant, * FROM lm UNION ALL SELECT 'twice', system, query_id, metric, value * 0.5 + 0.25 FROM lm UNION ALL SELECT 'less', system, query_id, metric, value * 0.9 FROM lm), vm AS MATERIALIZED (SELECT variant, system, metric, round(avg(value) + 1e-10, 6) AS mean FROM va GROUP BY ALL), de AS MATERIALIZED (SELECT v.variant, system, metric, b.mean AS baseline, v.mean AS value, round(v.mean - b.mean, 6) AS delta, round(CASE WHEN b.mean > 0 THEN (v.mean - b.mean) / b.mean * 100 ELSE 0.0 END, 2) AS delta_pct FROM vm v JOIN (SELECT system, metric, mean FROM vm WHERE variant = 'base') b USING (system, metric) WHERE v.variant <> 'base')"
+_VAR = f"{LONG}, va AS MATERIALIZED (SELECT 'base' AS variant, * FROM lm UNION ALL SELECT 'twice', system, query_id, metric, value * 0.5 + 0.25 FROM lm UNION ALL SELECT 'less', system, query_id, metric, value * 0.9 FROM lm), vm AS MATERIALIZED (SELECT variant, system, metric, round(avg(value), 6) AS mean FROM va GROUP BY ALL), de AS MATERIALIZED (SELECT v.variant, system, metric, b.mean AS baseline, v.mean AS value, round(v.mean - b.mean, 6) AS delta, round(CASE WHEN b.mean > 0 THEN (v.mean - b.mean) / b.mean * 100 ELSE 0.0 END, 2) AS delta_pct FROM vm v JOIN (SELECT system, metric, mean FROM vm WHERE variant = 'base') b USING (system, metric) WHERE v.variant <> 'base')"
 
 
 def _deltas(s, d):
