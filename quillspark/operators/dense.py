@@ -146,3 +146,40 @@ def kept_releases(releases: DataFrame, protected: DataFrame, keep: int = 3) -> D
     rank = F.row_number().over(Window.orderBy(F.desc("created_at"), "release"))
     safe = protected.select("release", F.lit(True).alias("safe"))
     return releases.withColumn("r", rank).join(F.broadcast(safe), "release", "left").select("release", ((F.col("r") <= keep) | F.coalesce("safe", F.lit(False))).alias("kept"))
+
+
+def upserted(old: DataFrame, new: DataFrame, dim: int, most: int = 20) -> DataFrame:
+    """Vectors (doc_id, vector) with new ones in place of old ones of the same id; fails if a new vector has another length.
+
+    Of several new vectors of an id one counts. A null vector replaces an old one
+    too; searches leave it out.
+    """
+    bad = [r["doc_id"] for r in new.filter(F.col("vector").isNotNull() & (F.size("vector") != dim)).select("doc_id").limit(most).collect()]
+    if bad:
+        raise ValueError(f"vectors without {dim} components: {sorted(bad)}")
+    one = new.groupBy("doc_id").agg(F.min("vector").alias("vector"))
+    return old.select("doc_id", "vector").join(one, "doc_id", "left_anti").unionByName(one)
+
+
+def release_report(releases: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """(release, created_at, vectors, missing, strange, complete): a release is complete if it has one vector for every document and no other.
+
+    releases: (release, created_at); vectors: (release, doc_id, vector).
+    """
+    ids = docs.select("doc_id").distinct()
+    expected = ids.agg(F.count("*").alias("expected"))
+    own = vectors.filter("vector is not null").select("release", "doc_id").distinct()
+    found = own.join(ids.withColumn("known", F.lit(1)), "doc_id", "left").groupBy("release").agg(F.count("*").alias("vectors"), F.count("known").alias("known"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    out = releases.select("release", "created_at").join(found, "release", "left").join(F.broadcast(expected))  # one row
+    out = out.select("release", "created_at", zero("vectors").alias("vectors"), (F.col("expected") - zero("known")).alias("missing"), (zero("vectors") - zero("known")).alias("strange"))
+    return out.withColumn("complete", (F.col("missing") == 0) & (F.col("strange") == 0))
+
+
+def chosen_release(report: DataFrame, wanted: str | None = None) -> str:
+    """The wanted release, or the newest complete one (ties: the first by name); fails if there is none or the wanted one isn't complete."""
+    rows = report if wanted is None else report.filter(F.col("release") == wanted)
+    best = rows.filter("complete").orderBy(F.desc("created_at"), "release").select("release").first()
+    if best is None:
+        raise ValueError("no complete release" if wanted is None else f"release {wanted} is unknown or not complete")
+    return best["release"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -267,6 +269,42 @@ def _(s, d):
     return de.kept_releases(releases, s.sql("SELECT 'src7' AS release"))
 
 
+_REL = """rel AS (SELECT 'r' || i AS release, CAST(CASE i WHEN 2 THEN 9 ELSE i END AS BIGINT) AS created_at, i FROM range(5) t(i)),
+rv AS (SELECT release, vec_id AS doc_id, embedding AS vector FROM rel, embeddings WHERE i = 4 OR i = 1 OR vec_id % (i + 2) <> 0 UNION ALL SELECT 'r4', -1, [1.0::FLOAT])"""
+
+
+def _releases(s, d):
+    """Five releases: two have all vectors, one of these a strange one more; the newest lacks some."""
+    releases = s.range(5).selectExpr("concat('r', id) AS release", "CASE id WHEN 2 THEN 9L ELSE id END AS created_at", "cast(id AS int) AS i")
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    parts = [e.filter(F.lit(i in (1, 4)) | (F.col("doc_id") % (i + 2) != 0)).select(F.lit(f"r{i}").alias("release"), "doc_id", "vector") for i in range(5)]
+    strange = s.sql("SELECT 'r4' AS release, -1L AS doc_id, array(1f) AS vector")
+    return releases, reduce(lambda a, b: a.unionByName(b), [*parts, strange]), e.select("doc_id")
+
+
+@query("d10_release_report", f"""WITH {_REL}, n AS (SELECT count(*) AS n FROM embeddings), c AS (SELECT release, count(DISTINCT doc_id) AS vectors, count(DISTINCT doc_id) FILTER (doc_id >= 0) AS known FROM rv GROUP BY release)
+SELECT release, created_at, vectors, n - known AS missing, vectors - known AS strange, n = known AND vectors = known AS complete FROM rel JOIN c USING (release), n""")
+def _(s, d):
+    return de.release_report(*_releases(s, d))
+
+
+@query("d10_search_in_release", f"""WITH {_REL}, u AS MATERIALIZED (SELECT doc_id, list_transform(CAST(vector AS DOUBLE[])[1:64], lambda x: x / greatest(sqrt(list_dot_product(CAST(vector AS DOUBLE[])[1:64], CAST(vector AS DOUBLE[])[1:64])), 1e-12)) AS v FROM rv WHERE release = 'r1'), {_C} SELECT {OUT} FROM {top_sql('c', 20)}""")
+def _(s, d):
+    """Search within the newest complete release."""
+    releases, vectors, docs = _releases(s, d)
+    own = vectors.filter(F.col("release") == de.chosen_release(de.release_report(releases, vectors, docs)))
+    return ranked(de.nearest(_vector_queries(s, d), own.select("doc_id", de.unit(F.col("vector")).alias("vector")), 20), 20)
+
+
+@query("s10_vectors_replaced", "SELECT doc_id, CASE WHEN doc_id < 0 OR doc_id % 7 = 0 THEN -v[1] ELSE v[1] END AS a, len(v) AS n FROM (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings UNION ALL SELECT -vec_id - 1, CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id % 5 = 0)")
+def _(s, d):
+    """Negated vectors in place of every seventh, and new ones under new ids."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    negated = lambda df: df.withColumn("vector", F.transform("vector", lambda x: -x))
+    new = negated(e.filter("doc_id % 7 = 0")).unionByName(negated(e.filter("doc_id % 5 = 0").withColumn("doc_id", -F.col("doc_id") - 1)))
+    return de.upserted(e, new, 64).select("doc_id", F.get("vector", 0).alias("a"), F.size("vector").cast("long").alias("n"))
+
+
 SYSTEMS = ["bm25", "bm25_prf", "cosine", "hybrid", "hybrid_prf", "overlap", "rerank", "rrf", "tfidf"]
 #: Languages of the methods that need vectors.
 COVERED = {name: ["en"] for name in ("cosine", "rerank", "rrf")}

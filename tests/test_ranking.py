@@ -228,3 +228,26 @@ def test_nearest_equals_numpy(spark):
     assert de.nearest(q.limit(0), d, 3).count() == de.nearest(q, d.limit(0), 3).count() == 0
     allowed = spark.createDataFrame([(i,) for i in range(0, 700, 100)], "doc_id long")
     assert {r["doc_id"] for r in de.nearest(q, d, 3, allowed).collect()} <= set(range(0, 700, 100))
+
+
+def test_vector_upsert_checks_lengths(spark):
+    kinds = "doc_id long, vector array<double>"
+    old = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], kinds)
+    new = spark.createDataFrame([(2, [3.0, 4.0]), (3, [5.0, 6.0]), (3, [5.0, 6.0])], kinds)
+    assert {r["doc_id"]: r["vector"] for r in de.upserted(old, new, 2).collect()} == {1: [1.0, 0.0], 2: [3.0, 4.0], 3: [5.0, 6.0]}
+    with pytest.raises(ValueError, match="2 components: \\[9\\]"):
+        de.upserted(old, spark.createDataFrame([(9, [1.0])], kinds), 2)
+    assert de.upserted(old, new.limit(0), 2).count() == 2
+
+
+def test_only_a_complete_release_is_chosen(spark):
+    releases = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "release string, created_at long")
+    vectors = spark.createDataFrame([(r, i, [1.0]) for r, ids in (("a", (1, 2)), ("b", (1, 2)), ("c", (1,)), ("d", (1, 2, 3))) for i in ids] + [("c", 2, None)], "release string, doc_id long, vector array<double>")
+    report = de.release_report(releases, vectors, spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    assert {r["release"]: (r["missing"], r["strange"]) for r in report.collect()} == {"a": (0, 0), "b": (0, 0), "c": (1, 0), "d": (0, 1)}
+    assert de.chosen_release(report) == "b" and de.chosen_release(report, "a") == "a"
+    for wanted in ("c", "nothing"):
+        with pytest.raises(ValueError):
+            de.chosen_release(report, wanted)
+    with pytest.raises(ValueError):
+        de.chosen_release(report.filter("not complete"))
