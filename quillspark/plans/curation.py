@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..functions.stopwords import ARABIC
 from ..operators import corpus as co
 from ..operators import profiling as pf
-from ..sources import store
+from ..sources import files, store
 from .base import CORPUS, WORDS, clean, corpus, query, table
 
 _FULL, _ISNAD, _MATN = clean("en_full"), clean("en_isnad"), clean("en_matn")
@@ -80,6 +80,40 @@ def _(s, d):
     return store.upsert(old, new, "vec_id")
 
 
+@query("s01_csv_scan", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, nullif({clean("split_part(text, chr(10), 1)")}, '') AS title, 'source=' || source AS book FROM documents")
+def _(s, d):
+    """Documents written as CSV files, a folder for each source, and scanned as books."""
+    root = store.workspace(s)
+    table(s, d, "documents").select("doc_id", "lang", tx.clean(F.substring_index("text", "\n", 1)).alias("title"), "source").write.partitionBy("source").option("header", True).csv(root)
+    return files.corpus_csv(s, root, ["doc_id", "lang", "title"]).drop("file")
+
+
+_JUDGED = "greatest(0, least(2, CAST(doc_id % 4 AS INT) - 1))"
+
+
+@query("s08_json_sources", f"""SELECT 'query' AS kind, CAST(item_id AS VARCHAR) AS query_id, CAST(NULL AS BIGINT) AS doc_id, text, CAST(NULL AS INT) AS grade FROM benchmark
+UNION ALL SELECT 'judgment', CAST(doc_id % 9 AS VARCHAR), doc_id, NULL, {_JUDGED} FROM documents""")
+def _(s, d):
+    """Queries and judgments written as the JSON objects of one evaluation, a map each, and read back."""
+    asked = table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
+    judged = table(s, d, "documents").selectExpr("cast(doc_id % 9 AS string) AS query_id", "cast(doc_id AS string) AS doc_id", f"{_JUDGED} AS grade")
+    grades = judged.groupBy("query_id").agg(F.struct(F.map_from_entries(F.collect_list(F.struct("doc_id", "grade"))).alias("grades")).alias("judged"))
+    paths = {}
+    for name, rows, value in (("queries", asked, "text"), ("qrels", grades, "judged")):
+        paths[name] = store.workspace(s)
+        rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("query_id", value)))).alias("value")).write.text(paths[name])
+    none = lambda kind: F.lit(None).cast(kind)
+    q = files.queries_json(s, paths["queries"]).select(F.lit("query").alias("kind"), "query_id", none("long").alias("doc_id"), "text", none("int").alias("grade"))
+    return q.unionByName(files.qrels_json(s, paths["qrels"]).select(F.lit("judgment").alias("kind"), "query_id", "doc_id", none("string").alias("text"), "grade"))
+
+
+@query("s11_old_columns", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'old ' || source ELSE source END AS book, lang AS language FROM documents")
+def _(s, d):
+    """Old names give way to new ones where the new value is null, and are renamed where there is no new column."""
+    old = table(s, d, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 3 <> 0 THEN source END AS book", "concat('old ', source) AS book_name", "lang")
+    return files.renamed(old, {"book_name": "book", "lang": "language", "gone": "book"}).select("doc_id", "book", "language")
+
+
 @query("p01_clean_text", f"SELECT doc_id, {clean('text')} AS cleaned, {clean('text')} <> '' AS has_text, CASE WHEN {clean('text')} <> '' THEN 'original' ELSE 'missing' END AS provenance FROM documents")
 def _(s, d):
     t = F.col("text")
