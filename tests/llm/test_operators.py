@@ -1,4 +1,4 @@
-"""The ten operators against brute force, round trips and edge cases."""
+"""Operators 1 to 10 against brute force, round trips and edge cases."""
 
 import hashlib
 import math
