@@ -8,7 +8,9 @@ share of the page's spread make the content. Content nodes vote for the
 smallest element that holds most of their text; what that element holds is the
 main text, so that its short paragraphs and headings stay, without the parts
 that HTML or a class name marks as something else (menus, notices, adverts,
-forms, comments and the like) and without lists of links.
+forms, comments and the like) and without lists of links. A form that holds
+nearly all of a page is its frame: only its controls go. A paragraph that is a
+link stays where most of the paragraphs beside it are none.
 
 Each page is read whole in one pass of a batch function; nothing is shuffled.
 
@@ -73,10 +75,14 @@ _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style)
 _POINTS = re.compile(r"[.,;:!?…。，、；：！？]")
 SMOOTH = (0.25, 0.5, 0.25)
 SHARE = 0.8
+#: The share of a page's text from which a form is its frame.
+FRAME = 0.8
+#: Blocks that a link may fill as part of a text.
+PARAGRAPHS = frozenset("p blockquote pre dd".split())
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "path", "off", "link", "main", "heading", "weight", "shown", "inside")
+    __slots__ = ("tag", "parent", "depth", "path", "off", "link", "main", "heading", "weight", "shown", "inside", "form", "box")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str, paths: dict):
         self.tag, self.parent, self.weight, self.shown, self.inside = tag, parent, 0.0, False, False
@@ -86,14 +92,19 @@ class _Element:
         self.main = bool(parent and parent.main) or tag in ("article", "main") or kind.get("role") == "main"
         self.link = bool(parent and parent.link) or tag == "a"
         self.heading = bool(parent and parent.heading) or tag in HEADING
+        self.form = (bool(parent and parent.form) or tag == "form") and tag not in ("button", "select", "option")
+        self.box = parent.box if parent and tag in INLINE else self  # the block that it stands in
         self.off = bool(parent and parent.off) or tag in NOT_MAIN or (tag == "header" and not self.main)
         if kind and not self.off and tag not in ("html", "body", "article", "main"):
             names = f"{kind.get('class', '')} {kind.get('id', '')} {kind.get('role', '')}"
             self.off = _named(names, _MARKS) or (not self.main and _named(names, _HEADERS)) or "hidden" in kind or kind.get("aria-hidden") == "true" or "display:none" in kind.get("style", "").replace(" ", "")
 
 
-def nodes(page: str) -> tuple[list[tuple[_Element, str, int]], list[_Element]]:
-    """(element, text, block) of the page's text nodes in order, scripts and the like left out; and all elements, parents first."""
+def nodes(page: str, framed: bool = False) -> tuple[list[tuple[_Element, str, int]], list[_Element]]:
+    """(element, text, block) of the page's text nodes in order, scripts and the like left out; and all elements, parents first.
+
+    framed: forms are the page's frame, not a part of it.
+    """
     out: list[tuple[_Element, str, int]] = []
     paths: dict = {}
     now = _Element("", None, "", paths)
@@ -124,6 +135,8 @@ def nodes(page: str) -> tuple[list[tuple[_Element, str, int]], list[_Element]]:
         at = m.end()
         tag = m[2].lower()
         block += tag not in INLINE
+        if framed and tag == "form":
+            tag = "div"
         if m[1]:
             if open_[tag] > 0:
                 find = now
@@ -146,8 +159,8 @@ def nodes(page: str) -> tuple[list[tuple[_Element, str, int]], list[_Element]]:
                 if find.parent and find.tag in ends:
                     now = close(find)
         if tag not in VOID:
-            now = _Element(tag, now, m[3], paths)
-            open_[tag] += 1
+            now = _Element("div" if framed and tag == "form" else tag, now, m[3], paths)
+            open_[now.tag] += 1
             every.append(now)
     return out, every
 
@@ -157,11 +170,24 @@ def _smoothed(values: list[float]) -> list[float]:
     return [sum(w * padded[i + j] for j, w in enumerate(SMOOTH)) for i in range(len(values))]
 
 
+def _in_forms(found: list[tuple[_Element, str, int]]) -> float:
+    """The share of a page's text that stands in forms, outside their controls."""
+    inside = sum(len(t.strip()) for e, t, _ in found if e.form)
+    return inside / max(1, sum(len(t.strip()) for _, t, _ in found))
+
+
+def _beside(e: _Element) -> _Element | None:
+    """The element around the paragraph that a text node makes up; none if it stands in another kind of block."""
+    return e.box.parent if e.box.tag in PARAGRAPHS else None
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: its blocks, one to a line."""
     if not page:
         return ""
     found, every = nodes(page)
+    if any(e.tag == "form" for e in every) and _in_forms(found) >= FRAME:
+        found, every = nodes(page, framed=True)
     found = [(e, html.unescape(t), b) for e, t, b in found]
     shown = [(e, t) for e, t, _ in found if not e.off and t.strip()]
     if not shown:
@@ -207,13 +233,19 @@ def main_text(page: str | None) -> str:
         if not e.off:
             own = linked.setdefault(b, [0, 0])
             own[e.link] += len(t.strip())
+    around: dict[_Element, list[int]] = {}
+    for e, t, _ in found:
+        if not e.off and (near := _beside(e)):
+            around.setdefault(near, [0, 0])[e.link] += len(t.strip())
     lines: dict[int, list[str]] = {}
     for e, t, b in found:
         if e.off or not e.inside:
             continue
         plain, link = linked[b]
         if link > 2 * plain and not e.heading and not (content is not None and content.main):
-            continue  # a block of links outside an article is a menu
+            beside = around.get(_beside(e), (0, 1))
+            if beside[0] <= beside[1]:  # a linked paragraph among paragraphs is one of them
+                continue  # a block of links outside an article is a menu
         lines.setdefault(b, []).append(t)
     blocks = (" ".join("".join(parts).split()) for parts in lines.values())
     return "\n".join(b for b in blocks if b)

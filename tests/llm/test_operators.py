@@ -67,6 +67,21 @@ def test_quality(spark):
     assert [r["predicted"] for r in none] == [1]
 
 
+def test_framing_forms_and_linked_paragraphs():
+    one, two = "First paragraph, with some words in it.", "Second paragraph; it has a few more words."
+    menu = '<div><a href="/a">Home</a> <a href="/b">About us</a></div>'
+    link = '<p><a href="/x">A paragraph that is one link.</a></p>'
+    page = f'<html><body><div class="k1">{menu}</div><div class="content"><p>{one}</p>{link}<p>{two}</p></div></body></html>'
+    text = f"{one}\nA paragraph that is one link.\n{two}"
+    assert html_extract.main_text(page) == text
+    framed = f'<html><body><form action="/"><input name="q"><button>Go</button><select><option>en</option></select><div class="content"><p>{one}</p>{link}<p>{two}</p></div></form></body></html>'
+    assert html_extract.main_text(framed) == text
+    small = f'<html><body><div class="content"><p>{one}</p><p>{two}</p><form>Your name <input></form></div></body></html>'
+    assert html_extract.main_text(small) == f"{one}\n{two}"
+    related = f'<html><body><div class="content"><p>{one}</p><p>{two}</p></div><div><p><a href="/1">One link</a></p><p><a href="/2">Other link</a></p></div></body></html>'
+    assert html_extract.main_text(related) == f"{one}\n{two}"
+
+
 def test_kept_documents_keep_columns_of_any_name(spark):
     good, bad = [prose(40, i) + "." for i in range(60)], [" | ".join(prose(40, i + 500).split()) for i in range(60)]
     texts = [x for pair in zip(good, bad) for x in pair]
