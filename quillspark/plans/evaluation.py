@@ -202,6 +202,12 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", ju.parsed_grade(answer).alias("grade"))
 
 
+@query("a17_grades_in_texts", "SELECT doc_id, CAST(nullif(regexp_extract(coalesce(text, ''), '[012]'), '') AS INT) AS grade FROM documents")
+def _(s, d):
+    """Whole texts as a model's answers."""
+    return table(s, d, "documents").select("doc_id", ju.parsed_grade(F.col("text")).alias("grade"))
+
+
 def toy_model():
     """Stands for a user's grading model: answers by the length of the prompt."""
     return lambda prompts: [f"Grade {len(p) % 3}" for p in prompts]
@@ -220,6 +226,17 @@ def _(s, d):
     return ju.parsed_pairs(table(s, d, "documents").select("doc_id", answer.alias("answer")))
 
 
+_FOUR = ", ".join(f"trim(coalesce(split_part(text, ' ', {i + 1}), '')) AS {f}" for i, f in enumerate(ju.FIELDS))
+
+
+@query("a18_pairs_from_texts", f"SELECT * FROM (SELECT doc_id, {_FOUR} FROM documents) WHERE {' AND '.join(f + chr(60) + chr(62) + chr(39) * 2 for f in ju.FIELDS)}")
+def _(s, d):
+    """The first four words of each text as an answer in JSON, with all the characters that JSON escapes; empty fields drop the pair."""
+    fields = [F.coalesce(F.split_part("text", F.lit(" "), F.lit(i + 1)), F.lit("")).alias(f) for i, f in enumerate(ju.FIELDS)]
+    answer = F.concat(F.lit("```json\n"), F.to_json(F.array(F.struct(*fields))), F.lit("\n```"))
+    return ju.parsed_pairs(table(s, d, "documents").select("doc_id", answer.alias("answer")))
+
+
 _STATUS = f"{PAIRS}, se AS (SELECT event_id, ts AS event_time, event_id % 1200 AS id, CASE WHEN event_id % 2 = 0 THEN 'verified' ELSE 'rejected' END AS status FROM events), now AS (SELECT id, doc_id, topic, concept_en, concept_ar, coalesce(n.status, pairs.status) AS status FROM pairs LEFT JOIN (SELECT id, arg_max(status, (event_time, event_id)) AS status FROM se GROUP BY id) n USING (id))"
 
 

@@ -446,7 +446,7 @@ def _(s, d):
 
 
 #: Stands for a user's lemma table.
-LEMMAS = (("thened", "then"), ("ered", "er"), ("ening", "en"), ("ered", "er"), ("handed", "hand"), ("ofthe", "of"))
+LEMMAS = (("thened", "then"), ("ered", "er"), ("ening", "en"), ("handed", "hand"), ("ofthe", "of"))
 
 
 @query("n03_lemmas", f"""WITH {INDEX}, l(token, lemma) AS (VALUES {', '.join(str(x) for x in dict(LEMMAS).items())}),
