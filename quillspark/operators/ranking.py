@@ -31,10 +31,11 @@ def _of_parts(table: DataFrame, terms: DataFrame) -> DataFrame:
     return table.join(F.broadcast(parts), "part", "left_semi")
 
 
-def known_terms(terms: DataFrame, index: Index) -> DataFrame:
-    """Query terms that the index has, with their df and the language's statistics."""
+def known_terms(terms: DataFrame, index: Index, few: bool = True) -> DataFrame:
+    """Query terms that the index has, with their df and the language's statistics; only their partitions are read if they are few."""
     terms = terms.withColumn("part", part_of(F.col("term"), index.parts))
-    return terms.join(_of_parts(index.terms, terms), ["part", "lang", "term"]).join(F.broadcast(index.stats), "lang")
+    own = _of_parts(index.terms, terms) if few else index.terms
+    return terms.join(own, ["part", "lang", "term"]).join(F.broadcast(index.stats), "lang")
 
 
 def _matches(terms: DataFrame, index: Index, allowed: DataFrame | None) -> DataFrame:
@@ -102,7 +103,7 @@ def expansion(terms: DataFrame, first: DataFrame, tokens: DataFrame, index: Inde
     words = texts.select("query_id", "lang", "rank", F.posexplode("tokens").alias("pos", "term"))
     pool = words.groupBy("query_id", "lang", "term").agg(F.count("*").alias("tf"), F.min(F.struct("rank", "pos")).alias("at"))
     pool = pool.join(terms.select("query_id", "term"), ["query_id", "term"], "left_anti").join(size, "query_id")
-    pool = known_terms(pool, index).withColumn("s", F.col("tf") / F.col("n_texts") * _idf())
+    pool = known_terms(pool, index, few=False).withColumn("s", F.col("tf") / F.col("n_texts") * _idf())
     own = Window.partitionBy("query_id")
     best = pool.withColumns({"r": F.row_number().over(own.orderBy(F.desc("s"), "at")), "s1": F.max("s").over(own)}).filter(F.col("r") <= FEEDBACK_TERMS)
     new = best.select("query_id", "lang", "term", (F.try_divide("s", "s1") * BETA).alias("weight")).filter("weight is not null")
