@@ -1,17 +1,23 @@
 """Exact top-k search over an impact-ordered, score-at-a-time index.
 
-Vectors become integers, floor(256 x). Queries and rows are dealt into blocks
-of bounded size, and each pair of a query block and a row block is one group.
-The impact level of a component is its magnitude's band. No posting segments
-are built: a product of the blocks with all other levels masked stands for a
-level's postings. A group adds whole levels in descending order to its
-accumulators. What the lower levels can still
-add or take is bounded by the next level's edge; the walk stops once every row
-that is left out is proved to be below the k-th lower bound, and the possible
-members are then scored exactly. The best k of each block meet in one window.
-
-The work is queries x rows, as an exact search's is; it spreads over as many
-tasks as there are block pairs, and no task holds more than two blocks.
+Vectors become integers, floor(256 x), and rows are dealt into blocks of
+bounded size. The index is a stored table of posting segments, one for each
+block, quantised impact and dimension: the rows whose component has that
+impact, with its values. The impact of a component is the band of its
+magnitude, half an octave wide. Beside them stand the norm of what each row has
+below each impact, and the vectors for rescoring.
+
+Queries meet each block in groups of bounded size. A group adds the segments to
+its accumulators in descending order of impact. By Cauchy and Schwarz a row
+can still gain or lose at most the norm of its unread components times that of
+the query in the dimensions that the row was not met in. A query stops once
+this proves that few rows may be among its k best; these are scored
+exactly, and its lower segments are not read. The best k of each block meet in
+one window. ``walked`` returns the components read beside the results.
+
+The work is queries x rows at most, as an exact search's is; it spreads over as
+many tasks as there are pairs of query and row blocks, and no task holds more
+than one such pair.
 
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part; shorter vectors count as followed by zeros; a row is
@@ -33,12 +39,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 K = 5
 QUERY_BLOCK = 8192
-ROW_BLOCK = 16_384
-#: Edges of the impact levels as shares of a block's largest magnitude.
-LEVELS = (1 / 2, 1 / 4, 1 / 8, 1 / 16, 1 / 32, 0.0)
-_STEP = 256
+#: Components of a block of rows, about.
+BLOCK_VALUES = 1 << 20
+#: Quantised impacts, half an octave each; the lowest takes all that is smaller.
+IMPACTS = 14
+#: A query stops at one possible member in so many rows, or at so many times k.
+RESCORED, RESCORED_K = 32, 8
+_FORWARD = -1
+_SEGMENT = "block long, impact int, dim int, rows array<long>, values array<double>"
+_FOUND = "query_id long, vec_id long, score long, read long, postings long"
+_STEP = 64
+_GROUPS = 512
 _PAIRS = 200_000
 
 
@@ -68,44 +83,101 @@ def _exact(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray, sound
     return np.array([max(min(s, 2**63 - 1), -(2**63)) for s in whole], np.int64)
 
 
-def best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best rows of each query by impact levels; ties go to the smaller id."""
+def _kth(low: np.ndarray, k: int) -> np.ndarray:
+    """A value that k rows of each column reach: the k-th largest of the groups' largest ones."""
+    if len(low) < k:
+        return np.full(low.shape[1], -np.inf)
+    most = np.maximum.reduceat(low, np.arange(0, len(low), max(1, len(low) // max(_GROUPS, k))), axis=0)
+    return np.partition(most, len(most) - k, axis=0)[len(most) - k]
+
+
+def segments(block: int, vid: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+    """A block's posting segments, norms below each impact (dim -1) and vectors (impact -1), by descending impact."""
     size = np.abs(x)
-    top = size.max(initial=0.0)
-    most = np.abs(q).max(initial=0.0) * top * max(x.shape[1], 1) if max(top, np.abs(q).max(initial=0.0)) < 1e150 else math.inf
+    top = size.max(initial=0.0) or 1.0
+    with np.errstate(divide="ignore"):
+        impact = np.clip(np.floor(IMPACTS + 2 * np.log2(size / top)), 0, IMPACTS - 1).astype(np.int64)
+    impact[size == 0] = IMPACTS  # no posting
+    parts = (size / top) ** 2
+    out = []
+    for level in range(IMPACTS - 1, -1, -1):
+        for dim in range(x.shape[1]):
+            rows = np.flatnonzero(impact[:, dim] == level)
+            if len(rows):
+                out.append((block, level, dim, rows, x[rows, dim]))
+        out.append((block, level, -1, [], top * np.sqrt(np.where(impact < level, parts, 0.0).sum(1))))
+    out.append((block, _FORWARD, -1, vid, x.reshape(-1)))
+    return pd.DataFrame(out, columns=["block", "impact", "dim", "rows", "values"])
+
+
+def best(qid: np.ndarray, q: np.ndarray, index: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of a block for each query, ties to the smaller id; with the components read and those that the block has."""
+    forward = index[index["impact"] == _FORWARD].iloc[0]
+    vid = np.asarray(forward["rows"], np.int64)
+    x = np.asarray(forward["values"]).reshape(len(vid), -1)
+    own = np.zeros((len(q), x.shape[1]))
+    own[:, : q.shape[1]] = q[:, : x.shape[1]]  # what only one side has meets zeros
+    q, width = own, x.shape[1]
+    levels: dict[int, list] = {}
+    norms: dict[int, np.ndarray] = {}
+    for level, dim, rows, values in zip(index["impact"], index["dim"], index["rows"], index["values"]):
+        if dim >= 0:
+            levels.setdefault(level, []).append((dim, np.asarray(rows, np.int64), np.asarray(values)))
+        elif level != _FORWARD:
+            norms[level] = np.asarray(values)
+    ends = max(np.abs(x).max(initial=0.0), np.abs(q).max(initial=0.0))
+    most = np.abs(q).max(initial=0.0) * np.abs(x).max(initial=0.0) * max(width, 1) if ends < 1e150 else math.inf
     sound = most < 2**53
-    other = qid[:, None] != vid[None, :]
+    postings = sum(len(rows) for parts in levels.values() for _, rows, _ in parts)
+    read = np.zeros(len(q), np.int64)
+    other = vid[:, None] != qid[None, :]
     if not most < 1e300:  # no bound in doubles: all pairs are scored
-        possible = other
+        col, row = np.nonzero(other)
     else:
-        slack = 0.0 if sound else most * 2.0**-50 * x.shape[1]
-        score, open_ = np.where(other, 0.0, -np.inf), np.ones(x.shape, bool)
-        for edge in LEVELS:
-            level = open_ & (size >= edge * top)
-            score += q @ np.where(level, x, 0.0).T
-            open_ &= ~level
-            rest = edge * top * (np.abs(q) @ open_.T.astype(float)) + slack
-            low = score - rest
-            least = np.partition(low, len(x) - k, axis=1)[:, len(x) - k] if len(x) >= k else np.full(len(q), -np.inf)
-            possible = (score + rest >= least[:, None]) & np.isfinite(score)
-            if not edge or possible.sum() <= 8 * k * len(q):
+        slack = 0.0 if sound else most * 2.0**-50 * width
+        few = max(RESCORED_K * k, len(vid) // RESCORED)
+        going, found = np.arange(len(q)), []
+        score, met = np.where(other, 0.0, -np.inf), np.zeros((len(vid), len(q)))
+        weight, square = np.ascontiguousarray(q.T), np.ascontiguousarray(q.T**2)
+        for level in range(IMPACTS - 1, -1, -1):
+            for dim, rows, values in levels.get(level, ()):
+                score[rows] += values[:, None] * weight[dim]
+                met[rows] += square[dim]
+                read[going] += len(rows)
+            whole = square.sum(0)
+            rest = norms[level][:, None] * np.sqrt(np.maximum(whole - met, 0.0) + 1e-12 * whole) * (1 + 1e-9) + slack
+            least = _kth(score - rest, k)
+            possible = (score + rest >= least) & np.isfinite(score)
+            done = possible.sum(0) <= few if level else np.ones(len(going), bool)
+            at = np.flatnonzero(done)
+            if len(at):
+                hit, which = np.nonzero(possible[:, at])
+                found.append((hit, going[at[which]]))
+                stay = ~done
+                going, score, met, weight, square = going[stay], score[:, stay], met[:, stay], weight[:, stay], square[:, stay]
+            if not len(going):
                 break
-    row, col = np.nonzero(possible)
+        col, row = (np.concatenate(part) for part in zip(*found))
+    read += np.bincount(row, minlength=len(q)) * width
     exact = _exact(q, x, row, col, sound)
     by = np.lexsort((vid[col], ~exact, row))
     row, col, exact = row[by], col[by], exact[by]
     keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return pd.DataFrame({"query_id": qid[row[keep]], "vec_id": vid[col[keep]], "score": exact[keep]})
+    row, col, exact = row[keep], col[keep], exact[keep]
+    return pd.DataFrame({"query_id": qid[row], "vec_id": vid[col], "score": exact, "read": read[row], "postings": postings})
 
 
-def _pair_of_blocks(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-    if queries.empty or rows.empty:
+def _block(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    vid, x = _distinct(rows["id"].to_numpy(), _matrix(rows["vec"], rows["vec"].map(len).max()), k)
+    return segments(rows["block"].iloc[0], vid, x)
+
+
+def _search(queries: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.DataFrame:
+    empty = pd.DataFrame({c.split()[0]: np.zeros(0, np.int64) for c in _FOUND.split(", ")})
+    if queries.empty or index.empty:
         return empty
-    width = max(queries["vec"].map(len).max(), rows["vec"].map(len).max())
-    vid, x = _distinct(rows["id"].to_numpy(), _matrix(rows["vec"], width), k)
-    qid, q = queries["id"].to_numpy(), _matrix(queries["vec"], width)
-    return pd.concat([empty, *[best(qid[i : i + _STEP], q[i : i + _STEP], vid, x, k) for i in range(0, len(q), _STEP)]])
+    qid, q = queries["id"].to_numpy(), _matrix(queries["vec"], queries["vec"].map(len).max())
+    return pd.concat([empty, *[best(qid[i : i + _STEP], q[i : i + _STEP], index, k) for i in range(0, len(q), _STEP)]])
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -121,17 +193,29 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, its k best."""
+def walked(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = K) -> DataFrame:
+    """query_id, vec_id, score, read, postings: the k best of each block of rows, for each row whose id is divisible by ``every``.
+
+    read: the components that the query read in that block, rescored ones
+    included; postings: those that the block holds.
+    """
     rows = quantised(vectors, id_col, vec_col)
     queries = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
-    n = vectors.agg(F.count("*"), F.count_if(F.col(id_col) % every == 0)).first()
-    across, down = max(1, math.ceil(n[1] / QUERY_BLOCK)), max(1, math.ceil(n[0] / ROW_BLOCK))
-    deal = F.monotonically_increasing_id()
-    q = queries.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(across)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("b"))
-    x = rows.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("a"), F.pmod(deal, F.lit(down)).alias("b"))
-    cell = lambda df: df.select((F.col("a").cast("long") * down + F.col("b")).alias("cell"), "id", "vec")
-    near = cell(q).groupBy("cell").cogroup(cell(x).groupBy("cell")).applyInPandas(lambda a, b: _pair_of_blocks(a, b, k), "query_id long, vec_id long, score long")
+    n = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0), F.max(F.size("vec"))).first()
+    size = max(256, BLOCK_VALUES // max(n[2] or 1, 1))
+    across, down = max(1, math.ceil(n[1] / QUERY_BLOCK)), max(1, math.ceil(n[0] / size))
+    dealt = rows.select("id", "vec", F.pmod(F.monotonically_increasing_id(), F.lit(down)).alias("block"))
+    index = stored(dealt.groupBy("block").applyInPandas(lambda own: _block(own, k), _SEGMENT), "impacts")
+    cell = (F.col("a").cast("long") * down + F.col("block")).alias("cell")
+    q = queries.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(across)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("block"))
+    x = index.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    sides = q.select(cell, "id", "vec").groupBy("cell"), x.select(cell, *index.columns).groupBy("cell")
+    return sides[0].cogroup(sides[1]).applyInPandas(lambda a, b: _search(a, b, k), _FOUND)
+
+
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = K) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, its k best."""
+    near = walked(vectors, id_col, vec_col, every, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

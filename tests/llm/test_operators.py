@@ -418,6 +418,48 @@ def test_top_k_of_large_components(spark):
         assert out[q] == [(i, s) for s, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:5]]
 
 
+def test_impact_segments_hold_each_component_once_and_are_read_in_part():
+    g = np.random.default_rng(8)
+    x = np.floor(256 * g.standard_t(3, (3000, 24)))
+    x[:400] = x[0]
+    ids = np.arange(3000)
+    vid, rows = exact_topk._distinct(ids, x, 5)
+    index = exact_topk.segments(0, vid, rows)
+    again = np.zeros_like(rows)
+    for dim, at, values in index.loc[index["dim"] >= 0, ["dim", "rows", "values"]].itertuples(index=False):
+        assert not again[at, dim].any()
+        again[at, dim] = values
+    assert (again == rows).all()
+    assert (np.diff(index["impact"]) <= 0).all()
+    low = index[(index["dim"] >= 0)].assign(most=lambda d: d["values"].map(lambda v: np.abs(v).max()), least=lambda d: d["values"].map(lambda v: np.abs(v).min())).groupby("impact")
+    most, least = low["most"].max(), low["least"].min()
+    assert all(most[i] < least[i + 1] for i in range(exact_topk.IMPACTS - 1) if i in most and i + 1 in least)
+    out = exact_topk.best(ids[1000:1050], x[1000:1050], index, 5)
+    assert (out["postings"] == np.count_nonzero(rows)).all()
+    assert out["read"].mean() < 0.7 * np.count_nonzero(rows)
+    for q, own in out.groupby("query_id"):
+        scores = sorted((-int(s), i) for i, s in zip(ids, x @ x[q]) if i != q)[:5]
+        assert [(-s, i) for s, i in zip(own["score"], own["vec_id"])] == scores
+
+
+def test_top_k_reads_less_than_the_index_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "BLOCK_VALUES", 1)
+    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 8)
+    g = np.random.default_rng(9)
+    rows = [(i, (g.normal(size=12) ** 3).round(3).tolist()) for i in range(1200)] + [(2000, [0.0] * 12), (2001, [0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = exact_topk.walked(df).select("query_id", "read", "postings").toPandas()
+    assert found["read"].sum() < 0.9 * found["postings"].sum()
+    x = np.array([np.floor(256 * np.pad(np.array(v), (0, 12 - len(v)))) for _, v in rows])
+    out: dict = {}
+    for r in exact_topk.top_k(df).orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    assert sorted(out) == [i for i, _ in rows if i % 50 == 0]
+    for q, own in out.items():
+        at = [i for i, _ in rows].index(q)
+        assert own == sorted((-int(s), i) for (i, _), s in zip(rows, x @ x[at]) if i != q)[:5]
+
+
 # 10
 def test_sharding(spark, tmp_path):
     s = sharding.Shards(spark, str(tmp_path / "s"), target=20_000, fan_in=4)
