@@ -2,15 +2,16 @@
 
 A page becomes text nodes with their root-to-leaf tag paths (tags with their
 class). For each path the text length per node and the punctuation per node are
-summed over its nodes, with link text taken out; both ratios are smoothed over
-the neighbouring nodes in page order, fused by their product, and paths above a
-share of the page's spread make the content. Content nodes vote for the
-smallest element that holds most of their text; what that element holds is the
-main text, so that its short paragraphs and headings stay, without the parts
-that HTML or a class name marks as something else (menus, notices, adverts,
-forms, comments and the like) and without lists of links. A form that holds
-nearly all of a page is its frame: only its controls go. A paragraph that is a
-link stays where most of the paragraphs beside it are none.
+summed over its nodes, with link text taken out; both ratios' logarithms are smoothed over
+the neighbouring nodes in page order, fused by their product, and paths that
+reach the mean of the page's paths are selected. Selected nodes vote for the
+smallest element that holds most of their text. The main text is the blocks
+with selected nodes in that element. Tags correct this: short paragraphs,
+headings and list items there stay beside them, all of an ``article`` or
+``main`` does, and the parts that HTML or a class name marks as something else
+(menus, notices, adverts, forms, comments and the like) and lists of links go.
+A form that holds nearly all of a page is its frame: only its controls go. A
+paragraph that is a link stays where most of the paragraphs beside it are none.
 
 Each page is read whole in one pass of a batch function; nothing is shuffled.
 
@@ -73,12 +74,16 @@ _START = re.compile(r"<[a-zA-Z/!?]")
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?=["'])|[^\s>"'][^\s>]*+)?+)*+)>""")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.I)
 _POINTS = re.compile(r"[.,;:!?…。，、；：！？]")
-SMOOTH = (0.25, 0.5, 0.25)
+SMOOTH = (0.1, 0.8, 0.1)
 SHARE = 0.8
 #: The share of a page's text from which a form is its frame.
 FRAME = 0.8
 #: Blocks that a link may fill as part of a text.
 PARAGRAPHS = frozenset("p blockquote pre dd".split())
+#: Blocks that are text by their tag: short ones of them stay between selected ones.
+_TEXTS = _LEAVES - INLINE
+#: What a character outside such blocks weighs in the vote.
+BARE = 0.15
 
 
 class _Element:
@@ -199,23 +204,23 @@ def main_text(page: str | None) -> str:
         if not e.link:
             own[1] += len(t.strip())
             own[2] += len(_POINTS.findall(t))
-    ratio = {p: (chars / n, points / n) for p, (n, chars, points) in totals.items()}
+    ratio = {p: (math.log1p(chars / n), math.log1p(points / n)) for p, (n, chars, points) in totals.items()}
     long = _smoothed([ratio[e.path][0] for e, _ in shown])
     dots = _smoothed([ratio[e.path][1] for e, _ in shown])
     fused: dict[int, float] = {}
     for (e, _), x, y in zip(shown, long, dots):
         own = ratio[e.path]
-        fused[e.path] = max(fused.get(e.path, 0.0), math.log1p(x) * (1 + math.log1p(y)) * (own[0] > 0))
-    mean = sum(fused.values()) / len(fused)
-    spread = math.sqrt(sum((v - mean) ** 2 for v in fused.values()) / len(fused))
-    chosen = {p for p, v in fused.items() if v >= mean - 0.5 * spread and v > 0}
+        fused[e.path] = max(fused.get(e.path, 0.0), x * (1 + y) * (own[0] > 0))
+    mean = sum(fused.values()) / max(1, sum(v > 0 for v in fused.values()))  # of the paths with text of their own
+    chosen = {p for p, v in fused.items() if v >= mean * (1 - 1e-9) and v > 0}
     # the elements that hold the chosen nodes' text; the deepest with most of it is the content
     whole = 0.0
     for e, t in shown:
         e.shown = True
         if e.path in chosen and not e.link:
-            whole += len(t.strip())
-            e.weight += len(t.strip())
+            own = len(t.strip()) * (1.0 if e.box.tag in _TEXTS else BARE)
+            whole += own
+            e.weight += own
     for e in reversed(every[1:]):  # children before parents
         e.parent.weight += e.weight
         e.parent.shown |= e.shown
@@ -237,12 +242,14 @@ def main_text(page: str | None) -> str:
     for e, t, _ in found:
         if not e.off and (near := _beside(e)):
             around.setdefault(near, [0, 0])[e.link] += len(t.strip())
+    marked = content is not None and content.main
+    selected = {b for e, t, b in found if e.path in chosen and t.strip()}  # a block goes with its selected parts
     lines: dict[int, list[str]] = {}
     for e, t, b in found:
-        if e.off or not e.inside:
+        if e.off or not e.inside or not (b in selected or e.box.tag in _TEXTS or marked):
             continue
         plain, link = linked[b]
-        if link > 2 * plain and not e.heading and not (content is not None and content.main):
+        if link > 2 * plain and not e.heading and not marked:
             beside = around.get(_beside(e), (0, 1))
             if beside[0] <= beside[1]:  # a linked paragraph among paragraphs is one of them
                 continue  # a block of links outside an article is a menu

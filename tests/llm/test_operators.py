@@ -94,6 +94,22 @@ def test_kept_documents_keep_columns_of_any_name(spark):
     assert [r["score"] for r in rows if r["doc_id"] is None] == ["own"]
 
 
+def test_ratios_select_where_names_and_tags_tell_nothing(monkeypatch):
+    lines = [f"{prose(30, i)}, {prose(20, i + 50)}. {prose(12, i + 90).capitalize()}." for i in range(4)]
+    menu = "".join(f'<div class="c1"><a href="/{i}">{prose(2, i + 700)}</a></div>' for i in range(6))
+    advert, foot = '<div class="c7">Read our offers <i>now</i></div>', '<div class="c9">(c) somewhere</div>'
+    paragraphs = f'<div class="c3"><h2>A heading</h2><p>{lines[0]}</p>{advert}<p>Short one.</p><p>{lines[1]}</p></div>'
+    blocks = '<div class="c3">' + "".join(f'<div class="c4">{x}</div>' for x in [lines[2], "Short one.", lines[3]]) + advert + "</div>"
+    want = {paragraphs: f"A heading\n{lines[0]}\nShort one.\n{lines[1]}", blocks: f"{lines[2]}\nShort one.\n{lines[3]}"}
+    pages = {f'<html><body><div class="c0">{menu}</div>{body}{foot}</body></html>': text for body, text in want.items()}
+    for page, text in pages.items():
+        assert html_extract.main_text(page) == text
+    # the ratios do this: with punctuation and length of no account, the advert stays
+    monkeypatch.setattr(html_extract.math, "log1p", lambda x: 1.0)
+    for page, text in pages.items():
+        assert "Read our offers" in html_extract.main_text(page) != text
+
+
 # 4
 @pytest.mark.parametrize(("page", "text"), [
     (None, ""), ("", ""), ("<p></p>", ""), ("plain &amp; text", "plain & text"), ("<p>one<p>two", "one\ntwo"),
