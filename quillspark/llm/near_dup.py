@@ -375,8 +375,9 @@ def near_duplicates(
     # one representative per exact text; the hot groups of copies shrink before the shuffle
     reps = stored(sketched.filter("copy is not null and id is not null").groupBy("copy").agg(F.min("id").alias("rep")), "texts")
     own = sketched.join(reps.select(F.col("rep").alias("id"), "copy"), ["id", "copy"], "left_semi").withColumnRenamed("id", "rep")
-    keyed = own.select("rep", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # dealt by key once, for the keys of two texts or more and for their members
+    keyed = own.select("rep", F.explode("keys").alias("key")).repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("key")
     members = stored(keyed.join(shared, "key").distinct(), "members")
     # of keys with the same members one is enough
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"))
