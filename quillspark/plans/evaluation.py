@@ -13,16 +13,16 @@ from ..operators import training as tr
 from ..sources import store
 from ..streaming import logs as live
 from .base import EVENTS, LOG, PAIRS, QRELS, label_events, pairs, qrels, query, request_log, table
-from .ranking import RUN, SYSTEMS, deep_run, run
+from .ranking import RUN, SYSTEMS, WHOLE_RUN, deep_run, limited, run, whole_run
 
 
 def _q(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-@query("a01_pool", f"WITH {RUN} SELECT DISTINCT query_id, doc_id FROM run")
+@query("a01_pool", f"WITH {WHOLE_RUN} SELECT DISTINCT query_id, doc_id FROM run")
 def _(s, d):
-    return ju.pool(run(s, d))
+    return ju.pool(whole_run(s, d))
 
 
 @query("a02_pool_manifest", f"""WITH {RUN}, n AS (SELECT *, count(*) OVER (PARTITION BY query_id, doc_id) AS n FROM run)
@@ -41,7 +41,7 @@ TRAINING = ["bm25", "tfidf", "cosine", "bm25_prf"]
 
 @query("a04_training_pool", f"WITH {RUN} SELECT DISTINCT query_id, doc_id FROM deep WHERE system IN {tuple(TRAINING)}")
 def _(s, d):
-    return ju.pool(deep_run(s, d).filter(F.col("system").isin(TRAINING)), 100)
+    return ju.pool(limited(s, d, deep_run(s, d)).filter(F.col("system").isin(TRAINING)), 100)
 
 
 @query("a05_assignment", """WITH q AS (SELECT item_id AS query_id, row_number() OVER (ORDER BY item_id) - 1 AS q, count(*) OVER () AS n FROM benchmark),
