@@ -13,7 +13,7 @@ from ..operators import training as tr
 from ..sources import store
 from ..streaming import logs as live
 from .base import EVENTS, LOG, PAIRS, QRELS, label_events, pairs, qrels, query, request_log, table
-from .ranking import RUN, SYSTEMS, WHOLE_RUN, deep_run, limited, run, whole_run
+from .ranking import RUN, SYSTEMS, WHOLE_RUN, deep_run, run, whole_run
 
 
 def _q(s, d):
@@ -39,9 +39,9 @@ def _(s, d):
 TRAINING = ["bm25", "tfidf", "cosine", "bm25_prf"]
 
 
-@query("a04_training_pool", f"WITH {RUN} SELECT DISTINCT query_id, doc_id FROM deep WHERE system IN {tuple(TRAINING)}")
+@query("a04_training_pool", f"WITH {WHOLE_RUN} SELECT DISTINCT query_id, doc_id FROM deep WHERE system IN {tuple(TRAINING)}")
 def _(s, d):
-    return ju.pool(limited(s, d, deep_run(s, d)).filter(F.col("system").isin(TRAINING)), 100)
+    return ju.pool(deep_run(s, d).filter(F.col("system").isin(TRAINING)), 100)
 
 
 @query("a05_assignment", """WITH q AS (SELECT item_id AS query_id, row_number() OVER (ORDER BY item_id) - 1 AS q, count(*) OVER () AS n FROM benchmark),

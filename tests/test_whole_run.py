@@ -22,7 +22,7 @@ def nearest(spark, k):
     return near
 
 
-@pytest.mark.parametrize("name, k", [("a01_pool", 50)])
+@pytest.mark.parametrize("name, k", [("a01_pool", 50), ("a04_training_pool", 100)])
 def test_pools_hold_the_nearest_of_each_query(spark, name, k):
     assert nearest(spark, k).join(entry.queries()[name](spark, FOLDER), ["query_id", "doc_id"], "left_anti").count() == 0
     assert "query_id % 3" not in entry.oracle_sql()[name]
