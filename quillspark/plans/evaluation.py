@@ -213,9 +213,9 @@ def toy_model():
     return lambda prompts: [f"Grade {len(p) % 3}" for p in prompts]
 
 
-@query("a17_model_grades", f"WITH {RUN}, {QRELS} SELECT p.query_id, p.doc_id, CAST((len(b.text) + len(d.text) + 39) % 3 AS INT) AS grade FROM (SELECT DISTINCT query_id, doc_id FROM run WHERE rank <= 10) p JOIN benchmark b ON b.item_id = p.query_id JOIN documents d ON d.doc_id = p.doc_id WHERE NOT EXISTS (SELECT 1 FROM qrels q WHERE q.query_id = p.query_id AND q.doc_id = p.doc_id)")
+@query("a17_model_grades", f"WITH {WHOLE_RUN}, {QRELS} SELECT p.query_id, p.doc_id, CAST((len(b.text) + len(d.text) + 39) % 3 AS INT) AS grade FROM (SELECT DISTINCT query_id, doc_id FROM run WHERE rank <= 10) p JOIN benchmark b ON b.item_id = p.query_id JOIN documents d ON d.doc_id = p.doc_id WHERE NOT EXISTS (SELECT 1 FROM qrels q WHERE q.query_id = p.query_id AND q.doc_id = p.doc_id)")
 def _(s, d):
-    pool = ju.pool(run(s, d), 10).join(_q(s, d).withColumnRenamed("text", "query"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    pool = ju.pool(whole_run(s, d), 10).join(_q(s, d).withColumnRenamed("text", "query"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
     return ju.graded(pool, qrels(s, d), toy_model)
 
 

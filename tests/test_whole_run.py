@@ -26,3 +26,11 @@ def nearest(spark, k):
 def test_pools_hold_the_nearest_of_each_query(spark, name, k):
     assert nearest(spark, k).join(entry.queries()[name](spark, FOLDER), ["query_id", "doc_id"], "left_anti").count() == 0
     assert "query_id % 3" not in entry.oracle_sql()[name]
+
+
+def test_grades_of_the_nearest_of_each_query(spark):
+    near = nearest(spark, 10).join(base.table(spark, FOLDER, "documents"), "doc_id", "left_semi")
+    left = near.join(base.qrels(spark, FOLDER), ["query_id", "doc_id"], "left_anti")
+    assert left.count() > 0
+    assert left.join(entry.queries()["a17_model_grades"](spark, FOLDER), ["query_id", "doc_id"], "left_anti").count() == 0
+    assert "query_id % 3" not in entry.oracle_sql()["a17_model_grades"]
