@@ -299,13 +299,14 @@ met AS (SELECT system, query_id, {', '.join(f'round({n}, 6) AS {n}' for n in col
 
 
 METRICS = f"{RUN}, {QRELS}, {_metric_sql()}"
+WHOLE_METRICS = f"{WHOLE_RUN}, {QRELS}, {_metric_sql()}"
 _NAMES = ["precision", "recall", "f1", "f2", "ap", "rr", "jaccard", "dcg", "ndcg"] + [f"{m}_{k}" for k in (5, 10) for m in ("p", "r", "f1", "jaccard", "ndcg", "capped")]
 LONG = f"{METRICS}, lm AS MATERIALIZED (SELECT system, query_id, metric, value FROM raw UNPIVOT (value FOR metric IN ({', '.join(_NAMES)})))"
 
 
-def metrics(s, d):
-    """Unrounded: means and tests come from these, each rounded once."""
-    return me.per_query(run(s, d), qrels(s, d), digits=None)
+def metrics(s, d, rows=run):
+    """Of a run table, unrounded: means and tests come from these, each rounded once."""
+    return me.per_query(rows(s, d), qrels(s, d), digits=None)
 
 
 def long(s, d):
@@ -317,9 +318,9 @@ def _(s, d):
     return me.rounded(metrics(s, d)).select("system", "query_id", "precision", "recall", "f1", "f2", "jaccard")
 
 
-@query("m02_cutoff_metrics", f"WITH {METRICS} SELECT system, query_id, p_5, p_10, r_5, r_10, f1_5, f1_10, jaccard_5, jaccard_10 FROM met")
+@query("m02_cutoff_metrics", f"WITH {WHOLE_METRICS} SELECT system, query_id, p_5, p_10, r_5, r_10, f1_5, f1_10, jaccard_5, jaccard_10 FROM met")
 def _(s, d):
-    return me.rounded(metrics(s, d)).select("system", "query_id", "p_5", "p_10", "r_5", "r_10", "f1_5", "f1_10", "jaccard_5", "jaccard_10")
+    return me.rounded(metrics(s, d, whole_run)).select("system", "query_id", "p_5", "p_10", "r_5", "r_10", "f1_5", "f1_10", "jaccard_5", "jaccard_10")
 
 
 @query("m03_average_precision", f"WITH {METRICS} SELECT system, query_id, ap FROM met")
