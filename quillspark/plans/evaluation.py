@@ -323,9 +323,9 @@ def _(s, d):
     return me.rounded(metrics(s, d, whole_run)).select("system", "query_id", "p_5", "p_10", "r_5", "r_10", "f1_5", "f1_10", "jaccard_5", "jaccard_10")
 
 
-@query("m03_average_precision", f"WITH {METRICS} SELECT system, query_id, ap FROM met")
+@query("m03_average_precision", f"WITH {WHOLE_METRICS} SELECT system, query_id, ap FROM met")
 def _(s, d):
-    return me.rounded(metrics(s, d)).select("system", "query_id", "ap")
+    return me.rounded(metrics(s, d, whole_run)).select("system", "query_id", "ap")
 
 
 @query("m04_jaccard", f"WITH {METRICS} SELECT system, query_id, jaccard, jaccard_5, jaccard_10 FROM met")
