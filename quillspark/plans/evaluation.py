@@ -328,9 +328,9 @@ def _(s, d):
     return me.rounded(metrics(s, d, whole_run)).select("system", "query_id", "ap")
 
 
-@query("m04_jaccard", f"WITH {METRICS} SELECT system, query_id, jaccard, jaccard_5, jaccard_10 FROM met")
+@query("m04_jaccard", f"WITH {WHOLE_METRICS} SELECT system, query_id, jaccard, jaccard_5, jaccard_10 FROM met")
 def _(s, d):
-    return me.rounded(metrics(s, d)).select("system", "query_id", "jaccard", "jaccard_5", "jaccard_10")
+    return me.rounded(metrics(s, d, whole_run)).select("system", "query_id", "jaccard", "jaccard_5", "jaccard_10")
 
 
 @query("m05_ndcg", f"WITH {METRICS} SELECT system, query_id, dcg, ndcg, ndcg_5, ndcg_10 FROM met")
