@@ -333,9 +333,9 @@ def _(s, d):
     return me.rounded(metrics(s, d, whole_run)).select("system", "query_id", "jaccard", "jaccard_5", "jaccard_10")
 
 
-@query("m05_ndcg", f"WITH {METRICS} SELECT system, query_id, dcg, ndcg, ndcg_5, ndcg_10 FROM met")
+@query("m05_ndcg", f"WITH {WHOLE_METRICS} SELECT system, query_id, dcg, ndcg, ndcg_5, ndcg_10 FROM met")
 def _(s, d):
-    return me.rounded(metrics(s, d)).select("system", "query_id", "dcg", "ndcg", "ndcg_5", "ndcg_10")
+    return me.rounded(metrics(s, d, whole_run)).select("system", "query_id", "dcg", "ndcg", "ndcg_5", "ndcg_10")
 
 
 @query("m06_reciprocal_rank", f"WITH {METRICS} SELECT system, query_id, rr FROM met")
