@@ -338,9 +338,9 @@ def _(s, d):
     return me.rounded(metrics(s, d, whole_run)).select("system", "query_id", "dcg", "ndcg", "ndcg_5", "ndcg_10")
 
 
-@query("m06_reciprocal_rank", f"WITH {METRICS} SELECT system, query_id, rr FROM met")
+@query("m06_reciprocal_rank", f"WITH {WHOLE_METRICS} SELECT system, query_id, rr FROM met")
 def _(s, d):
-    return me.rounded(metrics(s, d)).select("system", "query_id", "rr")
+    return me.rounded(metrics(s, d, whole_run)).select("system", "query_id", "rr")
 
 
 @query("m07_per_query_table", f"WITH {METRICS} SELECT * FROM met")
