@@ -343,9 +343,9 @@ def _(s, d):
     return me.rounded(metrics(s, d, whole_run)).select("system", "query_id", "rr")
 
 
-@query("m07_per_query_table", f"WITH {METRICS} SELECT * FROM met")
+@query("m07_per_query_table", f"WITH {WHOLE_METRICS} SELECT * FROM met")
 def _(s, d):
-    return me.rounded(metrics(s, d))
+    return me.rounded(metrics(s, d, whole_run))
 
 
 @query("m08_system_table", f"WITH {METRICS} SELECT system, CASE WHEN grouping(query_id) = 1 THEN 'MEAN' ELSE CAST(query_id AS VARCHAR) END AS query_id, " + ", ".join(f"round(avg({n}), 6) AS {n}" for n in _NAMES) + " FROM raw GROUP BY GROUPING SETS ((system, query_id), (system))")

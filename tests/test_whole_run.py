@@ -41,7 +41,7 @@ def by_system(spark, name):
     return {r[0] for r in entry.queries()[name](spark, FOLDER).filter(F.col("query_id") % 3 == 0).select("system").distinct().collect()}
 
 
-@pytest.mark.parametrize("name", ["m02_cutoff_metrics", "m03_average_precision", "m04_jaccard", "m05_ndcg", "m06_reciprocal_rank"])
+@pytest.mark.parametrize("name", ["m02_cutoff_metrics", "m03_average_precision", "m04_jaccard", "m05_ndcg", "m06_reciprocal_rank", "m07_per_query_table"])
 def test_metrics_of_all_methods_for_each_query(spark, name):
     assert VECTORS <= by_system(spark, name)
     assert "query_id % 3" not in entry.oracle_sql()[name]
