@@ -301,7 +301,8 @@ met AS (SELECT system, query_id, {', '.join(f'round({n}, 6) AS {n}' for n in col
 METRICS = f"{RUN}, {QRELS}, {_metric_sql()}"
 WHOLE_METRICS = f"{WHOLE_RUN}, {QRELS}, {_metric_sql()}"
 _NAMES = ["precision", "recall", "f1", "f2", "ap", "rr", "jaccard", "dcg", "ndcg"] + [f"{m}_{k}" for k in (5, 10) for m in ("p", "r", "f1", "jaccard", "ndcg", "capped")]
-LONG = f"{METRICS}, lm AS MATERIALIZED (SELECT system, query_id, metric, value FROM raw UNPIVOT (value FOR metric IN ({', '.join(_NAMES)})))"
+_LM = f"lm AS MATERIALIZED (SELECT system, query_id, metric, value FROM raw UNPIVOT (value FOR metric IN ({', '.join(_NAMES)})))"
+LONG, WHOLE_LONG = f"{METRICS}, {_LM}", f"{WHOLE_METRICS}, {_LM}"
 
 
 def metrics(s, d, rows=run):
@@ -309,8 +310,8 @@ def metrics(s, d, rows=run):
     return me.per_query(rows(s, d), qrels(s, d), digits=None)
 
 
-def long(s, d):
-    return me.long(metrics(s, d))
+def long(s, d, rows=run):
+    return me.long(metrics(s, d, rows))
 
 
 @query("m01_set_metrics", f"WITH {METRICS} SELECT system, query_id, precision, recall, f1, f2, jaccard FROM met")
@@ -423,12 +424,13 @@ def _(s, d):
     return long(s, d).filter(F.col("metric").isin("ap", "ndcg_10")).withColumn("value", F.round("value", 6))
 
 
-_CMP = f"{LONG}, pr AS MATERIALIZED (SELECT a.system AS a, b.system AS b, metric, a.query_id, a.value AS x, b.value AS y FROM (SELECT *, count(*) OVER (PARTITION BY system, metric) AS n FROM lm) a JOIN (SELECT *, count(*) OVER (PARTITION BY system, metric) AS n FROM lm) b USING (metric, query_id) WHERE b.system = 'bm25' AND a.system <> 'bm25' AND a.n = b.n)"
+_PR = f"pr AS MATERIALIZED (SELECT a.system AS a, b.system AS b, metric, a.query_id, a.value AS x, b.value AS y FROM (SELECT *, count(*) OVER (PARTITION BY system, metric) AS n FROM lm) a JOIN (SELECT *, count(*) OVER (PARTITION BY system, metric) AS n FROM lm) b USING (metric, query_id) WHERE b.system = 'bm25' AND a.system <> 'bm25' AND a.n = b.n)"
+_CMP, _WHOLE_CMP = f"{LONG}, {_PR}", f"{WHOLE_LONG}, {_PR}"
 
 
-@query("x02_comparison_pairs", f"WITH {_CMP} SELECT a, b, metric, count(*) AS n FROM pr GROUP BY ALL")
+@query("x02_comparison_pairs", f"WITH {_WHOLE_CMP} SELECT a, b, metric, count(*) AS n FROM pr GROUP BY ALL")
 def _(s, d):
-    return st.compared(long(s, d), "bm25").groupBy("a", "b", "metric").agg(F.count("*").alias("n"))
+    return st.compared(long(s, d, whole_run), "bm25").groupBy("a", "b", "metric").agg(F.count("*").alias("n"))
 
 
 @query("x03_paired_t", f"WITH {_CMP}, g AS (SELECT a, b, metric, count(*) AS n, avg(x - y) AS m, stddev_samp(x - y) AS sd FROM pr GROUP BY ALL) SELECT a, b, metric, n, round(m, 9) AS mean_diff, round(CASE WHEN n >= 2 AND sd > 1e-15 THEN m / (sd / sqrt(n)) END, 6) AS t FROM g")
