@@ -433,9 +433,9 @@ def _(s, d):
     return st.compared(long(s, d, whole_run), "bm25").groupBy("a", "b", "metric").agg(F.count("*").alias("n"))
 
 
-@query("x03_paired_t", f"WITH {_CMP}, g AS (SELECT a, b, metric, count(*) AS n, avg(x - y) AS m, stddev_samp(x - y) AS sd FROM pr GROUP BY ALL) SELECT a, b, metric, n, round(m, 9) AS mean_diff, round(CASE WHEN n >= 2 AND sd > 1e-15 THEN m / (sd / sqrt(n)) END, 6) AS t FROM g")
+@query("x03_paired_t", f"WITH {_WHOLE_CMP}, g AS (SELECT a, b, metric, count(*) AS n, avg(x - y) AS m, stddev_samp(x - y) AS sd FROM pr GROUP BY ALL) SELECT a, b, metric, n, round(m, 9) AS mean_diff, round(CASE WHEN n >= 2 AND sd > 1e-15 THEN m / (sd / sqrt(n)) END, 6) AS t FROM g")
 def _(s, d):
-    t = st.t_tests(st.compared(long(s, d), "bm25"))
+    t = st.t_tests(st.compared(long(s, d, whole_run), "bm25"))
     return t.select("a", "b", "metric", "n", F.round("mean_diff", 9).alias("mean_diff"), F.round("t", 6).alias("t"))
 
 
