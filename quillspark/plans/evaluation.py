@@ -442,9 +442,9 @@ def _(s, d):
 _WIL = "wd AS (SELECT a, b, metric, round(x - y, 12) AS d FROM pr), wr AS (SELECT *, rank() OVER (PARTITION BY a, b, metric, d = 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, metric, d = 0, abs(d)) - 1) / 2 AS r FROM wd)"
 
 
-@query("x04_wilcoxon", f"WITH {_CMP}, {_WIL} SELECT a, b, metric, count(*) AS n, CASE WHEN count(*) FILTER (d <> 0) > 0 AND count(*) >= 2 THEN least(coalesce(sum(r) FILTER (d > 0), 0.0), coalesce(sum(r) FILTER (d < 0), 0.0)) END AS w FROM wr GROUP BY ALL")
+@query("x04_wilcoxon", f"WITH {_WHOLE_CMP}, {_WIL} SELECT a, b, metric, count(*) AS n, CASE WHEN count(*) FILTER (d <> 0) > 0 AND count(*) >= 2 THEN least(coalesce(sum(r) FILTER (d > 0), 0.0), coalesce(sum(r) FILTER (d < 0), 0.0)) END AS w FROM wr GROUP BY ALL")
 def _(s, d):
-    return st.wilcoxon_tests(st.compared(long(s, d), "bm25")).select("a", "b", "metric", "n", "w")
+    return st.wilcoxon_tests(st.compared(long(s, d, whole_run), "bm25")).select("a", "b", "metric", "n", "w")
 
 
 _BOOT = """bv AS MATERIALIZED (SELECT system, metric, CAST(round(value * 1000000) AS BIGINT) AS v, value, row_number() OVER (PARTITION BY system, metric ORDER BY query_id) - 1 AS spot, count(*) OVER (PARTITION BY system, metric) AS n FROM lm),
