@@ -424,16 +424,16 @@ def _(s, d):
     return long(s, d).filter(F.col("metric").isin("ap", "ndcg_10")).withColumn("value", F.round("value", 6))
 
 
-_PR = f"pr AS MATERIALIZED (SELECT a.system AS a, b.system AS b, metric, a.query_id, a.value AS x, b.value AS y FROM (SELECT *, count(*) OVER (PARTITION BY system, metric) AS n FROM lm) a JOIN (SELECT *, count(*) OVER (PARTITION BY system, metric) AS n FROM lm) b USING (metric, query_id) WHERE b.system = 'bm25' AND a.system <> 'bm25' AND a.n = b.n)"
-_CMP, _WHOLE_CMP = f"{LONG}, {_PR}", f"{WHOLE_LONG}, {_PR}"
+_PR = "pr AS MATERIALIZED (SELECT a.system AS a, b.system AS b, metric, a.query_id, a.value AS x, b.value AS y FROM (SELECT *, count(*) OVER (PARTITION BY system, metric) AS n FROM lm) a JOIN (SELECT *, count(*) OVER (PARTITION BY system, metric) AS n FROM lm) b USING (metric, query_id) WHERE b.system = 'bm25' AND a.system <> 'bm25' AND a.n = b.n)"
+_CMP = f"{WHOLE_LONG}, {_PR}"
 
 
-@query("x02_comparison_pairs", f"WITH {_WHOLE_CMP} SELECT a, b, metric, count(*) AS n FROM pr GROUP BY ALL")
+@query("x02_comparison_pairs", f"WITH {_CMP} SELECT a, b, metric, count(*) AS n FROM pr GROUP BY ALL")
 def _(s, d):
     return st.compared(long(s, d, whole_run), "bm25").groupBy("a", "b", "metric").agg(F.count("*").alias("n"))
 
 
-@query("x03_paired_t", f"WITH {_WHOLE_CMP}, g AS (SELECT a, b, metric, count(*) AS n, avg(x - y) AS m, stddev_samp(x - y) AS sd FROM pr GROUP BY ALL) SELECT a, b, metric, n, round(m, 9) AS mean_diff, round(CASE WHEN n >= 2 AND sd > 1e-15 THEN m / (sd / sqrt(n)) END, 6) AS t FROM g")
+@query("x03_paired_t", f"WITH {_CMP}, g AS (SELECT a, b, metric, count(*) AS n, avg(x - y) AS m, stddev_samp(x - y) AS sd FROM pr GROUP BY ALL) SELECT a, b, metric, n, round(m, 9) AS mean_diff, round(CASE WHEN n >= 2 AND sd > 1e-15 THEN m / (sd / sqrt(n)) END, 6) AS t FROM g")
 def _(s, d):
     t = st.t_tests(st.compared(long(s, d, whole_run), "bm25"))
     return t.select("a", "b", "metric", "n", F.round("mean_diff", 9).alias("mean_diff"), F.round("t", 6).alias("t"))
@@ -442,7 +442,7 @@ def _(s, d):
 _WIL = "wd AS (SELECT a, b, metric, round(x - y, 12) AS d FROM pr), wr AS (SELECT *, rank() OVER (PARTITION BY a, b, metric, d = 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, metric, d = 0, abs(d)) - 1) / 2 AS r FROM wd)"
 
 
-@query("x04_wilcoxon", f"WITH {_WHOLE_CMP}, {_WIL} SELECT a, b, metric, count(*) AS n, CASE WHEN count(*) FILTER (d <> 0) > 0 AND count(*) >= 2 THEN least(coalesce(sum(r) FILTER (d > 0), 0.0), coalesce(sum(r) FILTER (d < 0), 0.0)) END AS w FROM wr GROUP BY ALL")
+@query("x04_wilcoxon", f"WITH {_CMP}, {_WIL} SELECT a, b, metric, count(*) AS n, CASE WHEN count(*) FILTER (d <> 0) > 0 AND count(*) >= 2 THEN least(coalesce(sum(r) FILTER (d > 0), 0.0), coalesce(sum(r) FILTER (d < 0), 0.0)) END AS w FROM wr GROUP BY ALL")
 def _(s, d):
     return st.wilcoxon_tests(st.compared(long(s, d, whole_run), "bm25")).select("a", "b", "metric", "n", "w")
 
@@ -462,7 +462,7 @@ def _(s, d):
 
 @query("x06_direction", f"WITH {_CMP} SELECT a, b, metric, CAST(sign(avg(x - y)) AS INT) AS direction FROM pr GROUP BY ALL")
 def _(s, d):
-    return st.t_tests(st.compared(long(s, d), "bm25")).select("a", "b", "metric", "direction")
+    return st.t_tests(st.compared(long(s, d, whole_run), "bm25")).select("a", "b", "metric", "direction")
 
 
 @query("x07_best_systems", f"WITH {LONG}, mm AS (SELECT system, metric, round(avg(value), 6) AS mean FROM lm GROUP BY ALL) SELECT metric, arg_max(system, (mean, -list_position({SYSTEMS}, system))) AS system, max(mean) AS mean FROM mm GROUP BY metric")

@@ -47,7 +47,7 @@ def test_metrics_of_all_methods_for_each_query(spark, name):
     assert "query_id % 3" not in entry.oracle_sql()[name]
 
 
-@pytest.mark.parametrize("name", ["x02_comparison_pairs", "x03_paired_t", "x04_wilcoxon"])
+@pytest.mark.parametrize("name", ["x02_comparison_pairs", "x03_paired_t", "x04_wilcoxon", "x06_direction"])
 def test_all_methods_are_compared(spark, name):
     assert {r[0] for r in entry.queries()[name](spark, FOLDER).select("a").distinct().collect()} == set(ranking.SYSTEMS) - {"bm25"}
     assert "query_id % 3" not in entry.oracle_sql()[name]
