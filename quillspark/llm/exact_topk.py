@@ -8,7 +8,8 @@ magnitude, half an octave wide. Beside them stand the norm of what each row has
 below each impact, and the vectors for rescoring.
 
 Queries meet each block in groups of bounded size. A group adds the segments to
-its accumulators in descending order of impact. By Cauchy and Schwarz a row
+its accumulators in descending order of impact, those of one impact by one
+product. By Cauchy and Schwarz a row
 can still gain or lose at most the norm of its unread components times that of
 the query in the dimensions that the row was not met in. A query stops once
 this proves that few rows may be among its k best; these are scored
@@ -33,6 +34,7 @@ beyond a long counts as the largest or smallest long.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -52,7 +54,8 @@ RESCORED, RESCORED_K = 32, 8
 _FORWARD = -1
 _SEGMENT = "block long, impact int, dim int, rows array<long>, values array<double>"
 _FOUND = "query_id long, vec_id long, score long, read long, postings long"
-_STEP = 64
+_STEP = 128
+_TRIED, _WORTH = 16, 2
 _GROUPS = 512
 _PAIRS = 200_000
 
@@ -110,6 +113,72 @@ def segments(block: int, vid: np.ndarray, x: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "impact", "dim", "rows", "values"])
 
 
+def _levels(index: pd.DataFrame, n: int, width: int, kind: type) -> Callable[[int], tuple]:
+    """A block's segments of an impact side by side, laid out when a query first reads them: (rows, dimensions, their values, how many)."""
+    own = {level: part for level, part in index[index["dim"] >= 0].groupby("impact")}
+    laid: dict[int, tuple] = {}
+
+    def level(i: int) -> tuple:
+        if i not in laid:
+            part = own.get(i, index[:0])
+            dims = np.sort(part["dim"].to_numpy(np.int64))
+            values = np.zeros((n, len(dims)), kind)
+            for dim, rows, v in zip(part["dim"], part["rows"], part["values"]):
+                values[np.asarray(rows, np.int64), np.searchsorted(dims, dim)] = v
+            some = np.flatnonzero(values.any(1))
+            rows = some if len(some) < n // 4 else slice(None)  # all rows, where most have a part
+            laid[i] = rows, dims, values[rows], int(np.count_nonzero(values))
+        return laid[i]
+
+    return level
+
+
+def _reached(q: np.ndarray, other: np.ndarray, level: Callable[[int], tuple], norms: dict[int, np.ndarray], few: int, k: int, slack: float, over: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row) of the possible members when each query stops, and the components that it read.
+
+    A proof is tried on every ``_TRIED``-th row first: only a query for which
+    these leave few rows is worth the whole one.
+    """
+    n, kind = other.shape[1], q.dtype
+    going, found, read = np.arange(len(q)), [], np.zeros(len(q), np.int64)
+    score, met = np.where(other, kind.type(0), kind.type(-np.inf)), np.zeros((len(q), n), kind)
+    square = q**2
+    whole = square.sum(1)[:, None]
+
+    def ends(rows: slice | np.ndarray, of: slice | np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rest = bound[rows] * np.sqrt(np.maximum(whole[of] - met[of][:, rows], 0) + kind.type(1e-12) * whole[of]) * kind.type(over) + kind.type(slack)
+        # beyond a long all scores are equal
+        return np.maximum(np.minimum(score[of][:, rows] - rest, 2.0**63), -(2.0**63)), np.maximum(np.minimum(score[of][:, rows] + rest, 2.0**63), -(2.0**63))
+
+    for i in range(IMPACTS - 1, -1, -1):
+        rows, dims, values, postings = level(i)
+        if postings:
+            score[:, rows] += q[:, dims] @ values.T
+            met[:, rows] += square[:, dims] @ (values != 0).astype(kind).T
+            read[going] += postings
+        bound = norms[i].astype(kind)
+        if i:
+            low, high = ends(slice(None, None, _TRIED), slice(None), bound)
+            worth = np.flatnonzero((high >= low.max(1, keepdims=True)).sum(1) * _TRIED <= _WORTH * few)
+        else:
+            worth = np.arange(len(going))
+        if not len(worth):
+            continue
+        low, high = ends(slice(None), worth, bound)
+        possible = (high >= _kth(low.T, k)[:, None]) & np.isfinite(score[worth])
+        done = possible.sum(1) <= few if i else np.ones(len(worth), bool)
+        which, hit = np.nonzero(possible[done])
+        found.append((going[worth[done]][which], hit))
+        stay = np.ones(len(going), bool)
+        stay[worth[done]] = False
+        if not stay.any():
+            break
+        if done.any():
+            going, score, met, q, square, whole = going[stay], score[stay], met[stay], q[stay], square[stay], whole[stay]
+    row, col = (np.concatenate(part) for part in zip(*found))
+    return row, col, read
+
+
 def best(qid: np.ndarray, q: np.ndarray, index: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best rows of a block for each query, ties to the smaller id; with the components read and those that the block has."""
     forward = index[index["impact"] == _FORWARD].iloc[0]
@@ -118,53 +187,33 @@ def best(qid: np.ndarray, q: np.ndarray, index: pd.DataFrame, k: int) -> pd.Data
     own = np.zeros((len(q), x.shape[1]))
     own[:, : q.shape[1]] = q[:, : x.shape[1]]  # what only one side has meets zeros
     q, width = own, x.shape[1]
-    levels: dict[int, list] = {}
-    norms: dict[int, np.ndarray] = {}
-    for level, dim, rows, values in zip(index["impact"], index["dim"], index["rows"], index["values"]):
-        if dim >= 0:
-            levels.setdefault(level, []).append((dim, np.asarray(rows, np.int64), np.asarray(values)))
-        elif level != _FORWARD:
-            norms[level] = np.asarray(values)
+    norms = {i: np.asarray(v) for i, d, v in zip(index["impact"], index["dim"], index["values"]) if d < 0 and i != _FORWARD}
     ends = max(np.abs(x).max(initial=0.0), np.abs(q).max(initial=0.0))
     most = np.abs(q).max(initial=0.0) * np.abs(x).max(initial=0.0) * max(width, 1) if ends < 1e150 else math.inf
     sound = most < 2**53
-    postings = sum(len(rows) for parts in levels.values() for _, rows, _ in parts)
-    read = np.zeros(len(q), np.int64)
-    other = vid[:, None] != qid[None, :]
-    if not most < 1e300:  # no bound in doubles: all pairs are scored
-        col, row = np.nonzero(other)
-    else:
-        slack = 0.0 if sound else most * 2.0**-50 * width
-        few = max(RESCORED_K * k, len(vid) // RESCORED)
-        going, found = np.arange(len(q)), []
-        score, met = np.where(other, 0.0, -np.inf), np.zeros((len(vid), len(q)))
-        weight, square = np.ascontiguousarray(q.T), np.ascontiguousarray(q.T**2)
-        for level in range(IMPACTS - 1, -1, -1):
-            for dim, rows, values in levels.get(level, ()):
-                score[rows] += values[:, None] * weight[dim]
-                met[rows] += square[dim]
-                read[going] += len(rows)
-            whole = square.sum(0)
-            rest = norms[level][:, None] * np.sqrt(np.maximum(whole - met, 0.0) + 1e-12 * whole) * (1 + 1e-9) + slack
-            least = _kth(score - rest, k)
-            possible = (score + rest >= least) & np.isfinite(score)
-            done = possible.sum(0) <= few if level else np.ones(len(going), bool)
-            at = np.flatnonzero(done)
-            if len(at):
-                hit, which = np.nonzero(possible[:, at])
-                found.append((hit, going[at[which]]))
-                stay = ~done
-                going, score, met, weight, square = going[stay], score[:, stay], met[:, stay], weight[:, stay], square[:, stay]
-            if not len(going):
-                break
-        col, row = (np.concatenate(part) for part in zip(*found))
-    read += np.bincount(row, minlength=len(q)) * width
-    exact = _exact(q, x, row, col, sound)
-    by = np.lexsort((vid[col], ~exact, row))
-    row, col, exact = row[by], col[by], exact[by]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    row, col, exact = row[keep], col[keep], exact[keep]
-    return pd.DataFrame({"query_id": qid[row], "vec_id": vid[col], "score": exact, "read": read[row], "postings": postings})
+    # whole numbers up to 2**22, and sums of two with a bound, are exact to 1 in single precision
+    single = ends < 2**11 and ends * ends * max(width, 1) <= 2**22
+    kind, slack, over = (np.float32, 1.0, 1 + 1e-5) if single else (np.float64, 0.0 if sound else most * 2.0**-50 * width, 1 + 1e-9)
+    level = _levels(index, len(vid), width, kind)
+    postings = sum(len(rows) for rows, d in zip(index["rows"], index["dim"]) if d >= 0)
+    few = max(RESCORED_K * k, len(vid) // RESCORED)
+    out = []
+    for i in range(0, len(q), _STEP):
+        ids, part = qid[i : i + _STEP], q[i : i + _STEP]
+        other = ids[:, None] != vid[None, :]
+        if not most < 1e300:  # no bound in doubles: all pairs are scored
+            row, col = np.nonzero(other)
+            read = np.zeros(len(part), np.int64)
+        else:
+            row, col, read = _reached(part.astype(kind), other, level, norms, few, k, slack, over)
+        read += np.bincount(row, minlength=len(part)) * width
+        exact = _exact(part, x, row, col, sound)
+        by = np.lexsort((vid[col], ~exact, row))
+        row, col, exact = row[by], col[by], exact[by]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col, exact = row[keep], col[keep], exact[keep]
+        out.append(pd.DataFrame({"query_id": ids[row], "vec_id": vid[col], "score": exact, "read": read[row], "postings": postings}))
+    return pd.concat(out)
 
 
 def _block(rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -177,7 +226,7 @@ def _search(queries: pd.DataFrame, index: pd.DataFrame, k: int) -> pd.DataFrame:
     if queries.empty or index.empty:
         return empty
     qid, q = queries["id"].to_numpy(), _matrix(queries["vec"], queries["vec"].map(len).max())
-    return pd.concat([empty, *[best(qid[i : i + _STEP], q[i : i + _STEP], index, k) for i in range(0, len(q), _STEP)]])
+    return pd.concat([empty, best(qid, q, index, k)])
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
