@@ -59,6 +59,8 @@ BINS = 256
 BLOCK, BLOCK_WORDS = 4000, 2_000_000
 #: Open pairs of a cell's part, about.
 PART = 2000
+#: Members of a cell that is judged beside others.
+_SMALL = 64
 _CELL = ["key", "i", "j", "x", "y"]
 _SEED = 20_240_501
 
@@ -291,17 +293,35 @@ def _cell_links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
+def _hopeful(pdf: pd.DataFrame, size: np.ndarray, least: float) -> np.ndarray:
+    """Which of the cells, of the given sizes one after another, hold members of two classes within the bound; larger cells count as such.
+
+    All cells of a batch at once: most are small and hold no such pair.
+    """
+    hit = size > _SMALL
+    cell, rows = np.repeat(np.arange(len(size)), size), int(size.sum())
+    kind, words = pdf["class"].to_numpy()[:rows], pdf["words"].to_numpy()[:rows].astype(np.int64)
+    bins = np.frombuffer(b"".join(pdf["bins"][:rows]), np.uint8).reshape(-1, BINS).astype(np.int16)
+    for d in range(1, min(size.max(initial=0), _SMALL)):
+        longer = np.maximum(words[:-d], words[d:])
+        most = np.floor(longer * (1 - least) + 1e-9).astype(np.int64)
+        at = np.flatnonzero((cell[:-d] == cell[d:]) & ~hit[cell[:-d]] & (kind[:-d] != kind[d:]) & (np.abs(words[:-d] - words[d:]) <= most))
+        apart = np.abs(bins[at] - bins[at + d]).sum(1, dtype=np.int64)
+        hit[cell[at[words[at] + words[at + d] - apart >= 2 * (longer[at] - most[at])]]] = True
+    return hit
+
+
 def _by_cell(batches: Iterator[pd.DataFrame], f: Callable[[pd.DataFrame, float], pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    """f of each cell; a cell's rows stand together and may go on in the next batch."""
+    """f of each cell that may hold an open pair; a cell's rows stand together and may go on in the next batch."""
     rest = None
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
         cell = pdf[_CELL].to_numpy()
-        cuts = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
-        for first, last in zip(np.r_[0, cuts[:-1]] if len(cuts) else (), cuts):
-            yield f(pdf[first:last].reset_index(drop=True), least)
-        rest = pdf[cuts[-1] :] if len(cuts) else pdf
-    if rest is not None and len(rest):
+        cuts = np.r_[0, np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1]
+        for i in np.flatnonzero(_hopeful(pdf, np.diff(cuts), least)):
+            yield f(pdf[cuts[i] : cuts[i + 1]].reset_index(drop=True), least)
+        rest = pdf[cuts[-1] :]
+    if rest is not None and _hopeful(rest, np.array([len(rest)]), least)[0]:
         yield f(rest.reset_index(drop=True), least)
 
 
