@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dense as de
@@ -305,9 +306,15 @@ _LM = f"lm AS MATERIALIZED (SELECT system, query_id, metric, value FROM raw UNPI
 LONG, WHOLE_LONG = f"{METRICS}, {_LM}", f"{WHOLE_METRICS}, {_LM}"
 
 
+_metrics: dict[tuple, DataFrame] = {}
+
+
 def metrics(s, d, rows=run):
-    """Of a run table, unrounded: means and tests come from these, each rounded once."""
-    return me.per_query(rows(s, d), qrels(s, d), digits=None)
+    """Of a run table, unrounded: means and tests come from these, each rounded once. Written once for each session, folder and run."""
+    key = (s.sparkContext.applicationId, d, rows)
+    if key not in _metrics:
+        _metrics[key] = store.stored(me.per_query(rows(s, d), qrels(s, d), digits=None))
+    return _metrics[key]
 
 
 def long(s, d, rows=run):
