@@ -15,6 +15,7 @@ NAMES = [
     "v04_title_suggestions",
     "a01_pool",
     "m01_set_metrics",
+    "d11_many_methods",
 ]
 
 
