@@ -16,6 +16,7 @@ NAMES = [
     "a01_pool",
     "m01_set_metrics",
     "d11_many_methods",
+    "v03_term_suggestions",
 ]
 
 
