@@ -17,6 +17,7 @@ NAMES = [
     "m01_set_metrics",
     "d11_many_methods",
     "v03_term_suggestions",
+    "v05_suggestions",
 ]
 
 
