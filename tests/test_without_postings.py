@@ -18,6 +18,7 @@ NAMES = [
     "d11_many_methods",
     "v03_term_suggestions",
     "v05_suggestions",
+    "x01_per_query_values",
 ]
 
 
