@@ -19,6 +19,7 @@ NAMES = [
     "v03_term_suggestions",
     "v05_suggestions",
     "x01_per_query_values",
+    "x04_wilcoxon",
 ]
 
 
