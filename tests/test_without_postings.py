@@ -20,6 +20,7 @@ NAMES = [
     "v05_suggestions",
     "x01_per_query_values",
     "x04_wilcoxon",
+    "m02_cutoff_metrics",
 ]
 
 
