@@ -21,6 +21,7 @@ NAMES = [
     "x01_per_query_values",
     "x04_wilcoxon",
     "m02_cutoff_metrics",
+    "m09_closed_pool",
 ]
 
 
