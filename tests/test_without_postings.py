@@ -22,6 +22,7 @@ NAMES = [
     "x04_wilcoxon",
     "m02_cutoff_metrics",
     "m09_closed_pool",
+    "m16_capped_recall",
 ]
 
 
