@@ -23,6 +23,7 @@ NAMES = [
     "m02_cutoff_metrics",
     "m09_closed_pool",
     "m16_capped_recall",
+    "v02_candidates",
 ]
 
 
