@@ -24,6 +24,7 @@ NAMES = [
     "m09_closed_pool",
     "m16_capped_recall",
     "v02_candidates",
+    "v06_closest_term",
 ]
 
 
