@@ -25,6 +25,7 @@ NAMES = [
     "m16_capped_recall",
     "v02_candidates",
     "v06_closest_term",
+    "v07_did_you_mean",
 ]
 
 
