@@ -26,6 +26,7 @@ NAMES = [
     "v02_candidates",
     "v06_closest_term",
     "v07_did_you_mean",
+    "x03_paired_t",
 ]
 
 
