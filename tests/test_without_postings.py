@@ -27,6 +27,7 @@ NAMES = [
     "v06_closest_term",
     "v07_did_you_mean",
     "x03_paired_t",
+    "x10_delta_table",
 ]
 
 
