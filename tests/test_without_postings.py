@@ -28,6 +28,7 @@ NAMES = [
     "v07_did_you_mean",
     "x03_paired_t",
     "x10_delta_table",
+    "a04_training_pool",
 ]
 
 
