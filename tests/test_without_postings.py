@@ -29,6 +29,7 @@ NAMES = [
     "x03_paired_t",
     "x10_delta_table",
     "a04_training_pool",
+    "m08_system_table",
 ]
 
 
