@@ -30,6 +30,7 @@ NAMES = [
     "x10_delta_table",
     "a04_training_pool",
     "m08_system_table",
+    "x02_comparison_pairs",
 ]
 
 
