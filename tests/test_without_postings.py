@@ -31,6 +31,7 @@ NAMES = [
     "a04_training_pool",
     "m08_system_table",
     "x02_comparison_pairs",
+    "m03_average_precision",
 ]
 
 
