@@ -32,6 +32,7 @@ NAMES = [
     "m08_system_table",
     "x02_comparison_pairs",
     "m03_average_precision",
+    "x08_analysis",
 ]
 
 
