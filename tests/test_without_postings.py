@@ -33,6 +33,7 @@ NAMES = [
     "x02_comparison_pairs",
     "m03_average_precision",
     "x08_analysis",
+    "m11_graded_only",
 ]
 
 
