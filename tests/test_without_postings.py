@@ -34,6 +34,7 @@ NAMES = [
     "m03_average_precision",
     "x08_analysis",
     "m11_graded_only",
+    "x06_direction",
 ]
 
 
