@@ -35,6 +35,7 @@ NAMES = [
     "x08_analysis",
     "m11_graded_only",
     "x06_direction",
+    "x11_ranked_variants",
 ]
 
 
