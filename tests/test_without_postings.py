@@ -36,6 +36,7 @@ NAMES = [
     "m11_graded_only",
     "x06_direction",
     "x11_ranked_variants",
+    "m04_jaccard",
 ]
 
 
