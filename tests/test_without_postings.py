@@ -37,6 +37,7 @@ NAMES = [
     "x06_direction",
     "x11_ranked_variants",
     "m04_jaccard",
+    "m05_ndcg",
 ]
 
 
