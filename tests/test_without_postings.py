@@ -38,6 +38,7 @@ NAMES = [
     "x11_ranked_variants",
     "m04_jaccard",
     "m05_ndcg",
+    "m10_evaluation",
 ]
 
 
