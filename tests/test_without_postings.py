@@ -39,6 +39,7 @@ NAMES = [
     "m04_jaccard",
     "m05_ndcg",
     "m10_evaluation",
+    "x09_variant_tests",
 ]
 
 
